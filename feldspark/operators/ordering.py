@@ -222,20 +222,20 @@ def surrounding_values(
         *[F.min_by(f"__v_{k}", F.when(F.col(f"__v_{k}").isNotNull(), F.col("__seq"))).alias(f"__fst_{k}") for k in values],
         *[F.max_by(f"__v_{k}", F.when(F.col(f"__v_{k}").isNotNull(), F.col("__seq"))).alias(f"__lst_{k}") for k in values],
     )
-    across = Window.partitionBy("__g").orderBy("__part")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
+    # Frames that end at the last row cost quadratic time; looking ahead is looking back in reverse.
+    earlier = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("__g").orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         "__part",
         "__g",
         *[F.last(f"__lst_{k}", True).over(earlier).alias(f"__in_{k}") for k in values],
-        *[F.first(f"__fst_{k}", True).over(later).alias(f"__out_{k}") for k in values],
+        *[F.last(f"__fst_{k}", True).over(later).alias(f"__out_{k}") for k in values],
     )
-    local = Window.partitionBy("__part", "__g").orderBy("__seq")
-    back = local.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = local.rowsBetween(0, Window.unboundedFollowing)
+    local = Window.partitionBy("__part", "__g")
+    back = local.orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = local.orderBy(F.desc("__seq")).rowsBetween(Window.unboundedPreceding, 0)
     return placed.join(F.broadcast(carry), ["__part", "__g"], "left").select(
         *df.columns,
         *[F.coalesce(F.last(f"__v_{k}", True).over(back), f"__in_{k}").alias(f"prev_{k}") for k in values],
-        *[F.coalesce(F.first(f"__v_{k}", True).over(ahead), f"__out_{k}").alias(f"next_{k}") for k in values],
+        *[F.coalesce(F.last(f"__v_{k}", True).over(ahead), f"__out_{k}").alias(f"next_{k}") for k in values],
     )
