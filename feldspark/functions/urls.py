@@ -64,10 +64,10 @@ EMAIL_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 IPV4_PATTERN = r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"
 
 
-def occurrences(text: Column, piece: str) -> Column:
-    """Non-overlapping occurrences of a literal piece."""
-    gone = F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))
-    return gone if len(piece) == 1 else (gone / len(piece)).cast("int")
+def occurrences(column: str, piece: str) -> str:
+    """SQL text: non-overlapping occurrences of a literal piece."""
+    gone = f"(length(`{column}`) - length(replace(`{column}`, '{piece}', '')))"
+    return gone if len(piece) == 1 else f"({gone} div {len(piece)})"
 
 
 def authority(url: Column) -> Column:
@@ -107,12 +107,9 @@ def root_domain(name: Column) -> Column:
     )
 
 
-def tld_occurrences(text: Column) -> Column:
-    lowered = F.lower(text)
-    total = F.lit(0)
-    for name in COMMON_TLDS:
-        total = total + occurrences(lowered, f".{name}")
-    return total
+def tld_occurrences(column: str) -> str:
+    """SQL text: occurrences of every known top-level domain in a lower-case column."""
+    return " + ".join(occurrences(column, f".{name}") for name in COMMON_TLDS)
 
 
 def distinct_query_keys(query: Column) -> Column:
@@ -134,79 +131,81 @@ def is_web_url(url: Column) -> Column:
     return url.rlike("^https?://")
 
 
-def character_counts(text: Column, component: str, escaped_space: bool = True) -> dict[str, Column]:
+def character_counts(column: str, component: str, escaped_space: bool = True) -> dict[str, Column]:
     counts = {}
     for name, character in COUNTED_CHARACTERS.items():
-        n = occurrences(text, character)
+        n = occurrences(column, character)
         if character == " " and escaped_space:
-            n = n + occurrences(text, "%20")
-        counts[f"qty_{name}_{component}"] = n.cast("double")
+            n = f"{n} + {occurrences(column, '%20')}"
+        counts[f"qty_{name}_{component}"] = F.expr(f"cast({n} as double)")
     return counts
 
 
-def _null_when_empty(text: Column, features: dict[str, Column]) -> dict[str, Column]:
-    return {k: F.when(F.length(text) > 0, v) for k, v in features.items()}
+def _null_when_empty(column: str, features: dict[str, Column]) -> dict[str, Column]:
+    return {k: F.when(F.length(column) > 0, v) for k, v in features.items()}
 
 
 def flag(condition: Column) -> Column:
     return condition.cast("double")
 
 
-def url_counts(url: Column) -> dict[str, Column]:
-    return {"length_url": F.length(url).cast("double"), **character_counts(url, "url")}
+def _size(column: str) -> Column:
+    return F.length(column).cast("double")
 
 
-def url_marks(url: Column, name: Column) -> dict[str, Column]:
+def url_counts(url: str) -> dict[str, Column]:
+    return {"length_url": _size(url), **character_counts(url, "url")}
+
+
+def url_marks(url: str, lowered: str, name: str) -> dict[str, Column]:
     return {
-        "qty_tld_url": F.greatest(F.lit(1), tld_occurrences(url)).cast("double"),
-        "email_in_url": flag(url.rlike(EMAIL_PATTERN)),
-        "url_shortened": flag(name.isin(SHORTENER_HOSTS)),
+        "qty_tld_url": F.expr(f"cast(greatest(1, {tld_occurrences(lowered)}) as double)"),
+        "email_in_url": flag(F.col(url).rlike(EMAIL_PATTERN)),
+        "url_shortened": flag(F.col(name).isin(SHORTENER_HOSTS)),
     }
 
 
-def domain_features(name: Column) -> dict[str, Column]:
+def domain_features(name: str) -> dict[str, Column]:
+    text = F.col(name)
     return {
         **character_counts(name, "domain", escaped_space=False),
-        "qty_vowels_domain": (F.length(name) - F.length(F.translate(name, "aeiou", ""))).cast("double"),
-        "domain_length": F.length(name).cast("double"),
-        "domain_in_ip": flag(name.rlike(IPV4_PATTERN)),
-        "server_client_domain": flag(name.contains("server") | name.contains("client")),
+        "qty_vowels_domain": (F.length(text) - F.length(F.translate(text, "aeiou", ""))).cast("double"),
+        "domain_length": _size(name),
+        "domain_in_ip": flag(text.rlike(IPV4_PATTERN)),
+        "server_client_domain": flag(text.contains("server") | text.contains("client")),
     }
 
 
-def directory_features(text: Column) -> dict[str, Column]:
-    return _null_when_empty(
-        text, {**character_counts(text, "directory"), "directory_length": F.length(text).cast("double")}
-    )
+def directory_features(column: str) -> dict[str, Column]:
+    return _null_when_empty(column, {**character_counts(column, "directory"), "directory_length": _size(column)})
 
 
-def file_features(text: Column) -> dict[str, Column]:
-    return _null_when_empty(text, {**character_counts(text, "file"), "file_length": F.length(text).cast("double")})
+def file_features(column: str) -> dict[str, Column]:
+    return _null_when_empty(column, {**character_counts(column, "file"), "file_length": _size(column)})
 
 
-def params_features(text: Column) -> dict[str, Column]:
+def params_features(column: str) -> dict[str, Column]:
     features = _null_when_empty(
-        text,
+        column,
         {
-            **character_counts(text, "params"),
-            "params_length": F.length(text).cast("double"),
-            "qty_params": distinct_query_keys(text).cast("double"),
+            **character_counts(column, "params"),
+            "params_length": _size(column),
+            "qty_params": distinct_query_keys(F.col(column)).cast("double"),
         },
     )
-    lowered = F.lower(text)
-    present = F.lit(False)
-    for name in COMMON_TLDS:
-        present = present | lowered.contains(f".{name}")
+    names = "|".join(COMMON_TLDS)
+    present = F.lower(column).rlike(rf"\.({names})")
     features["tld_present_params"] = F.when(present, F.lit(1.0)).otherwise(F.lit(-1.0))
     return features
 
 
 def with_components(df: DataFrame, url_column: str) -> DataFrame:
-    """Add ``__host``, ``__dir``, ``__file`` and ``__query``, each parsed once."""
+    """Add ``__low``, ``__host``, ``__dir``, ``__file`` and ``__query``, each parsed once."""
     url = F.col(url_column)
     parsed = df.select("*", host(url).alias("__host"), path(url).alias("__path"), query_string(url).alias("__query"))
     return parsed.select(
         *df.columns,
+        F.lower(url).alias("__low"),
         "__host",
         directory(F.col("__path")).alias("__dir"),
         file_name(F.col("__path")).alias("__file"),
@@ -216,14 +215,13 @@ def with_components(df: DataFrame, url_column: str) -> DataFrame:
 
 def lexical_features(url_column: str) -> dict[str, Column]:
     """Every text feature of a table prepared by ``with_components``."""
-    url = F.col(url_column)
     return {
-        **url_counts(url),
-        **url_marks(url, F.col("__host")),
-        **domain_features(F.col("__host")),
-        **directory_features(F.col("__dir")),
-        **file_features(F.col("__file")),
-        **params_features(F.col("__query")),
+        **url_counts(url_column),
+        **url_marks(url_column, "__low", "__host"),
+        **domain_features("__host"),
+        **directory_features("__dir"),
+        **file_features("__file"),
+        **params_features("__query"),
     }
 
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, small_table
 
 CUT_BUCKET_ROWS = 10_000
 PREFIX_STEP = 3
@@ -161,7 +161,7 @@ def with_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFr
     for part, n in sorted((r[0], r[1]) for r in counts):
         offsets.append((part, total))
         total += n
-    table = df.sparkSession.createDataFrame(offsets, "__part bigint, __off bigint")
+    table = small_table(df.sparkSession, offsets, "__part bigint, __off bigint")
     inside = F.col("__seq") - F.shiftleft("__part", 33)
     return (
         placed.join(F.broadcast(table), "__part")
@@ -185,7 +185,7 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str]) ->
         for c in sums:
             before[c] += row[c] or 0
     schema = "__part bigint, " + ", ".join(f"`__off_{c}` {kinds[c]}" for c in sums)
-    table = df.sparkSession.createDataFrame(offsets, schema)
+    table = small_table(df.sparkSession, offsets, schema)
     local = Window.partitionBy("__part").orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
     return placed.join(F.broadcast(table), "__part").select(
         *df.columns,

@@ -9,6 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_table
 from ..functions.moments import sample_kurtosis, sample_skewness
 from ..functions.roles import dbl, numeric_columns, string_columns, type_class
 from .aggregates import aggregate_row, exact_quantiles, per_column
@@ -20,7 +21,7 @@ MAX_CONTINGENCY_CELLS = 100_000
 
 def types(df: DataFrame) -> DataFrame:
     rows = [(f.name, f.dataType.simpleString(), type_class(f.dataType)) for f in df.schema]
-    return df.sparkSession.createDataFrame(rows, "column string, dtype string, kind string")
+    return small_table(df.sparkSession, rows, "column string, dtype string, kind string")
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     quantiles = exact_quantiles(df, {c: list(PERCENTILES.values()) for c in columns})
     rows = [(c, *map(_float, quantiles[c])) for c in columns]
     schema = "column string, " + ", ".join(f"{p} double" for p in PERCENTILES)
-    table = df.sparkSession.createDataFrame(rows, schema)
+    table = small_table(df.sparkSession, rows, schema)
     return moments(df, columns).join(F.broadcast(table), "column")
 
 
@@ -154,7 +155,7 @@ def quick(df: DataFrame) -> DataFrame:
     skews = per_column(df, numeric_columns(df), {"skew": sample_skewness})
     strong = skews.where("abs(skew) > 2").orderBy(F.desc(F.abs("skew")), "column").limit(5)
     found += [("skewed", r["column"], float(r["skew"])) for r in strong.collect()]
-    return spark.createDataFrame(found, "finding string, column string, value double")
+    return small_table(spark, found, "finding string, column string, value double")
 
 
 def missing_correlation(df: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def missing_correlation(df: DataFrame) -> DataFrame:
         df, {p: F.corr(F.col(f"`{p[0]}`").isNull().cast("double"), F.col(f"`{p[1]}`").isNull().cast("double")) for p in pairs}
     )
     rows = [(a, b, _float(values[a, b])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    return small_table(df.sparkSession, rows, "a string, b string, r double")
 
 
 def _long(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -219,7 +220,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, thres
     pairs = list(combinations(columns, 2))
     values = aggregate_row(df, {p: F.corr(dbl(p[0]), dbl(p[1])) for p in pairs})
     rows = [(a, b, _float(values[a, b])) for a, b in pairs]
-    table = df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    table = small_table(df.sparkSession, rows, "a string, b string, r double")
     return table if threshold is None else table.where(F.abs("r") > threshold)
 
 
@@ -252,7 +253,8 @@ def boxplots(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         expressions[c, "out"] = F.count(F.when(~inside, 1))
     found = aggregate_row(df, expressions)
     rows = [(c, *map(float, quartiles[c]), float(found[c, "low"]), float(found[c, "high"]), found[c, "out"]) for c in columns]
-    return df.sparkSession.createDataFrame(
+    return small_table(
+            df.sparkSession,
         rows, "column string, q1 double, median double, q3 double, whisker_low double, whisker_high double, n_outliers bigint"
     )
 
@@ -265,7 +267,7 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c, n in totals:
         start.append((c, seen))
         seen += n
-    offsets = df.sparkSession.createDataFrame(start, "column string, skip bigint")
+    offsets = small_table(df.sparkSession, start, "column string, skip bigint")
     running = running_totals(counted, ["column", "x"], ["n"]).join(F.broadcast(offsets), "column")
     rank = F.col("cum_n") - F.col("skip") - (F.col("n") - 1) / F.lit(2.0)
     return running.select("column", "x", rank.cast("double").alias("rank"))
@@ -331,7 +333,7 @@ def association(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     """Spearman for numeric pairs, Cramer's V for categorical pairs."""
     spark = df.sparkSession
     rows = [(a, b, "cramers_v", cramers_v(df, a, b)) for a, b in combinations(categorical, 2)]
-    table = spark.createDataFrame(rows, "a string, b string, measure string, value double")
+    table = small_table(spark, rows, "a string, b string, measure string, value double")
     ranks = spearman_pairs(df, numeric).select("a", "b", F.lit("spearman").alias("measure"), F.col("r").alias("value"))
     return table.unionByName(ranks)
 
@@ -378,7 +380,7 @@ def report(df: DataFrame) -> DataFrame:
         ("duplicate_rows", float(copies)),
         ("n_alerts", float(alerts(df).count())),
     ]
-    return df.sparkSession.createDataFrame(rows, "figure string, value double")
+    return small_table(df.sparkSession, rows, "figure string, value double")
 
 
 def head_tail(df: DataFrame, order: str, n: int = 10) -> DataFrame:
@@ -400,4 +402,4 @@ def normal_quantile_plot(df: DataFrame, column: str, points: int = 20) -> DataFr
     shares = [(i + 0.5) / points for i in range(points)]
     observed = exact_quantiles(df, {column: shares})[column]
     rows = [(p, NormalDist().inv_cdf(p), float(v)) for p, v in zip(shares, observed)]
-    return df.sparkSession.createDataFrame(rows, "share double, theoretical double, observed double")
+    return small_table(df.sparkSession, rows, "share double, theoretical double, observed double")

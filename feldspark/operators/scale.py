@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_table
 from ..functions.moments import sample_skewness
 from ..functions.normal import normal_quantile
 from ..functions.roles import dbl, numeric_columns
@@ -71,7 +72,8 @@ def fit_powers(df: DataFrame, columns: Sequence[str], method: str = "yeojohnson"
     centre, reach = dict.fromkeys(columns, 0.0), 5.0
     for _ in range(SEARCH_PASSES):
         steps = [reach * (2 * i / (SEARCH_POINTS - 1) - 1) for i in range(SEARCH_POINTS)]
-        grid = df.sparkSession.createDataFrame(
+        grid = small_table(
+            df.sparkSession,
             [(c, [centre[c] + s for s in steps]) for c in columns], "column string, powers array<double>"
         )
         tried = long.join(F.broadcast(grid), "column").select("column", "x", F.explode("powers").alias("power"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
 from ..functions.roles import dbl, numeric_columns
 from .ordering import hash_cuts, hash_key, running_totals, stratum_sizes, with_rank
 
@@ -171,7 +172,7 @@ def ks_statistics(train: DataFrame, test: DataFrame, columns: Sequence[str] | No
     for c in sorted(ends):
         start.append((c, before[0], before[1], *ends[c]))
         before = [before[0] + ends[c][0], before[1] + ends[c][1]]
-    offsets = train.sparkSession.createDataFrame(start, "column string, s1 bigint, s2 bigint, n1 bigint, n2 bigint")
+    offsets = small_table(train.sparkSession, start, "column string, s1 bigint, s2 bigint, n1 bigint, n2 bigint")
     running = running_totals(counted, ["column", "x"], ["a", "b"])
     gap = F.abs((F.col("cum_a") - F.col("s1")) / F.col("n1") - (F.col("cum_b") - F.col("s2")) / F.col("n2"))
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.roles import rounded
 from ..operators import impute as I
 from ..operators import outliers as O
+from ..session import small_table
 from .catalog import query, table
 from .fixtures import EVENTS_NULLS_SQL, events_nulls
 from .profile_queries import round_all
@@ -112,7 +113,7 @@ _COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
 def bounds_frame(spark, bounds):
-    return round_all(spark.createDataFrame([(c, float(a), float(b)) for c, (a, b) in bounds.items()], "column string, lower double, upper double"))
+    return round_all(small_table(spark, [(c, float(a), float(b)) for c, (a, b) in bounds.items()], "column string, lower double, upper double"))
 
 
 def _bounds_sql(low, high):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import encode as N
+from ..session import small_table
 from .catalog import query, table
 from .fixtures import DOC_FEATURES_SQL, labelled_docs
 from .profile_queries import round_all
@@ -35,7 +36,7 @@ def encode_rare(spark, sf):
 def encode_route(spark, sf):
     parts = table(spark, sf, "part")
     routed = N.route(parts, ["p_name", "p_type", "p_brand"])
-    return spark.createDataFrame(list(routed.items()), "column string, method string")
+    return small_table(spark, list(routed.items()), "column string, method string")
 
 
 @query("encode_binary", """select l_orderkey, l_linenumber, case l_linestatus when (select min(l_linestatus) from lineitem) then 0
@@ -119,4 +120,4 @@ def encode_ordinal_custom(spark, sf):
   select 'p_type', (select case when count(distinct p_type) <= 2 then 'binary' when count(distinct p_type) <= 10 then 'low' else 'high' end from part)"""))
 def encode_override(spark, sf):
     routed = N.route(table(spark, sf, "part"), ["p_name", "p_type"], override={"p_name": "count"})
-    return spark.createDataFrame(list(routed.items()), "column string, method string")
+    return small_table(spark, list(routed.items()), "column string, method string")

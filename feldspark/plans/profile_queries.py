@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import rounded
 from ..operators import profile as P
+from ..session import small_table
 from .catalog import query, table
 from .fixtures import DOC_FEATURES, DOC_FEATURES_SQL, EVENTS_NULLS_SQL, events_nulls, labelled_docs
 
@@ -229,7 +230,7 @@ def spearman_pairs(spark, sf):
 def kendall_tau(spark, sf):
     lines = table(spark, sf, "lineitem")
     tau = P.kendall_tau(lines, "l_quantity", "l_discount")
-    return spark.createDataFrame([("l_quantity", "l_discount", round(tau, 6) + 0.0)], "a string, b string, tau double")
+    return small_table(spark, [("l_quantity", "l_discount", round(tau, 6) + 0.0)], "a string, b string, tau double")
 
 
 @query("association", f"""with c as (select lang, source, count(*)::double as n from {DOC_FEATURES_SQL} group by 1, 2),

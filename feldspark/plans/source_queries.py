@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..sources import tables as S
+from ..session import small_table
 from .catalog import query, table
 from .fixtures import EVENTS_NULLS_SQL, events_nulls, labelled_docs, md5_order, DOC_FEATURES_SQL
 
@@ -105,7 +106,7 @@ def sentinel_to_null(spark, sf):
 @query("validate_input", "select count(*) as n_rows, 0::bigint as n_null_target, 0 as few_rows from labels")
 def validate_input(spark, sf):
     found = C.validate_input(table(spark, sf, "labels"), "quality")
-    return spark.createDataFrame([(found["n_rows"], found["n_null_target"], int(found["few_rows"]))], "n_rows bigint, n_null_target bigint, few_rows int")
+    return small_table(spark, [(found["n_rows"], found["n_null_target"], int(found["few_rows"]))], "n_rows bigint, n_null_target bigint, few_rows int")
 
 
 _SPARSE = """(select event_id, user_id, case when event_id % 4 <> 0 then null else value end as sparse_value,
@@ -149,7 +150,7 @@ def validate_no_missing(spark, sf):
 @query("binary_columns", """select 'quality' as "column" union all select 'toxic'""")
 def binary_columns(spark, sf):
     docs = labelled_docs(spark, sf).select("doc_id", "f_length", "quality", "toxic")
-    return spark.createDataFrame([(c,) for c in C.binary_columns(docs)], "column string")
+    return small_table(spark, [(c,) for c in C.binary_columns(docs)], "column string")
 
 
 @query("split_tables", f"""select split, count(*) as n, round(sum(value), 3) as total from (

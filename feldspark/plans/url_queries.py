@@ -103,14 +103,14 @@ def _part_query(name, make, features):
         return parts.select("page_id", "variant", *[c.alias(n) for n, c in make().items()])
 
 
-_part_query("url_counts", lambda: U.url_counts(F.col("url")), _URL)
-_part_query("url_tld_count", lambda: {"qty_tld_url": U.url_marks(F.col("url"), F.col("__host"))["qty_tld_url"]}, {"qty_tld_url": _MARKS["qty_tld_url"]})
-_part_query("url_email", lambda: {"email_in_url": U.url_marks(F.col("url"), F.col("__host"))["email_in_url"]}, {"email_in_url": _MARKS["email_in_url"]})
-_part_query("url_shortener", lambda: {"url_shortened": U.url_marks(F.col("url"), F.col("__host"))["url_shortened"]}, {"url_shortened": _MARKS["url_shortened"]})
-_part_query("url_domain", lambda: U.domain_features(F.col("__host")), _DOMAIN)
-_part_query("url_directory", lambda: U.directory_features(F.col("__dir")), _DIRECTORY)
-_part_query("url_file", lambda: U.file_features(F.col("__file")), _FILE)
-_part_query("url_params", lambda: U.params_features(F.col("__query")), _PARAMS)
+_part_query("url_counts", lambda: U.url_counts("url"), _URL)
+_part_query("url_tld_count", lambda: {"qty_tld_url": U.url_marks("url", "__low", "__host")["qty_tld_url"]}, {"qty_tld_url": _MARKS["qty_tld_url"]})
+_part_query("url_email", lambda: {"email_in_url": U.url_marks("url", "__low", "__host")["email_in_url"]}, {"email_in_url": _MARKS["email_in_url"]})
+_part_query("url_shortener", lambda: {"url_shortened": U.url_marks("url", "__low", "__host")["url_shortened"]}, {"url_shortened": _MARKS["url_shortened"]})
+_part_query("url_domain", lambda: U.domain_features("__host"), _DOMAIN)
+_part_query("url_directory", lambda: U.directory_features("__dir"), _DIRECTORY)
+_part_query("url_file", lambda: U.file_features("__file"), _FILE)
+_part_query("url_params", lambda: U.params_features("__query"), _PARAMS)
 
 _SQL_ROOT = """case when len(string_split(dom, '.')) <= 2 then dom
   when string_split(dom, '.')[-2] in ('co', 'com', 'org', 'net', 'ac', 'gov', 'edu')
