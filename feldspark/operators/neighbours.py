@@ -343,21 +343,32 @@ def knn_fills(df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5,
     marked = cut_lineage(df.select(id_column, *[dbl(c).alias(c) for c in columns], pattern.alias("__p")))
     patterns = [r[0] for r in marked.select("__p").distinct().collect()]
     has = {p: [c for c, bit in zip(columns, p) if bit == "1"] for p in patterns}
+    # Pairs of patterns with the same shared columns are blocks of one neighbour join.
+    joins: dict[tuple, list[tuple[str, str]]] = {}
+    for p in patterns:
+        for donor in patterns:
+            shared = tuple(c for c in has[p] if c in has[donor])
+            if shared and any(c not in has[p] for c in has[donor]):
+                joins.setdefault(shared, []).append((p, donor))
     found = None
-    for target in columns:
-        for p in patterns:
-            if target in has[p]:
-                continue
-            for donor in patterns:
-                shared = [c for c in has[p] if c in has[donor]]
-                if target not in has[donor] or not shared:
-                    continue
-                near = nearest(
-                    marked.where(F.col("__p") == p), marked.where(F.col("__p") == donor), id_column, id_column, shared, k, **cells
-                )
-                scale = (len(columns) / len(shared)) ** 0.5
-                part = near.select(F.lit(target).alias("column"), id_column, "neighbour", (F.col("distance") * scale).alias("distance"))
-                found = part if found is None else found.unionByName(part)
+    for shared, pairs in joins.items():
+        table = F.broadcast(small_table(df.sparkSession, [(p, d, f"{p}|{d}") for p, d in pairs], "p string, d string, __b string"))
+        asking = marked.join(table, F.col("__p") == F.col("p")).select(F.concat_ws("|", "__b", id_column).alias("__q"), "__b", *shared)
+        giving = marked.join(table, F.col("__p") == F.col("d")).select(id_column, "__b", *shared)
+        near = nearest(asking, giving, "__q", id_column, list(shared), k, "__b", **cells)
+        scale = (len(columns) / len(shared)) ** 0.5
+        part = near.select("__q", "neighbour", F.round(F.col("distance") * scale, 9).alias("distance"))
+        found = part if found is None else found.unionByName(part)
+    if found is not None:
+        asked, gave = F.split_part("__q", F.lit("|"), F.lit(1)), F.split_part("__q", F.lit("|"), F.lit(2))
+        wanted = [
+            F.when((F.substring(asked, i + 1, 1) == "0") & (F.substring(gave, i + 1, 1) == "1"), F.lit(c))
+            for i, c in enumerate(columns)
+        ]
+        row = F.expr(f"substring(__q, {2 * len(columns) + 3})").cast(df.schema[id_column].dataType)
+        found = found.select(
+            row.alias(id_column), "neighbour", "distance", F.explode(F.array_compact(F.array(*wanted))).alias("column")
+        )
     filled = df
     if found is not None:
         best = F.row_number().over(Window.partitionBy("column", id_column).orderBy("distance", "neighbour"))
