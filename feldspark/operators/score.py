@@ -25,12 +25,8 @@ def decide(df: DataFrame, probability: str, threshold: float = 0.5) -> DataFrame
     """Add ``label``, ``confidence`` and ``threshold`` to scored rows."""
     p = F.col(probability)
     positive = p >= F.lit(float(threshold))
-    strength = F.when(positive, p).otherwise(1 - p)
-    # The bounds 0.9/0.7 for positives mirror 0.1/0.3 for negatives; compared on p itself so that
-    # no rounding of 1 - p moves a row across a bound.
     high = F.when(positive, p > 0.90).otherwise(p < 0.10)
     medium = F.when(positive, p > 0.70).otherwise(p < 0.30)
-    del strength
     return df.withColumns(
         {
             "label": F.when(positive, "PHISHING").otherwise("LEGITIMATE"),
@@ -56,3 +52,9 @@ def prediction_log(
         (latency if latency is not None else F.lit(None).cast("double")).alias("inference_ms"),
         F.create_map(*pairs).alias("all_features"),
     )
+
+
+def confident_rows(df: DataFrame, probability: str, at_least: float = 0.95) -> DataFrame:
+    """Rows whose likelier class has at least the given probability, with it as ``label``."""
+    p = F.col(probability)
+    return df.where(F.greatest(p, 1 - p) >= F.lit(at_least)).withColumn("label", (p >= 0.5).cast("double"))
