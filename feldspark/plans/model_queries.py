@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import rounded
 from ..operators import models as M
+from ..operators.scale import apply_scaler, fit_scaler
 from ..session import small_table
 from .catalog import query, table
 from .fixtures import DOC_FEATURES, labelled_docs, md5_uniform
@@ -72,7 +73,9 @@ def select_tree(spark, sf):
 def select_l1(spark, sf):
     from ..operators.select import ranking_table, top_features
 
-    found = M.l1_importance(docs(spark, sf), "doc_id", FEATURES, "label", k=3, strengths=(0.01, 1.0))
+    frame = docs(spark, sf)
+    scaled = apply_scaler(frame, fit_scaler(frame, FEATURES))
+    found = M.l1_importance(scaled, "doc_id", FEATURES, "label", k=3, strengths=(0.01, 1.0))
     return ranking_table(spark, found, top_features(found))
 
 
@@ -102,8 +105,6 @@ def boost_curve(spark, sf):
 
 @query("mlp")
 def mlp(spark, sf):
-    from ..operators.scale import apply_scaler, fit_scaler
-
     frame = docs(spark, sf)
     train, val = parts(frame)
     scaler = fit_scaler(train, FEATURES)
