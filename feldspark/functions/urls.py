@@ -236,3 +236,13 @@ def model_blind_columns() -> list[str]:
     blind += ["qty_params", "tld_present_params"]
     blind += [fact for fact in HOST_FACTS if fact != "tls_ssl_certificate"]
     return blind
+
+
+def url_column_names() -> list[str]:
+    """Names of the text features, in order."""
+    names = ["length_url", *[f"qty_{c}_url" for c in COUNTED_CHARACTERS], "qty_tld_url", "email_in_url", "url_shortened"]
+    names += [f"qty_{c}_domain" for c in COUNTED_CHARACTERS]
+    names += ["qty_vowels_domain", "domain_length", "domain_in_ip", "server_client_domain"]
+    for part in ("directory", "file", "params"):
+        names += [*[f"qty_{c}_{part}" for c in COUNTED_CHARACTERS], f"{part}_length"]
+    return [*names, "qty_params", "tld_present_params"]

@@ -95,7 +95,7 @@ def fit_isolation_forest(
     medians = {c: v[0] for c, v in exact_quantiles(train, {c: [0.5] for c in columns}).items()}
     ready = train.select(id_column, *[F.coalesce(dbl(c), F.lit(medians[c])).alias(c) for c in columns])
 
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nodes = _grow(np.stack(list(rows["x"])), seed * 100_003 + int(key[0]))["nodes"]
         return pd.DataFrame({"tree": [key[0]], "rows": [len(rows)], "nodes": [[[float(v) for v in n] for n in nodes]]})
 

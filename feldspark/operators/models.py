@@ -129,7 +129,7 @@ def cross_validate(
 
     try:
         with ThreadPool(parallelism) as pool:
-            return pool.map(inheritable_thread_target(one), range(k))
+            return pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
     finally:
         folded.unpersist()
 
