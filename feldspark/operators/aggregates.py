@@ -13,7 +13,7 @@ from ..functions.roles import dbl
 # One aggregate this wide still compiles to reasonable generated code.
 EXPRESSIONS_PER_PASS = 200
 # Largest number of values one percentile buffer may hold.
-PERCENTILE_BUFFER = 1_000_000
+PERCENTILE_BUFFER = 50_000
 
 
 def aggregate_row(df: DataFrame, expressions: Mapping[str, Column]) -> dict:
@@ -46,13 +46,6 @@ def per_column(
     return result
 
 
-def _interpolate(values: Mapping[int, float], n: int, p: float) -> float:
-    position = p * (n - 1)
-    low = math.floor(position)
-    high = math.ceil(position)
-    return values[low] + (values[high] - values[low]) * (position - low)
-
-
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
@@ -77,23 +70,25 @@ def exact_quantiles(
 
     large = [c for c in columns if counts[c] > buffer]
     if large:
-        ranks = {
-            (c, r)
-            for c in large
-            for p in wanted[c]
-            for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))
-        }
-        found = _order_statistics(df, ranks, counts, buffer, accuracy)
+        ranks = {}
         for c in large:
-            values = {r: v for (name, r), v in found.items() if name == c}
-            result[c] = [_interpolate(values, counts[c], p) for p in wanted[c]]
+            for p in wanted[c]:
+                position = p * (counts[c] - 1)
+                ranks[c, p] = (math.floor(position), math.ceil(position))
+        found = _order_statistics(df, {(c, *r) for (c, _), r in ranks.items()}, counts, buffer, accuracy)
+        for c in large:
+            result[c] = []
+            for p in wanted[c]:
+                low, high = found[c, *ranks[c, p]]
+                position = p * (counts[c] - 1)
+                result[c].append(low + (high - low) * (position - ranks[c, p][0]))
     return result
 
 
-def _order_statistics(df, ranks, counts, buffer, accuracy):
-    """Values at zero-based ranks, by narrowing a closed bracket around each rank."""
-    # (column, rank) -> low end, high end, rows below it, rows inside it, slack
-    brackets = {key: (None, None, 0, counts[key[0]], 4.0 / accuracy) for key in ranks}
+def _order_statistics(df, wanted, counts, buffer, accuracy):
+    """Values at pairs of neighbouring zero-based ranks, by narrowing a bracket around each pair."""
+    # (column, rank, rank) -> low end, high end, rows below it, rows inside it, slack
+    brackets = {key: (None, None, 0, counts[key[0]], 4.0 / accuracy) for key in wanted}
     found: dict = {}
 
     def inside(column, low, high):
@@ -102,25 +97,32 @@ def _order_statistics(df, ranks, counts, buffer, accuracy):
 
     while brackets:
         asked = {}
+        shared: dict = {}
         for key, (low, high, below, size, slack) in brackets.items():
-            column, rank = key
+            column, first, last = key
             if size <= buffer:
                 held = "" if low is None else f" AND CAST(`{column}` AS DOUBLE) BETWEEN {low!r}D AND {high!r}D"
-                share = (rank - below + 0.5) / size
+                shares = ", ".join(f"{(rank - below + 0.5) / size!r}D" for rank in (first, last))
                 asked[key] = F.expr(
-                    f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY CAST(`{column}` AS DOUBLE))"
+                    f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY CAST(`{column}` AS DOUBLE))"
                     f" FILTER (WHERE `{column}` IS NOT NULL{held})"
                 )
             else:
-                position = (rank - below) / (size - 1)
-                ends = [max(0.0, position - slack), min(1.0, position + slack)]
-                asked[key] = F.percentile_approx(F.when(inside(column, low, high), dbl(column)), ends, accuracy)
+                ends = [max(0.0, (first - below) / (size - 1) - slack), min(1.0, (last - below) / (size - 1) + slack)]
+                shared.setdefault((column, low, high), []).append((key, ends))
+        # pairs that share a bracket share one summary
+        for (column, low, high), keys in shared.items():
+            every = [end for _, ends in keys for end in ends]
+            asked[column, low, high] = F.percentile_approx(F.when(inside(column, low, high), dbl(column)), every, accuracy)
         answers = aggregate_row(df, asked)
+        for bracket, keys in shared.items():
+            for i, (key, _) in enumerate(keys):
+                answers[key] = answers[bracket][2 * i : 2 * i + 2]
 
         checks = {}
         for key, (_, _, _, size, _) in list(brackets.items()):
             if size <= buffer:
-                found[key] = float(answers[key])
+                found[key] = tuple(answers[key])
                 del brackets[key]
             else:
                 new_low, new_high = answers[key]
@@ -130,25 +132,23 @@ def _order_statistics(df, ranks, counts, buffer, accuracy):
 
         for key, (low, high, below, size, slack) in list(brackets.items()):
             new_low, new_high = answers[key]
-            first, held = sizes[key, "below"], sizes[key, "inside"]
-            if not first <= key[1] < first + held:
+            before, held = sizes[key, "below"], sizes[key, "inside"]
+            if not before <= key[1] <= key[2] < before + held:
                 brackets[key] = (low, high, below, size, slack * 4)
             elif new_low == new_high:
-                found[key] = float(new_low)
+                found[key] = (new_low, new_high)
+                del brackets[key]
+            elif held >= size:
+                # no longer shrinking: the bracket holds few distinct values, each very often
+                found[key] = tuple(_value_by_counts(df, key[0], rank, new_low, new_high, before) for rank in key[1:])
                 del brackets[key]
             else:
-                # a bracket that stopped shrinking holds few distinct values: the buffer counts distinct ones
-                stuck = held >= size
-                brackets[key] = (new_low, new_high, first, held, slack)
-                if stuck:
-                    found[key] = _value_by_counts(df, key, new_low, new_high, first)
-                    del brackets[key]
+                brackets[key] = (new_low, new_high, before, held, slack)
     return found
 
 
-def _value_by_counts(df, key, low, high, below):
+def _value_by_counts(df, column, rank, low, high, below):
     """Order statistic inside a bracket whose few distinct values repeat very often."""
-    column, rank = key
     x = dbl(column)
     table = df.where(x.between(low, high)).groupBy(x.alias("x")).count().orderBy("x")
     seen = below

@@ -188,11 +188,10 @@ def hash_bucket(value: Column, n: int) -> Column:
     if n in (8, 16, 32):
         return low % n
     if n == 24:
-        digits = F.lit(0)
-        for i in range(1, 33):
-            digits = digits + F.conv(F.substring(digest, i, 1), 16, 10).cast("int")
-        # 16 = 1 (mod 3), so the digit sum gives the residue modulo 3
-        return (16 * (digits % 3) + 9 * (low % 8)) % 24
+        # 16 = 1 (mod 3), so the residue modulo 3 is that of the sum of the hex digits
+        ones = 32 - F.length(F.translate(digest, "147ad", ""))
+        twos = 32 - F.length(F.translate(digest, "258be", ""))
+        return (16 * ((ones + 2 * twos) % 3) + 9 * (low % 8)) % 24
     raise ValueError("hash encoding uses 8, 16, 24 or 32 columns")
 
 

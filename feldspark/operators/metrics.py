@@ -124,19 +124,28 @@ def threshold_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def best_threshold(df: DataFrame, label: str, score: str, metric: str = "f1") -> DataFrame:
-    """The lowest threshold with the highest score; (0.5, 0) when nothing scores above zero."""
+def best_thresholds(df: DataFrame, label: str, score: str, wanted: Sequence[str] = ("f1",)) -> DataFrame:
+    """Per metric the lowest threshold with the highest score; (0.5, 0) when nothing scores above zero.
+
+    All metrics come from one curve.
+    """
     p, r = F.col("precision"), F.col("recall")
     choices = {"f1": 2 * p * r / (p + r + 1e-8), "precision": p, "recall": r, "gmean": F.sqrt(p * r)}
-    if metric not in choices:
-        raise ValueError(f"unknown metric {metric!r}")
-    scored = threshold_curve(df, label, score).withColumn("score", choices[metric])
-    best = scored.where("score > 0").agg(F.max(F.struct("score", (-F.col("threshold")).alias("t"))).alias("b"))
-    return best.select(
-        F.lit(metric).alias("metric"),
-        F.coalesce(-F.col("b.t"), F.lit(0.5)).alias("threshold"),
-        F.coalesce(F.col("b.score"), F.lit(0.0)).alias("score"),
+    unknown = [m for m in wanted if m not in choices]
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}")
+    best = threshold_curve(df, label, score).agg(
+        *[F.max(F.when(choices[m] > 0, F.struct(choices[m].alias("s"), (-F.col("threshold")).alias("t")))).alias(m) for m in wanted]
     )
+    rows = [
+        F.struct(F.lit(m).alias("metric"), F.coalesce(-F.col(m)["t"], F.lit(0.5)).alias("threshold"), F.coalesce(F.col(m)["s"], F.lit(0.0)).alias("score"))
+        for m in wanted
+    ]
+    return best.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def best_threshold(df: DataFrame, label: str, score: str, metric: str = "f1") -> DataFrame:
+    return best_thresholds(df, label, score, [metric])
 
 
 def baseline(train: DataFrame, val: DataFrame, label: str, task: str = "classification") -> dict[str, float]:

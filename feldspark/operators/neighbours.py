@@ -23,6 +23,7 @@ from ..functions.roles import dbl
 from ..session import cut_lineage, small_table
 
 CELL_POINTS = 20_000
+LEAST_CELL_POINTS = 2_000
 CELL_QUERIES = 20_000
 MAX_CELLS = 20_000
 SAMPLE_POINTS = 400_000
@@ -189,7 +190,7 @@ def nearest(
     k: int,
     block: str | None = None,
     exclude_same_id: bool = False,
-    cell_points: int = CELL_POINTS,
+    cell_points: int | None = None,
     cell_queries: int = CELL_QUERIES,
 ) -> DataFrame:
     """(query_id, neighbour, distance, rank): the k nearest points of every query.
@@ -232,16 +233,16 @@ def nearest(
 
     home = asked.mapInPandas(_place(trees), f"b {block_type}, x array<double>, cell bigint")
     home = home.withColumn("bound", F.lit(float("inf")))
-    schema = f"b {block_type}, x array<double>, cell bigint, near array<struct<d:double,ids:array<{id_type}>>>, bound double"
-    local = cut_lineage(_search_cells(spark, home, placed, kept, schema, cell_queries, id_type))
+    schema = f"b {block_type}, x array<double>, cell bigint, bound double, d array<double>, ids array<{id_type}>"
+    local = cut_lineage(_search_cells(spark, home, placed, kept, schema, cell_queries))
     away = local.select("b", "x", "cell", "bound").mapInPandas(
         _other_cells(trees, boxes), f"b {block_type}, x array<double>, cell bigint, bound double"
     )
-    wider = _search_cells(spark, away, placed, kept, schema, cell_queries, id_type)
+    wider = _search_cells(spark, away, placed, kept, schema, cell_queries)
 
-    pairs = F.flatten(F.transform("near", lambda n: F.transform(n["ids"], lambda i: F.struct(n["d"].alias("d"), i.alias("id")))))
+    pairs = F.arrays_zip(F.col("d"), F.col("ids").alias("id")).alias("near")
     merged = (
-        local.select("b", "x", "near").unionByName(wider.select("b", "x", "near")).select("b", "x", pairs.alias("near"))
+        local.select("b", "x", pairs).unionByName(wider.select("b", "x", pairs))
         .groupBy("b", "x").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, kept).alias("near"))
     )
     joined = own.join(merged, ["b", "x"])
@@ -257,12 +258,16 @@ def nearest(
     )
 
 
-def _plan(folded: DataFrame, width: int, cell_points: int):
+def _plan(folded: DataFrame, width: int, cell_points: int | None):
     """One split tree per block from a sample of bounded size; cells are numbered across blocks."""
     sizes = {r["b"]: r["count"] for r in folded.groupBy("b").count().limit(MAX_CELLS + 1).collect()}
     if len(sizes) > MAX_CELLS:
         raise ValueError("too many blocks for a nearest-neighbour join")
     total = sum(sizes.values())
+    if cell_points is None:
+        # enough cells to occupy the cluster, none so small that its overhead dominates
+        tasks = 4 * folded.sparkSession.sparkContext.defaultParallelism
+        cell_points = min(CELL_POINTS, max(LEAST_CELL_POINTS, total // tasks))
     per_cell = max(cell_points, -(-total // MAX_CELLS))
     share = min(1.0, SAMPLE_POINTS / max(1, total))
     sample = folded if share == 1.0 else folded.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -300,7 +305,7 @@ def _other_cells(trees, boxes):
     return reach
 
 
-def _search_cells(spark, queries: DataFrame, placed: DataFrame, kept: int, schema: str, cell_queries: int, id_type: str) -> DataFrame:
+def _search_cells(spark, queries: DataFrame, placed: DataFrame, kept: int, schema: str, cell_queries: int) -> DataFrame:
     """Answer queries inside their cell; busy cells are dealt over several tasks."""
     loads = queries.groupBy("cell").count().where(F.col("count") > cell_queries).collect()
     parts = small_table(spark, [(r["cell"], -(-r["count"] // cell_queries)) for r in loads], "cell bigint, parts bigint")
@@ -313,15 +318,24 @@ def _search_cells(spark, queries: DataFrame, placed: DataFrame, kept: int, schem
     )
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        near, bound = [[] for _ in range(len(left))], left["bound"].to_numpy(dtype=float)
-        if len(left) and len(right):
-            right = right.assign(__first=[ids[0] for ids in right["ids"]]).sort_values("__first", kind="stable")
-            ids = right["ids"].tolist()
-            where, distance = search(np.stack(list(right["x"])), np.stack(list(left["x"])), kept, bound)
-            near = [[{"d": d, "ids": ids[p]} for p, d in zip(ps, ds) if p >= 0] for ps, ds in zip(where, distance)]
-            bound = np.minimum(bound, distance[:, kept - 1])
         found = left[["b", "x", "cell"]].reset_index(drop=True)
-        return found.assign(near=pd.Series(near, dtype=object), bound=bound)
+        bound = left["bound"].to_numpy(dtype=float)
+        distances, names = [[] for _ in range(len(left))], [[] for _ in range(len(left))]
+        if len(left) and len(right):
+            firsts = np.array([ids[0] for ids in right["ids"]])
+            order = np.argsort(firsts, kind="stable")
+            ids = [right["ids"].iat[i] for i in order]
+            where, squares = search(np.stack(list(right["x"]))[order], np.stack(list(left["x"])), kept, bound)
+            bound = np.minimum(bound, squares[:, kept - 1])
+            if (where >= 0).all() and max(map(len, ids)) == 1:
+                distances, names = list(squares), list(firsts[order][where])
+            else:
+                for row, (at, square) in enumerate(zip(where, squares)):
+                    for p, d in zip(at, square):
+                        if p >= 0:
+                            names[row].extend(ids[p])
+                            distances[row].extend([d] * len(ids[p]))
+        return found.assign(bound=bound, d=pd.Series(distances, dtype=object), ids=pd.Series(names, dtype=object))
 
     left = dealt.select("b", "x", "cell", "bound", "part").groupBy("cell", "part")
     right = copies.select("x", "ids", "cell", "part").groupBy("cell", "part")

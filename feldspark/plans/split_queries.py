@@ -172,12 +172,7 @@ _THRESHOLDS = {"f1": "2 * p * r / (p + r + 1e-8)", "precision": "p", "recall": "
     sum(pos) over (order by score desc) / (sum(pos) over ())::double as r from c)
   """ + " union all ".join(f"select * from (select '{m}' as metric, t as threshold, round({e}, 6) as score from k order by {e} desc, t limit 1)" for m, e in _THRESHOLDS.items()))
 def best_threshold(spark, sf):
-    rows = scores(spark, sf)
-    found = [M.best_threshold(rows, "label", "score", m) for m in _THRESHOLDS]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return round_all(out)
+    return round_all(M.best_thresholds(scores(spark, sf), "label", "score", list(_THRESHOLDS)))
 
 
 _AUC = f"(select sum(pos * (below + neg / 2.0::double)) / (any_value(tp) * any_value(tn)) from (select pos, neg, sum(neg) over (order by score) - neg as below, sum(pos) over () as tp, sum(neg) over () as tn from (select score, sum(label)::double as pos, sum(1 - label)::double as neg from {SCORES_SQL} group by 1)))"
