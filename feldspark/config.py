@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, is_dataclass
 
-NUMERIC_FILLS = ("mean", "median", "iterative")
+NUMERIC_FILLS = ("mean", "median", "knn", "iterative")
 CATEGORY_FILLS = ("most_frequent", "constant")
 OUTLIER_METHODS = ("iqr", "zscore", "modified_zscore", "isolation_forest", "lof")
 TREATMENTS = ("cap", "remove", "flag", "cap_and_flag")
 ENCODINGS = ("target", "woe", "count", "hash", "onehot", "ordinal")
 SCALERS = ("standard", "minmax", "robust", "maxabs", "power", "none")
 TASKS = ("classification", "regression")
+IMPORTANCE = ("mutual_info", "tree", "lasso", "shap")
 METRICS = ("roc_auc", "f1", "accuracy", "r2", "rmse", "mae")
 MODELS = ("logistic_regression", "linear_regression", "decision_tree", "random_forest", "boosting", "mlp")
 
@@ -97,6 +98,11 @@ class SelectionConfig:
     correlation: float = 0.95
     n_features: int | None = None
     share: float = 0.5
+    method: str = "mutual_info"
+    eliminate: bool = False
+
+    def __post_init__(self):
+        _one_of("selection.method", self.method, IMPORTANCE)
 
 
 @dataclass

@@ -342,9 +342,16 @@ def _search_cells(spark, queries: DataFrame, placed: DataFrame, kept: int, schem
     return left.cogroup(right).applyInPandas(answer, schema)
 
 
-def knn_fills(df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5, **cells) -> DataFrame:
+MAX_PATTERNS = 1_000
+
+
+def knn_fills(
+    df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5, donors: DataFrame | None = None, **cells
+) -> DataFrame:
     """Fill numeric columns with the mean of the k nearest donors that have the value.
 
+    Donors are the rows themselves, or the training rows given as ``donors``.
+
     The distance uses the columns both rows have, scaled up for those they do not share.
     Rows are grouped by which columns they have; for each pair of groups this is a plain
     nearest-neighbour join, and the k best over all pairs are averaged. Rows without any
@@ -352,15 +359,27 @@ def knn_fills(df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5,
     """
     from .aggregates import aggregate_row
 
-    means = aggregate_row(df, {c: F.avg(dbl(c)) for c in columns})
+    source = df if donors is None else donors
+    means = aggregate_row(source, {c: F.avg(dbl(c)) for c in columns})
     pattern = F.concat(*[F.col(c).isNotNull().cast("int").cast("string") for c in columns])
-    marked = cut_lineage(df.select(id_column, *[dbl(c).alias(c) for c in columns], pattern.alias("__p")))
-    patterns = [r[0] for r in marked.select("__p").distinct().collect()]
-    has = {p: [c for c, bit in zip(columns, p) if bit == "1"] for p in patterns}
+
+    def mark(rows):
+        return cut_lineage(rows.select(id_column, *[dbl(c).alias(c) for c in columns], pattern.alias("__p")))
+
+    def patterns_of(rows):
+        held = [r[0] for r in rows.select("__p").distinct().limit(MAX_PATTERNS + 1).collect()]
+        if len(held) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} combinations of missing columns; impute fewer columns at a time")
+        return held
+
+    marked = mark(df)
+    giving_rows = marked if donors is None else mark(donors)
+    patterns, donor_patterns = patterns_of(marked), patterns_of(giving_rows)
+    has = {p: [c for c, bit in zip(columns, p) if bit == "1"] for p in {*patterns, *donor_patterns}}
     # Pairs of patterns with the same shared columns are blocks of one neighbour join.
     joins: dict[tuple, list[tuple[str, str]]] = {}
     for p in patterns:
-        for donor in patterns:
+        for donor in donor_patterns:
             shared = tuple(c for c in has[p] if c in has[donor])
             if shared and any(c not in has[p] for c in has[donor]):
                 joins.setdefault(shared, []).append((p, donor))
@@ -368,7 +387,7 @@ def knn_fills(df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5,
     for shared, pairs in joins.items():
         table = F.broadcast(small_table(df.sparkSession, [(p, d, f"{p}|{d}") for p, d in pairs], "p string, d string, __b string"))
         asking = marked.join(table, F.col("__p") == F.col("p")).select(F.concat_ws("|", "__b", id_column).alias("__q"), "__b", *shared)
-        giving = marked.join(table, F.col("__p") == F.col("d")).select(id_column, "__b", *shared)
+        giving = giving_rows.join(table, F.col("__p") == F.col("d")).select(id_column, "__b", *shared)
         near = nearest(asking, giving, "__q", id_column, list(shared), k, "__b", **cells)
         scale = (len(columns) / len(shared)) ** 0.5
         part = near.select("__q", "neighbour", F.round(F.col("distance") * scale, 9).alias("distance"))
@@ -388,9 +407,9 @@ def knn_fills(df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5,
         best = F.row_number().over(Window.partitionBy("column", id_column).orderBy("distance", "neighbour"))
         chosen = found.withColumn("r", best).where(F.col("r") <= k)
         values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
-        donors = marked.select(F.col(id_column).alias("neighbour"), values.alias("v")).select("neighbour", "v.column", "v.value")
+        given = giving_rows.select(F.col(id_column).alias("neighbour"), values.alias("v")).select("neighbour", "v.column", "v.value")
         guesses = (
-            chosen.join(donors, ["column", "neighbour"]).groupBy(id_column)
+            chosen.join(given, ["column", "neighbour"]).groupBy(id_column)
             .agg(*[F.avg(F.when(F.col("column") == c, F.col("value"))).alias(f"__g_{c}") for c in columns])
         )
         filled = df.join(guesses, id_column, "left")

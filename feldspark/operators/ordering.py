@@ -116,8 +116,7 @@ def ranked_by_hash(df: DataFrame, id_column: str, seed: int | str, stratum: str
     before = Window.partitionBy(*([stratum] if stratum else [F.lit(0)])).orderBy("__p").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    if stratum:
-        stratum_sizes(df, stratum)
+    few = stratum is None or len(stratum_sizes(df, stratum)) <= 50
     offsets = (
         spread.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -131,7 +130,7 @@ def ranked_by_hash(df: DataFrame, id_column: str, seed: int | str, stratum: str
         match = term if match is None else match & term
     return (
         spread.withColumn("__local", F.row_number().over(local))
-        .join(F.broadcast(right), match, "left")
+        .join(F.broadcast(right) if few else right, match, "left")  # at most 50 x 4096 rows
         .withColumn("rank", (F.col("__local") + F.col("__off")).cast("bigint"))
         .drop("__h", "__p", "__local", "__off", *[f"__r_{i}" for i in range(len(groups))])
     )

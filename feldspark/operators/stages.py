@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import dbl, numeric_columns, string_columns
-from . import clean, encode, features, impute, outliers, scale
+from ..sources.tables import scratch_folder
+from . import clean, encode, explain, features, impute, models, outliers, scale
 from . import select as selection
+from .neighbours import knn_fills
 
 FITS: dict[str, Callable[[DataFrame, dict], dict]] = {}
 TRANSFORMS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
@@ -78,10 +80,16 @@ def _fit_impute(df, s):
     numbers = [c for c in holes if c in set(numeric_columns(held))]
     texts = [c for c in holes if c in set(string_columns(held))]
     strategy = s.get("numeric", "median")
-    learned = {"drop": drop, "indicators": numbers + texts if s.get("indicators", True) else [], "fills": {}, "chained": None}
+    learned = {"knn": None, "drop": drop, "indicators": numbers + texts if s.get("indicators", True) else [], "fills": {}, "chained": None}
     # Columns complete in training may still have holes later; they get the same statistic.
     spare = [c for c in _free(held, s, numeric_columns(held))]
-    if strategy == "iterative" and numbers:
+    if strategy == "knn" and numbers:
+        # donors are training rows, kept as a table beside the model
+        path = scratch_folder(df.sparkSession, "donors")
+        held.select(s["row_id"], *numbers).write.parquet(path)
+        learned["knn"] = {"path": path, "id": s["row_id"], "columns": numbers, "k": s.get("k", 5)}
+        learned["fills"] = impute.numeric_fills(held, spare)
+    elif strategy == "iterative" and numbers:
         learned["chained"] = impute.fit_chained(held, numbers)
         learned["fills"] = impute.numeric_fills(held, spare)
     else:
@@ -92,6 +100,9 @@ def _fit_impute(df, s):
 
 def _do_impute(df, v):
     held = clean.missing_indicators(df.drop(*v["drop"]), [c for c in v["indicators"] if c in df.columns])
+    if v["knn"]:
+        n = v["knn"]
+        held = knn_fills(held, n["id"], n["columns"], n["k"], df.sparkSession.read.parquet(n["path"]))
     if v["chained"]:
         held = impute.apply_chained(held, v["chained"])
     return impute.fill(held, v["fills"])
@@ -207,9 +218,12 @@ def _fit_select(df, s):
     varying = selection.keep_varying(df, columns, s.get("variance", 0.01))
     similar = set(selection.correlation_drops(df, varying, s["target"], s.get("correlation", 0.95)))
     current = [c for c in varying if c not in similar]
-    importance = selection.mutual_information(df, current, s["target"], classification=s.get("task") != "regression")
+    importance = _importance(df, current, s)
+    chosen = selection.top_features(importance, s.get("n"), s.get("share", 0.5))
+    if s.get("eliminate") and len(chosen) > 5:
+        chosen, _ = models.eliminate(df, s["row_id"], chosen, s["target"], s.get("task", "classification"))
     return {
-        "selected": selection.top_features(importance, s.get("n"), s.get("share", 0.5)),
+        "selected": chosen,
         "dropped_variance": [c for c in columns if c not in varying],
         "dropped_correlation": sorted(similar),
         "importance": importance,
@@ -217,6 +231,22 @@ def _fit_select(df, s):
     }
 
 
+def _importance(df, columns, s) -> dict[str, float]:
+    method, target, task = s.get("method", "mutual_info"), s["target"], s.get("task", "classification")
+    if method == "mutual_info":
+        return selection.mutual_information(df, columns, target, classification=task != "regression")
+    if method == "lasso":
+        return models.l1_importance(df, s["row_id"], columns, target, task)
+    if method not in ("tree", "shap"):
+        raise ValueError(f"unknown importance method {method!r}")
+    forest = models.random_forest(columns, target, task, s.get("trees", 200), 6 if method == "shap" else 10).fit(df)
+    if method == "tree":
+        return models.impurity_importance(forest, columns)
+    explained, _ = explain.tree_contributions(df, forest.stages[-1], columns)
+    sizes = explained.agg(*[F.avg(F.abs(F.col("contributions")[i])).alias(f"v{i}") for i in range(len(columns))]).first()
+    return dict(zip(columns, map(float, sizes)))
+
+
 def _do_select(df, v):
     gone = set(v["all"]) - set(v["selected"])
     return df.drop(*gone)

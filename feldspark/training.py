@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .config import TrainingConfig
-from .functions.roles import dbl, nan_to_null, numeric_columns
+from .functions.roles import dbl, nan_to_null
 from .operators import metrics as E
 from .operators import models as M
 from .operators.clean import drop_sparse_rows, validate_input
@@ -88,14 +88,15 @@ def train(df: DataFrame, config: TrainingConfig) -> TrainingResult:
     univariate = o.method in ("iqr", "zscore", "modified_zscore")
     plan = [
         TableStage("impute", keep=keep, drop_above=config.missing.drop_column_above, numeric=config.missing.numeric,
-                   categorical=config.missing.categorical, indicators=config.missing.indicators),
+                   categorical=config.missing.categorical, indicators=config.missing.indicators, row_id=row_id),
         TableStage("outliers", keep=keep, method=o.method if univariate else "iqr", threshold=o.threshold, treatment=o.treatment),
         TableStage("engineer", **config.engineering),
         TableStage("encode", keep=keep, threshold=config.encoding.threshold, high=config.encoding.high, target=target,
                    model_type=config.encoding.model_type, override=config.encoding.override),
         TableStage("scale", keep=keep, scaler=config.scaling.scaler, auto_transform=config.scaling.auto_transform),
         TableStage("select", keep=keep, target=target, variance=config.selection.variance, correlation=config.selection.correlation,
-                   n=config.selection.n_features, share=config.selection.share, task=m.task),
+                   n=config.selection.n_features, share=config.selection.share, method=config.selection.method,
+                   eliminate=config.selection.eliminate, row_id=row_id, task=m.task),
     ]
     fitted: list[TableModel] = []
     for stage in plan:
@@ -166,7 +167,3 @@ def _tuned(config, name, model, train_rows, val_ready, row_id, features, n):
 def prepare_only(df: DataFrame, stages: list[TableStage]) -> PipelineModel:
     """Fit a list of stages on training rows as one Spark pipeline."""
     return Pipeline(stages=stages).fit(df)
-
-
-def numeric_features(df: DataFrame, exclude) -> list[str]:
-    return numeric_columns(df, exclude)

@@ -163,3 +163,19 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     a = streamed.select("page_id", "probability", "label").orderBy("page_id").toPandas()
     b = batch.select("page_id", "probability", "label").orderBy("page_id").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_neighbour_imputation_and_shap_selection_stages(spark, data):
+    keep = ["id", "y"]
+    holed = data.drop("kind").withColumn("f3", F.when(F.col("id") % 6 == 0, None).otherwise(F.col("f3"))).withColumn(
+        "f4", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("f4"))
+    )
+    rows, new = holed.where("id < 400"), holed.where("id >= 400")
+    stages = [
+        TableStage("impute", keep=keep, numeric="knn", row_id="id", indicators=False),
+        TableStage("select", keep=keep, target="y", method="shap", trees=10, share=0.6, row_id="id"),
+    ]
+    prepared = prepare_only(rows, stages)
+    out = prepared.transform(new)
+    assert "f0" in out.columns and len(out.columns) == 5
+    assert out.count() == 200 and all(out.where(F.col(c).isNull()).count() == 0 for c in out.columns)
