@@ -55,6 +55,7 @@ def fit_bins(df: DataFrame, columns: Sequence[str], n_bins: int = 5, strategy: s
         edges = exact_quantiles(df, {c: [i / n_bins for i in range(n_bins + 1)] for c in columns})
     elif strategy in ("uniform", "kmeans"):
         ends = aggregate_row(df, {(c, f.__name__): f(dbl(c)) for c in columns for f in (F.min, F.max)})
+        columns = [c for c in columns if ends[c, "min"] is not None]
         edges = {c: [ends[c, "min"] + (ends[c, "max"] - ends[c, "min"]) * i / n_bins for i in range(n_bins + 1)] for c in columns}
         if strategy == "kmeans":
             for c in columns:
@@ -64,6 +65,9 @@ def fit_bins(df: DataFrame, columns: Sequence[str], n_bins: int = 5, strategy: s
         raise ValueError(f"unknown binning strategy {strategy!r}")
     merged = {}
     for c, values in edges.items():
+        if values[0] is None:  # a column without values has no bins
+            merged[c] = []
+            continue
         kept = [values[0]]
         for v in values[1:]:
             if v - kept[-1] > EPSILON:

@@ -16,7 +16,9 @@ MAX_CLASSES = 1_000
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> dict[tuple, int]:
-    rows = df.groupBy(label, prediction).count().limit(MAX_CLASSES * MAX_CLASSES).collect()
+    rows = df.groupBy(label, prediction).count().limit(MAX_CLASSES * MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES * MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: {label!r} looks like a regression target")
     return {(r[0], r[1]): r[2] for r in rows}
 
 

@@ -241,6 +241,7 @@ def top_categories(df: DataFrame, columns: Sequence[str], top: int = 15) -> Data
 def boxplots(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (last value within 1.5 IQR) and number of outliers."""
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    columns = [c for c in columns if quartiles[c][0] is not None]
     limits = {}
     for c in columns:
         q1, _, q3 = quartiles[c]
@@ -262,13 +263,9 @@ def boxplots(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Table (column, x, rank): the average rank of every distinct value."""
     counted = _long(df, columns).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
-    totals = sorted((r[0], r[1]) for r in counted.groupBy("column").agg(F.sum("n")).collect())
-    start, seen = [], 0
-    for c, n in totals:
-        start.append((c, seen))
-        seen += n
-    offsets = small_table(df.sparkSession, start, "column string, skip bigint")
-    running = running_totals(counted, ["column", "x"], ["n"]).join(F.broadcast(offsets), "column")
+    totals = running_totals(counted, ["column", "x"], ["n"])
+    offsets = totals.groupBy("column").agg(F.min(F.col("cum_n") - F.col("n")).alias("skip"))
+    running = totals.join(F.broadcast(offsets), "column")
     rank = F.col("cum_n") - F.col("skip") - (F.col("n") - 1) / F.lit(2.0)
     return running.select("column", "x", rank.cast("double").alias("rank"))
 
@@ -325,6 +322,8 @@ def cramers_v(df: DataFrame, a: str, b: str) -> float:
     for x, y, n in rows:
         left[x] = left.get(x, 0) + n
         right[y] = right.get(y, 0) + n
+    if min(len(left), len(right)) < 2:
+        return 0.0
     chi2 = total * (sum(n * n / (left[x] * right[y]) for x, y, n in rows) - 1)
     return (chi2 / (total * (min(len(left), len(right)) - 1))) ** 0.5
 

@@ -160,7 +160,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard") ->
         return {}
     if kind == "robust":
         q = exact_quantiles(df, {c: [0.05, 0.5, 0.95] for c in columns})
-        raw = {c: (v[1], v[2] - v[0]) for c, v in q.items()}
+        raw = {c: (v[1], v[2] - v[0]) for c, v in q.items() if v[1] is not None}
     else:
         fns = {
             "standard": (lambda x: F.avg(x), lambda x: F.stddev_pop(x)),
@@ -168,7 +168,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard") ->
             "maxabs": (lambda x: F.lit(0.0), lambda x: F.max(F.abs(x))),
         }[kind]
         found = aggregate_row(df, {(c, i): fn(dbl(c)) for c in columns for i, fn in enumerate(fns)})
-        raw = {c: (found[c, 0], found[c, 1]) for c in columns}
+        raw = {c: (found[c, 0], found[c, 1]) for c in columns if found[c, 1] is not None}
     return {c: (float(a), float(b) if b else 1.0) for c, (a, b) in raw.items()}
 
 

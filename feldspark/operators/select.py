@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -13,6 +14,8 @@ from ..session import small_table
 from .aggregates import aggregate_row
 from .features import apply_bins, fit_bins
 
+MAX_CELLS = 1_000_000
+
 
 def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return aggregate_row(df, {c: F.var_pop(dbl(c)) for c in columns})
@@ -63,8 +66,9 @@ def mutual_information(
         outcome = F.col(f"{target}_bin").cast("string")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_bin").cast("int").alias("bin")) for c in columns]))
     counts = binned.select(outcome.alias("y"), cells.alias("c")).select("y", "c.*").where("bin is not null and y is not null")
-    rows = counts.groupBy("feature", "bin", "y").count().limit(1_000_000).collect()
-    import math
+    rows = counts.groupBy("feature", "bin", "y").count().limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"{target!r} has too many values for a contingency table; treat it as a regression target")
 
     result = {}
     for c in columns:

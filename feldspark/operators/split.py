@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small_table
 from ..functions.roles import dbl, numeric_columns
 from .ordering import hash_cuts, hash_key, running_totals, stratum_sizes, with_rank
 
@@ -166,14 +165,12 @@ def ks_statistics(train: DataFrame, test: DataFrame, columns: Sequence[str] | No
     counted = values(train, 0).unionByName(values(test, 1)).groupBy("column", "x").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b")
     )
-    totals = counted.groupBy("column").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
-    ends = {r["column"]: (r["n1"], r["n2"]) for r in totals.collect()}
-    before, start = [0, 0], []
-    for c in sorted(ends):
-        start.append((c, before[0], before[1], *ends[c]))
-        before = [before[0] + ends[c][0], before[1] + ends[c][1]]
-    offsets = small_table(train.sparkSession, start, "column string, s1 bigint, s2 bigint, n1 bigint, n2 bigint")
+    # One row per distinct value from here on; every later step reads the written copy.
     running = running_totals(counted, ["column", "x"], ["a", "b"])
+    offsets = running.groupBy("column").agg(
+        F.min(F.col("cum_a") - F.col("a")).alias("s1"), F.min(F.col("cum_b") - F.col("b")).alias("s2"),
+        F.sum("a").alias("n1"), F.sum("b").alias("n2"),
+    )
     gap = F.abs((F.col("cum_a") - F.col("s1")) / F.col("n1") - (F.col("cum_b") - F.col("s2")) / F.col("n2"))
     return (
         running.join(F.broadcast(offsets), "column").groupBy("column")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.roles import rounded
 from ..operators import impute as I
 from ..operators import outliers as O
 from ..session import small_table

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.roles import rounded
 from ..operators import metrics as M
 from ..operators import resample as R
 from ..operators import select as L

@@ -166,4 +166,8 @@ def _tuned(config, name, model, train_rows, val_ready, row_id, features, n):
 
 def prepare_only(df: DataFrame, stages: list[TableStage]) -> PipelineModel:
     """Fit a list of stages on training rows as one Spark pipeline."""
-    return Pipeline(stages=stages).fit(df)
+    held = df.persist()  # every stage reads the rows at least once
+    try:
+        return Pipeline(stages=stages).fit(held)
+    finally:
+        held.unpersist()

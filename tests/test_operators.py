@@ -253,3 +253,15 @@ def test_config_is_checked():
     ):
         with pytest.raises(ConfigError):
             TrainingConfig.from_dict(bad)
+
+
+def test_empty_and_constant_columns(spark):
+    df = spark.createDataFrame([(1.0, None, "k"), (1.0, None, "k")], "a double, n double, t string")
+    assert outliers.iqr_bounds(df, ["n"]) == {}
+    for kind in ("standard", "minmax", "robust", "maxabs"):
+        assert list(scale.fit_scaler(df, ["a", "n"], kind)) == ["a"]
+    assert profile.boxplots(df, ["a", "n"]).count() == 1
+    assert profile.cramers_v(df.withColumn("u", F.lit("x")), "t", "u") == 0.0
+    assert [r["n"] for r in profile.histograms(df, ["a"]).collect()] == [2]
+    assert features.apply_bins(df, features.fit_bins(df, ["n"])).select("n_bin").first()[0] is None
+    assert impute.fill(df, impute.numeric_fills(df, ["n"])).where("n is null").count() == 2
