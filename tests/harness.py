@@ -71,7 +71,9 @@ def main(argv):
             folder = a
         else:
             names.append(a)
-    spark = local_session()
+    import os
+
+    spark = local_session(os.environ.get("CORES", "8"))
     connection = oracle_connection(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     chosen = [n for n in queries if not names or any(n == w or (w.endswith("*") and n.startswith(w[:-1])) for w in names)]
