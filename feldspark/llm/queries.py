@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import secrets, toxicity
+from .decontaminate import contained_items
 from .near_duplicates import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +37,7 @@ def shingles_sql(source: str, id_column: str, width: int) -> str:
     run = " || ' ' || ".join(f"ws[i + {k}]" for k in range(width))
     return f"""select distinct {id_column}, unnest(
             case when len(ws) = 0 then []::varchar[] when len(ws) < {width} then [array_to_string(ws, ' ')]
-            else list_transform(range(1, len(ws) - {width} + 2), i -> {run}) end) as sh
+            else list_transform(range(1, len(ws) - {width} + 2), lambda i: {run}) end) as sh
         from (select {id_column}, regexp_extract_all({LOWER.format("coalesce(text, '')")}, {WORDS}) as ws from {source})"""
 
 
@@ -57,3 +60,73 @@ def groups_sql(source: str, width: int, percent: int) -> str:
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=3, threshold_percent=85)
+
+
+def containment_sql(source: str) -> str:
+    """Pairs of a document and a benchmark item of which it holds 80 % of the distinct five-word shingles."""
+    return f"""iw as (select item_id, regexp_extract_all({LOWER.format('text')}, {WORDS}) as ws from benchmark where text is not null),
+    it as (select item_id, least(5, len(ws)) as w, unnest(list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2),
+        lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ')))) as sh from iw where len(ws) > 0),
+    widths as (select distinct w from it),
+    dw as (select doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, {WORDS}) as ws from {source}),
+    dt as (select distinct doc_id, w, unnest(list_transform(range(1, len(ws) - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' '))) as sh
+        from dw, widths where len(ws) >= w),
+    sized as (select item_id, count(*) as n from it group by 1),
+    contained as (select dt.doc_id, it.item_id, any_value(sized.n) as n_item_shingles, count(*) as n_shared
+        from it join dt using (w, sh) join sized using (item_id) group by 1, 2
+        having count(*) * 100 >= 80 * any_value(sized.n))"""
+
+
+@query(
+    "op4_decontamination",
+    f"""with {containment_sql('documents')}
+    select doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles as containment from contained""",
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def held_out(modulus: int, remainder: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out(3, 1)))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def matches_sql(text: str, pattern: str, group: int = 0) -> str:
+    """A list of start, end, value and group of the matches in ``text``."""
+    pattern = pattern.replace("'", "''")
+    return f"""(select coalesce(list({{'s': s, 'e': s + length(w), 'w': w, 'p': p}} order by i), []) from (
+            select i, w, p, (sum(length(b)) over (order by i) + coalesce(sum(length(w)) over (order by i rows between unbounded preceding and 1 preceding), 0))::bigint as s
+            from (select unnest(range(1, len(ws) + 1)) as i, unnest(ws) as w, unnest(ps) as p, unnest(bs[1:len(ws)]) as b from
+                (select regexp_extract_all({text}, '{pattern}', 0) as ws, regexp_extract_all({text}, '{pattern}', {group}) as ps,
+                    string_split_regex({text}, '{pattern}') as bs))))"""
+
+
+def _secrets_sql() -> str:
+    every = " union all ".join(
+        f"""select k, doc_id, {i} as place, '{r.kind}' as kind, unnest({matches_sql("t", r.pattern, r.part)}) as m from docs
+        where regexp_matches(t, '{r.pattern.replace("'", "''")}')"""
+        for i, r in enumerate(secrets.BASE + secrets.EXTRA)
+    )
+    least = " or ".join(f"place = {i} and length(m.p) < {r.least}" for i, r in enumerate(secrets.BASE) if r.least)
+    kinds = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secrets.BASE)
+    return f"""with docs as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
+    found as (select * from ({every}) where not ({least})),
+    strings as (select k, {kinds},
+        string_agg(kind || ':' || m.s || ':' || m.e, ',' order by m.s, place) filter (place < 3) as base,
+        string_agg(kind || ':' || m.s || ':' || m.e, ',' order by m.s, place) as spans from found group by 1)
+    select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.BASE)},
+        sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from docs left join strings using (k)"""
+
+
+@query("op2_secrets", _secrets_sql())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_digest(secrets.secret_spans(table(spark, folder, "documents").select("doc_id", "text")))
