@@ -1,11 +1,58 @@
-"""Corpus preparation in stages; each takes (spark, docs, sf_dir) and returns the documents it keeps."""
+"""Corpus preparation in stages; each takes (spark, docs, sf_dir) and returns the documents it keeps.
+
+Toxic documents go first, then all but one document of each group of near copies, then documents
+that hold benchmark items. Secrets are replaced by their kind, and the rest is repeated or sampled
+so that the sources take their target shares.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feldspark.llm import decontaminate, mixing, near_duplicates, secrets, toxicity
+from feldspark.session import cut_lineage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.without_copies(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(docs)
+    text = F.when(F.size("secrets") > 0, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
+    fresh = found.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars")))
+    return fresh.withColumn("text", text).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeated(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_copies),
+    ("decontamination", drop_benchmark),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+]
+
+#: The trained stage has no SQL; tests hold the stages against plain versions of the rest.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over the table of documents."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

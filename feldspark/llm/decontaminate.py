@@ -114,6 +114,37 @@ def _search(index, identities, id_column: str, text: str):
     return run
 
 
+def _blocks(items: DataFrame, item_column: str, item_text: str, width: int, percent: int, block_bytes: int):
+    """Indexes of the items and their ids, block by block."""
+    asked = items.select(F.col(item_column).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // max(1, block_bytes // 2)))
+    asked = asked.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    for block in range(blocks):
+        rows = asked.where(F.col("b") == block).select("i", "t").collect()
+        yield ItemIndex([r.t for r in rows], width, percent), [r.i for r in rows]
+
+
+def _free_of(index, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, chunk in text_batches(batches, text):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in index.value.found_in(chunk)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def without_items(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_column: str = "item_id", item_text: str = "text",
+    width: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item as ``contained_items`` finds them, with all their columns."""
+    for index, _ in _blocks(items, item_column, item_text, width, percent, block_bytes):
+        docs = docs.mapInArrow(_free_of(docs.sparkSession.sparkContext.broadcast(index), text), docs.schema)
+    return docs
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -137,17 +168,10 @@ def contained_items(
     """
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
-    asked = items.select(F.col(item_column).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    total = asked.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // max(1, block_bytes // 2)))
-    asked = asked.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
     result = None
-    for block in range(blocks):
-        rows = asked.where(F.col("b") == block).select("i", "t").collect()
-        index = spark.sparkContext.broadcast(ItemIndex([r.t for r in rows], width, percent))
-        names = spark.sparkContext.broadcast([r.i for r in rows])
+    for index, names in _blocks(items, item_column, item_text, width, percent, block_bytes):
         part = docs.select(id_column, text).mapInArrow(
-            _search(index, names, id_column, text),
+            _search(spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(names), id_column, text),
             f"`{id_column}` {kind}, __item bigint, n_item_shingles bigint, n_shared bigint",
         )
         result = part if result is None else result.unionByName(part)

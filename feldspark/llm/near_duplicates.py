@@ -271,24 +271,7 @@ def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(first).unionByName(cut_lineage(_meet(many, asking, percent)))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text: str = "text",
-    width: int = 5,
-    threshold_percent: int = 80,
-    bits: int = 2,
-) -> DataFrame:
-    """Group documents whose distinct ``width``-word shingles have a Jaccard similarity at the threshold or more.
-
-    Words are runs of characters other than space and 0x09-0x0D, with A-Z lowered; a text with
-    fewer words is one shingle. Links are confirmed on whole sets, of 64-bit shingle hashes.
-    Returns ``id_column``, ``n_shingles``, ``component_id`` (the smallest id linked directly or
-    through others) and ``kept`` (the row has that id). A text that is null or has no words has no
-    shingles and is its own component. Rows that repeat an id are the same document to the caller
-    and are kept or not together; a null id gets the smallest non-null id of its group, and is
-    kept if there is none. Other columns are ignored, and an empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, id_column: str, text: str, width: int, threshold_percent: int, bits: int) -> DataFrame:
     threshold = threshold_percent / 100
     bands, rows = band_shape(threshold)
     signed = cut_lineage(signatures(docs, id_column, text, width, bands, rows, bits))
@@ -317,6 +300,38 @@ def near_duplicates(
     rooted = rooted.withColumn("root", F.coalesce("root", "digest"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = rooted.join(smallest, "root").select("digest", "component_id")
-    with_sets = full.select(id_column, "n_shingles", "digest").join(of_class, "digest").drop("digest")
-    without = signed.where("digest is null").select(id_column, "n_shingles", F.col(id_column).alias("component_id"))
+    columns = [id_column, "text_key", "n_shingles", "component_id"]
+    with_sets = full.join(of_class, "digest").select(*columns)
+    without = signed.where("digest is null").withColumn("component_id", F.col(id_column)).select(*columns)
     return with_sets.unionByName(without).withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    width: int = 5,
+    threshold_percent: int = 80,
+    bits: int = 2,
+) -> DataFrame:
+    """Group documents whose distinct ``width``-word shingles have a Jaccard similarity at the threshold or more.
+
+    Words are runs of characters other than space and 0x09-0x0D, with A-Z lowered; a text with
+    fewer words is one shingle. Links are confirmed on whole sets, of 64-bit shingle hashes.
+    Returns ``id_column``, ``n_shingles``, ``component_id`` (the smallest id linked directly or
+    through others) and ``kept`` (the row has that id). A text that is null or has no words has no
+    shingles and is its own component. Rows that repeat an id are the same document to the caller
+    and are kept or not together; a null id gets the smallest non-null id of its group, and is
+    kept if there is none. Other columns are ignored, and an empty table gives an empty result.
+    """
+    return _grouped(docs, id_column, text, width, threshold_percent, bits).drop("text_key")
+
+
+def without_copies(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, threshold_percent: int = 80, bits: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    dropped = _grouped(docs, id_column, text, width, threshold_percent, bits).where(~F.col("kept"))
+    dropped = cut_lineage(dropped.select(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).distinct())
+    same = F.col(id_column).eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__key"))
+    return docs.join(dropped, same, "left_anti")

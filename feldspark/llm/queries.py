@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, toxicity
+from . import mixing, secrets, toxicity
 from .decontaminate import contained_items
 from .near_duplicates import near_duplicates
 
@@ -130,3 +130,28 @@ def _secrets_sql() -> str:
 @query("op2_secrets", _secrets_sql())
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_digest(secrets.secret_spans(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def mix_sql(source: str) -> str:
+    """CTEs ``sized`` and ``mixed``: size, source_size, target and times of every row of ``source``."""
+    return f"""sized as materialized (select doc_id, source, md5('1:' || coalesce(doc_id::varchar, '')) as draw,
+        coalesce(len(regexp_extract_all(text, {WORDS})), 0)::bigint as size from {source}),
+    sources as (select source, sum(size)::bigint as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight
+        from sized group by 1),
+    filled as (select *, (sum(source_size) over () - coalesce(sum(3 * source_size) over (order by source_size / weight, weight, source
+            rows between unbounded preceding and 1 preceding), 0))::bigint
+        / (sum(weight) over () - coalesce(sum(weight) over (order by source_size / weight, weight, source
+            rows between unbounded preceding and 1 preceding), 0))::bigint as level from sources),
+    plan as (select source, source_size, least(weight * (select level from filled where level * weight <= 3 * source_size order by source_size / weight, weight, source limit 1),
+        3.0::double * source_size) as target from sources),
+    drawn as (select s.*, p.source_size, p.target, p.target - floor(p.target / nullif(p.source_size, 0)) * p.source_size as rest,
+        sum(size) over (partition by s.source order by draw) as reached, sum(size) over (partition by s.source, draw) as own
+        from sized s join plan p on s.source is not distinct from p.source),
+    mixed as (select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint
+        + (source_size > 0 and 2 * reached - own <= 2 * rest)::bigint as times from drawn)"""
+
+
+@query("op6_mixing", f"with {mix_sql('documents')} select doc_id, size, source_size::bigint as source_size, target, (size * times)::bigint as taken from mixed")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))

@@ -374,3 +374,16 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
     return docs.select(id_column, text).mapInArrow(_scored(text, held, [id_column]), f"`{id_column}` {kind}, score double")
+
+
+def _below(text: str, model, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, chunk in text_batches(batches, text):
+            yield batch.filter(pa.array(model.value.scores(model.value.similarities(chunk)) < threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, whole."""
+    return docs.mapInArrow(_below(text, docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
