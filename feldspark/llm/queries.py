@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, toxicity
+from . import languages, mixing, secrets, toxicity
 from .decontaminate import contained_items
 from .near_duplicates import near_duplicates
 
@@ -155,3 +155,10 @@ def mix_sql(source: str) -> str:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+@query("op1_languages")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    draw = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = languages.identify(table(spark, folder, "documents"), train=draw > 1, calibrate=draw == 1)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "accepted")
