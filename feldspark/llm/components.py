@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+ROWS_PER_TASK = 100_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for every node of ``edges``.
 
@@ -21,6 +24,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     size = _fingerprint(links)
     while True:
+        # Tasks for the rows there are: many near-empty ones would cost more than the work.
+        links = links.coalesce(max(1, -(-size[0] // ROWS_PER_TASK)))
         links = cut_lineage(_small_star(_large_star(links)))
         before, size = size, _fingerprint(links)
         if size == before:
@@ -37,7 +42,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     linked = both.join(smallest, "u").where("v > u")
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@
 3. Joined classes form clusters. Only their texts are read again, for the whole sets; a
    cluster is dealt in blocks, and sets in a block are intersected through an inverted list.
    In a cluster of several blocks, a few pivots meet every block first. What they link is one
-   component, and only the rest then meets all blocks, so that no link is lost.
+   component, and of the rest those that prefix filtering cannot rule out meet all blocks, so that no link
+   is lost.
 4. Components of the confirmed links give the groups.
 """
 
@@ -23,7 +24,7 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -32,14 +33,15 @@ from .text import mix, shingle_hashes, text_batches, word_hashes, words
 
 LOST = 1e-6
 """A pair at the threshold misses every band with at most this probability."""
-JOIN_MARGIN = 0.30
-"""Estimates this far below the threshold, about seven standard errors, join no cluster."""
-CLOSE_MARGIN = 0.05
+JOIN_MARGIN = 0.35
+"""Estimates this far below the threshold, about eight standard errors, join no cluster."""
+CLOSE_MARGIN = 0.20
 """A member whose estimate with a leader is within this of the threshold leads no more itself.
 
-What is linked to it differs from the leader by little more, and so joins the same cluster.
+What is linked to it is at most the threshold's distance farther from the leader, and so joins the same
+cluster there or in one of the other bands the two share.
 """
-BLOCK = 256
+BLOCK = 512
 PIVOTS = 16
 
 
@@ -133,41 +135,35 @@ def estimated_similarity(left: Column, right: Column, minima: int, bits: int) ->
 
 def _clusters(classes: DataFrame, minima: int, bits: int, join_at: float, close_at: float) -> DataFrame:
     """``digest`` and ``cluster`` of the classes that joined a leader, or led one, in some band."""
-    banded = classes.select("digest", F.posexplode("bands").alias("band", "key"))
     # The band's number is part of its key's hash, so the key alone names the bucket.
+    banded = classes.select("digest", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    open_members = cut_lineage(banded.select("digest", "key").join(shared, "key"))
+    crowd = banded.join(shared, "key")
+    open_members = cut_lineage(crowd.join(classes.select("digest", "planes"), "digest").select("key", "digest", "planes", "members"))
     edges, leaders = None, 1
-    planes = classes.select("digest", "planes")
     while True:
         if leaders == 1:
-            chosen = open_members.groupBy("key").agg(F.min("digest").alias("leader"))
+            first = open_members.groupBy("key").agg(F.min(F.struct("digest", "planes")).alias("l"))
+            chosen = first.select("key", F.col("l.digest").alias("leader"), F.col("l.planes").alias("of"))
         else:
             draw = F.pmod(F.xxhash64("key", "digest", F.lit(leaders)), F.lit(1 << 30)) * F.col("members")
-            chosen = open_members.where(draw < F.lit(leaders << 30)).select("key", F.col("digest").alias("leader"))
-        pairs = open_members.join(chosen, "key").where("digest != leader")
-        measured = (
-            pairs.select("digest", "leader").distinct()
-            .join(planes, "digest")
-            .join(planes.select(F.col("digest").alias("leader"), F.col("planes").alias("of")), "leader")
-            .select("digest", "leader", estimated_similarity(F.col("planes"), F.col("of"), minima, bits).alias("near"))
-            .where(F.col("near") >= join_at)
-        )
-        measured = cut_lineage(measured)
-        edges = measured if edges is None else edges.unionByName(measured)
-        close = measured.where(F.col("near") >= close_at)
-        joined = pairs.select("key", "digest", "leader").join(close, ["digest", "leader"], "left_semi").select("key", "digest")
-        left = (
-            open_members.select("key", "digest")
-            .join(chosen.select("key", F.col("leader").alias("digest")).unionByName(joined).distinct(), ["key", "digest"], "left_anti")
-        )
+            chosen = open_members.where(draw < F.lit(leaders << 30)).select(
+                "key", F.col("digest").alias("leader"), F.col("planes").alias("of")
+            )
+        near = estimated_similarity(F.col("planes"), F.col("of"), minima, bits)
+        met = open_members.join(chosen, "key", "left").withColumn("near", near)
+        found = met.where((F.col("near") >= join_at) & (F.col("digest") != F.col("leader"))).select("digest", "leader").distinct()
+        found = cut_lineage(found)
+        edges = found if edges is None else edges.unionByName(found)
+        done = F.coalesce((F.col("near") >= close_at) | (F.col("digest") == F.col("leader")), F.lit(False))
+        left = met.groupBy("key", "digest").agg(F.first("planes").alias("planes"), F.max(done).alias("done")).where("not done")
         counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        open_members = cut_lineage(left.join(counted, "key"))
+        open_members = cut_lineage(left.drop("done").join(counted, "key"))
         if open_members.isEmpty():
             break
         leaders *= 2
-    found = components(edges, "digest", "leader")
-    return found.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
+    grouped = components(edges, "digest", "leader")
+    return grouped.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
 
 
 def _set_batches(text: str, width: int):
@@ -246,6 +242,35 @@ def _meet(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("cluster", "block", "piece").applyInPandas(_block_links(percent), "a binary, b binary")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        for lo in range(0, len(sets), 64):
+            n = sizes[lo : lo + 64]
+            owner = pa.array(np.repeat(np.arange(lo, lo + len(n)), n))
+            columns = [batch.column("digest").take(owner), batch.column("cluster").take(owner), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets[lo : lo + 64]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "cluster", "size", "shingle"])
+
+
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """``digest`` of the sets that can be linked to another of their cluster.
+
+    With shingles in order of how few sets of the cluster hold them, two sets at the threshold share
+    one of the first n - ceil(threshold n) + 1 of either; a set that shares none of those has no link.
+    """
+    rows = sets.select("digest", "cluster", "shingles").mapInArrow(
+        _shingle_rows, "digest binary, cluster binary, size bigint, shingle bigint"
+    )
+    rows = rows.select(F.xxhash64("cluster").alias("cluster"), "digest", "size", "shingle")
+    held = rows.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy("sets", "shingle"))
+    ranked = rows.join(held.where("sets > 1"), ["cluster", "shingle"], "left").fillna(1, ["sets"]).withColumn("rank", rank)
+    first = cut_lineage(ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).where("sets > 1").select("digest", "cluster", "shingle"))
+    common = first.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    return first.join(common, ["cluster", "shingle"], "left_semi").select("digest").distinct()
+
+
 def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     """A forest of confirmed links that connects what the similarity graph connects."""
     one = sets.where("blocks = 1").withColumn("pieces", F.lit(1).cast("bigint"))
@@ -266,6 +291,7 @@ def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     sizes = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("top")).select("cluster", F.col("top.root").alias("root"))
     rest = placed.join(largest, ["cluster", "root"], "left_anti").select("digest", "cluster")
+    rest = rest.join(_linkable(many, percent), "digest", "left_semi")
     pieces = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("pieces"))
     asking = many.join(rest.select("digest"), "digest", "left_semi").join(pieces, "cluster")
     return links.unionByName(first).unionByName(cut_lineage(_meet(many, asking, percent)))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, mixing, secrets, toxicity
+from ..sources.tables import scratch_folder
+from . import languages, mixing, quality, secrets, toxicity, warc
 from .decontaminate import contained_items
 from .near_duplicates import near_duplicates
 
@@ -162,3 +163,26 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     draw = F.crc32(F.col("doc_id").cast("string")) % 5
     found = languages.identify(table(spark, folder, "documents"), train=draw > 1, calibrate=draw == 1)
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
+    )
+
+
+@query(
+    "op8_warc",
+    """with p as (select page_id, coalesce(html, '') as t, sha256(coalesce(html, '')) as d, strlen(coalesce(html, ''))::bigint as n from pages),
+    f as (select *, case when n >= 100 then min(page_id) over (partition by d) else page_id end as first from p)
+    select page_id, n as payload_bytes, d as payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+        case when first <> page_id then first end as refers_to from f""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    archives = scratch_folder(spark, "warc")
+    written = warc.write(table(spark, folder, "pages"), archives)
+    return warc.read(spark, archives, written, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
