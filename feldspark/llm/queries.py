@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scratch_folder
-from . import languages, mixing, quality, secrets, toxicity, warc
+from . import conversations, languages, mixing, personal, quality, secrets, toxicity, warc
 from .decontaminate import contained_items
 from .near_duplicates import near_duplicates
 
@@ -186,3 +186,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, archives, written, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query(
+    "op3_conversations",
+    """with t as (select conv_id, coalesce(turn, 9223372036854775807) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+    c as (select conv_id, list({'r': role, 't': text} order by turn, role, text) as ts from t group by 1),
+    prefixes as (select distinct ts[1:k] as ts from (select ts, unnest(range(1, len(ts))) as k from c)),
+    kept as (select min(conv_id) as conv_id, ts from c where ts not in (select ts from prefixes) group by ts)
+    select conv_id, 0::bigint as part, len(ts) as n_turns,
+        array_to_string(list_transform(ts, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), '') as text from kept""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.maximal_conversations(table(spark, folder, "conversations"))
+
+
+@query("op5_personal")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return personal.personal_digest(personal.personal_spans(docs, personal.fit(docs)))
