@@ -26,8 +26,8 @@ from .text import Chunk, mix, text_batches
 ORDER = 4
 RUN = 5
 DECAY = 0.7
-DEGREE = 3
-"""Power of the similarity to a landmark: a common subsequence or two count little next to all of them."""
+DEGREE = 2
+"""Power of the similarity to a landmark: a few common subsequences count little next to all of them."""
 LANDMARKS = 96
 TRAIN_ROWS = 6_000
 """At most about this many training documents of either label."""
