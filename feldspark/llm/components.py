@@ -11,6 +11,11 @@ from ..session import cut_lineage
 ROWS_PER_TASK = 100_000
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for the rows there are: many near-empty ones would cost more, in files and time, than the work."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for every node of ``edges``.
 
@@ -24,9 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     size = _fingerprint(links)
     while True:
-        # Tasks for the rows there are: many near-empty ones would cost more than the work.
-        links = links.coalesce(max(1, -(-size[0] // ROWS_PER_TASK)))
-        links = cut_lineage(_small_star(_large_star(links)))
+        tasks = tasks_for(size[0])
+        links = _large_star(links.coalesce(tasks)).coalesce(tasks)
+        links = cut_lineage(_small_star(links, tasks).coalesce(tasks))
         before, size = size, _fingerprint(links)
         if size == before:
             break
@@ -45,7 +50,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
     smallest = links.groupBy("u").agg(F.min("v").alias("m"))
     moved = links.join(smallest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return smallest.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
+    return smallest.select("u", F.col("m").alias("v")).unionByName(moved).coalesce(tasks).distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .components import components
+from .components import components, tasks_for
 from .text import mix, shingle_hashes, text_batches, word_hashes, words
 
 LOST = 1e-6
@@ -141,7 +141,9 @@ def _clusters(classes: DataFrame, minima: int, bits: int, join_at: float, close_
     crowd = banded.join(shared, "key")
     open_members = cut_lineage(crowd.join(classes.select("digest", "planes"), "digest").select("key", "digest", "planes", "members"))
     edges, leaders = None, 1
-    while True:
+    while (members := open_members.count()) or edges is None:
+        tasks = tasks_for(members)
+        open_members = open_members.coalesce(tasks)
         if leaders == 1:
             first = open_members.groupBy("key").agg(F.min(F.struct("digest", "planes")).alias("l"))
             chosen = first.select("key", F.col("l.digest").alias("leader"), F.col("l.planes").alias("of"))
@@ -153,14 +155,12 @@ def _clusters(classes: DataFrame, minima: int, bits: int, join_at: float, close_
         near = estimated_similarity(F.col("planes"), F.col("of"), minima, bits)
         met = open_members.join(chosen, "key", "left").withColumn("near", near)
         found = met.where((F.col("near") >= join_at) & (F.col("digest") != F.col("leader"))).select("digest", "leader").distinct()
-        found = cut_lineage(found)
+        found = cut_lineage(found.coalesce(tasks))
         edges = found if edges is None else edges.unionByName(found)
         done = F.coalesce((F.col("near") >= close_at) | (F.col("digest") == F.col("leader")), F.lit(False))
         left = met.groupBy("key", "digest").agg(F.first("planes").alias("planes"), F.max(done).alias("done")).where("not done")
         counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        open_members = cut_lineage(left.drop("done").join(counted, "key"))
-        if open_members.isEmpty():
-            break
+        open_members = cut_lineage(left.drop("done").join(counted, "key").coalesce(tasks))
         leaders *= 2
     grouped = components(edges, "digest", "leader")
     return grouped.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))

@@ -150,6 +150,18 @@ def _letter_bits(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1)
 
 
+def _common_length(codes: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row with one landmark, on bits; the kernel is zero under ORDER."""
+    places = np.zeros(codes.shape, np.uint8)
+    for i, c in enumerate(mark):
+        places |= (codes == c).astype(np.uint8) << np.uint8(i)
+    open_bits = np.full(len(codes), 255, np.uint8)
+    for column in places.T:
+        used = open_bits & column
+        open_bits = (open_bits + used) | (open_bits - used)
+    return np.bitwise_count(~open_bits & np.uint8((1 << len(mark)) - 1))
+
+
 @dataclass
 class Model:
     """Landmarks with their own kernel values, and weights of the similarities (Nystroem map folded in)."""
@@ -166,18 +178,18 @@ class Model:
         self.bits = _letter_bits(self.landmarks)
 
     def similarities(self, chunk: Chunk) -> np.ndarray:
-        """Documents by landmarks. A unit that lacks two or more of a landmark's letters is as dissimilar as can be."""
+        """Documents by landmarks. The kernel is only worked out where it is not zero."""
         n = len(chunk.offsets) - 1
         found = units_of(chunk)
         result = np.zeros((n, len(self.landmarks)), np.float32)
         if not len(found.unit) or not len(self.landmarks):
             return result
         bits = _letter_bits(found.codes)
-        by_length = np.argsort(found.lengths, kind="stable")
-        values_unit, values_mark, values = [], [], []
+        values_unit, values_mark = [], []
         for mark in range(len(self.landmarks)):
             lacking = np.bitwise_count(self.bits[mark] & ~bits)
-            near = by_length[(lacking <= 1)[by_length]]
+            near = np.flatnonzero(lacking <= RUN - ORDER)
+            near = near[_common_length(found.codes[near], self.landmarks[mark]) >= ORDER]
             values_unit.append(near)
             values_mark.append(np.full(len(near), mark))
         unit, mark = np.concatenate(values_unit), np.concatenate(values_mark)
@@ -196,7 +208,8 @@ class Model:
         # Occurrences of the units that are like any landmark, then the greatest value per row and landmark.
         order = np.argsort(unit, kind="stable")
         unit, mark, values = unit[order], mark[order], values[order]
-        low, high = np.searchsorted(unit, found.unit), np.searchsorted(unit, found.unit, "right")
+        starts = np.searchsorted(unit, np.arange(len(found.codes) + 1))
+        low, high = starts[found.unit], starts[found.unit + 1]
         hits = high > low
         low, count, row = low[hits], (high - low)[hits], found.row[hits]
         total = int(count.sum())
