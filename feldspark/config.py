@@ -13,6 +13,7 @@ SCALERS = ("standard", "minmax", "robust", "maxabs", "power", "none")
 TASKS = ("classification", "regression")
 IMPORTANCE = ("mutual_info", "tree", "lasso", "shap")
 METRICS = ("roc_auc", "f1", "accuracy", "r2", "rmse", "mae")
+RESAMPLING = ("none", "smotetomek", "smoteenn", "smote", "smotenc", "adasyn", "oversample", "undersample", "class_weight")
 MODELS = ("logistic_regression", "linear_regression", "decision_tree", "random_forest", "boosting", "mlp")
 
 
@@ -120,6 +121,7 @@ class ModelingConfig:
     def __post_init__(self):
         _one_of("modeling.task", self.task, TASKS)
         _one_of("modeling.metric", self.metric, METRICS)
+        _one_of("modeling.resampling", self.resampling, RESAMPLING)
         for name in self.models:
             _one_of("modeling.models", name, MODELS)
 

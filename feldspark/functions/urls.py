@@ -27,16 +27,20 @@ COUNTED_CHARACTERS = {
 }
 
 # Top-level domains whose occurrences are counted.
-COMMON_TLDS = (
-    "com org net edu gov mil int info biz name pro aero coop museum co io me tv cc us uk de fr br ru cn jp kr in au "
-    "ca id xyz top site online club app dev tech store shop blog cloud ai ly"
-).split()
+COMMON_TLDS = [
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero",
+    "coop", "museum", "co", "io", "me", "tv", "cc", "us", "uk", "de", "fr", "br",
+    "ru", "cn", "jp", "kr", "in", "au", "ca", "id", "xyz", "top", "site", "online",
+    "club", "app", "dev", "tech", "store", "shop", "blog", "cloud", "ai", "ly",
+]
 
 # Hosts of link shorteners.
-SHORTENER_HOSTS = (
-    "bit.ly tinyurl.com t.co goo.gl is.gd cli.gs ow.ly rebrand.ly bl.ink short.io cutt.ly buff.ly soo.gd tiny.cc "
-    "lnkd.in db.tt qr.ae adf.ly bit.do mcaf.ee su.pr yourls.org v.gd tr.im"
-).split()
+SHORTENER_HOSTS = [
+    "bit.ly", "tinyurl.com", "t.co", "goo.gl", "is.gd", "cli.gs",
+    "ow.ly", "rebrand.ly", "bl.ink", "short.io", "cutt.ly", "buff.ly",
+    "soo.gd", "tiny.cc", "lnkd.in", "db.tt", "qr.ae", "adf.ly",
+    "bit.do", "mcaf.ee", "su.pr", "yourls.org", "v.gd", "tr.im",
+]
 
 # Second-level labels that make a three-label root domain.
 SECOND_LEVEL_LABELS = ["co", "com", "org", "net", "ac", "gov", "edu"]
@@ -177,7 +181,8 @@ def domain_features(name: str) -> dict[str, Column]:
 
 
 def directory_features(column: str) -> dict[str, Column]:
-    return _null_when_empty(column, {**character_counts(column, "directory"), "directory_length": _size(column)})
+    features = {**character_counts(column, "directory"), "directory_length": _size(column)}
+    return {k: F.when((F.length(column) > 0) & (F.col(column) != "/"), v) for k, v in features.items()}
 
 
 def file_features(column: str) -> dict[str, Column]:

@@ -20,7 +20,9 @@ POOLED = "infrequent_sklearn"
 
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Table (column, level, n) of non-null values."""
+    """Table (column, level, n) of non-null values; empty without columns."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, level string, n bigint")
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns]))
     return (
         df.select(pairs.alias("p")).select("p.*").where("level is not null").groupBy("column", "level")
@@ -34,6 +36,8 @@ def fit_rare(df: DataFrame, columns: Sequence[str], tolerance: float = 0.05, min
     Columns with more than ``min_levels`` levels keep those at or above the tolerance, at
     most 1/tolerance of them; the rest keep all.
     """
+    if not columns:
+        return {}
     counts = level_counts(df, columns)
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("levels"))
     kept = counts.join(F.broadcast(totals), "column").where(
@@ -46,6 +50,8 @@ def fit_rare(df: DataFrame, columns: Sequence[str], tolerance: float = 0.05, min
 
 
 def apply_rare(df: DataFrame, kept: Mapping[str, Sequence[str]]) -> DataFrame:
+    if not kept:
+        return df
     return df.withColumns(
         {c: F.when(F.col(c).isNull() | F.col(c).isin(list(levels)), F.col(c)).otherwise(RARE) for c, levels in kept.items()}
     )

@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import dbl
 from .aggregates import exact_quantiles
-from .ordering import hash_cuts, hash_key, hash_uniform
+from .ordering import ranked_by_hash
 
 SAMPLE_ROWS = 256
 
@@ -70,22 +70,20 @@ def _flat(nodes):
 
 
 def _tree_samples(df: DataFrame, id_column: str, columns: Sequence[str], trees: int, seed: int) -> DataFrame:
-    """(tree, x): up to 256 rows per tree, drawn by hash order.
+    """(tree, x): 256 rows for each tree, or all if there are fewer.
 
-    A large table deals its first trees x 256 rows in hash order; a small one draws anew
-    for every tree.
+    The trees take runs of that length one after another in hash order, and begin anew when it
+    ends, so small tables give trees that share rows and large ones trees that do not.
     """
-    vector = F.array(*[dbl(c) for c in columns]).alias("x")
     n = df.count()
-    wanted = trees * SAMPLE_ROWS
-    if n > wanted:
-        cut = hash_cuts(df, id_column, seed, {None: [wanted]})[None][0]
-        key = hash_key(id_column, seed)
-        picked = df.where(key <= F.lit(cut))
-        return picked.select(F.floor(hash_uniform(F.concat(F.lit("tree:"), key)) * trees).cast("int").alias("tree"), vector)
-    every = df.select(F.col(id_column).alias("id"), vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree"), F.lit(":"), F.col("id").cast("string"))))
-    return every.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_ROWS).select("tree", "x")
+    size = min(SAMPLE_ROWS, n)
+    spark = df.sparkSession
+    # trees x 256 rows, whatever the size of the table
+    wanted = spark.range(trees * size).select(
+        F.floor(F.col("id") / max(size, 1)).cast("int").alias("tree"), (F.pmod("id", F.lit(max(n, 1))) + 1).alias("rank")
+    )
+    ranked = ranked_by_hash(df.select(id_column, F.array(*[dbl(c) for c in columns]).alias("x")), id_column, seed)
+    return ranked.join(F.broadcast(wanted), "rank").select("tree", "x")
 
 
 def fit_isolation_forest(

@@ -23,11 +23,11 @@ from .split import split_kfold
 
 LARGER_IS_BETTER = {"roc_auc": True, "f1": True, "accuracy": True, "r2": True, "rmse": False, "mae": False}
 
-# Boosting presets. Rounds are an upper limit, training stops when validation stops improving.
+# Boosting presets, as far as MLlib has the setting (63 leaves are a depth of 6). Rounds are an upper limit, training stops when validation stops improving.
 BOOSTING_PRESETS = {
-    "xgboost": {"rounds": 2000, "rate": 0.05, "depth": 6, "subsample": 0.8},
-    "lightgbm": {"rounds": 2000, "rate": 0.05, "depth": 6, "subsample": 0.8},
-    "catboost": {"rounds": 2000, "rate": 0.05, "depth": 6, "subsample": 0.8},
+    "xgboost": {"rounds": 2000, "rate": 0.05, "depth": 6, "subsample": 0.8, "share": "0.8", "min_leaf": 5, "min_gain": 0.0},
+    "lightgbm": {"rounds": 2000, "rate": 0.05, "depth": 6, "subsample": 0.8, "share": "0.8", "min_leaf": 20, "min_gain": 0.0},
+    "catboost": {"rounds": 2000, "rate": 0.05, "depth": 6, "subsample": 1.0, "share": "all", "min_leaf": 1, "min_gain": 0.0},
 }
 
 
@@ -52,7 +52,10 @@ def decision_tree(features, label: str, depth: int = 5, min_leaf: int = 20, min_
     return with_vector(model.setWeightCol(weight) if weight else model, features)
 
 
-def random_forest(features, label: str, task: str = "classification", trees: int = 200, depth: int = 10, min_leaf: int = 2, seed: int = 42):
+def random_forest(
+    features, label: str, task: str = "classification", trees: int = 200, depth: int = 10, min_leaf: int = 2,
+    weight: str | None = None, seed: int = 42,
+):
     if task == "classification":
         model = C.RandomForestClassifier(
             labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed
@@ -61,7 +64,7 @@ def random_forest(features, label: str, task: str = "classification", trees: int
         model = R.RandomForestRegressor(
             labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="onethird", seed=seed
         )
-    return with_vector(model, features)
+    return with_vector(model.setWeightCol(weight) if weight else model, features)
 
 
 def boosting(
@@ -78,8 +81,9 @@ def boosting(
     p = {**BOOSTING_PRESETS[preset], **changes}
     kind = C.GBTClassifier if task == "classification" else R.GBTRegressor
     model = kind(
-        labelCol=label, maxIter=p["rounds"], stepSize=p["rate"], maxDepth=p["depth"], subsamplingRate=p["subsample"], seed=seed
-    )
+        labelCol=label, maxIter=p["rounds"], stepSize=p["rate"], maxDepth=p["depth"], subsamplingRate=p["subsample"],
+        featureSubsetStrategy=p["share"], minInstancesPerNode=p["min_leaf"], minInfoGain=p["min_gain"], seed=seed,
+    )
     if validation:
         model = model.setValidationIndicatorCol(validation)
     if weight:
@@ -246,13 +250,18 @@ def _append_probability(df: DataFrame, model: PipelineModel, name: str) -> DataF
 
 
 def choose_champion(
-    candidates: Mapping[str, Pipeline], train: DataFrame, val: DataFrame, label: str, metric: str = "roc_auc", baseline: float | None = None
-) -> tuple[str, PipelineModel, DataFrame]:
-    """Fit every candidate, compare on validation, keep the best; a failing candidate is skipped."""
+    candidates: Mapping[str, Pipeline], train: DataFrame, val: DataFrame, label: str, metric: str = "roc_auc",
+    baseline: float | None = None, rows: Mapping[str, DataFrame] | None = None,
+) -> tuple[str, PipelineModel, DataFrame]:
+    """Fit every candidate, compare on validation, keep the best; a failing candidate is skipped.
+
+    ``rows`` names other rows to fit a candidate on, such as those with the mark for early stopping.
+    """
+    fit_on = dict(rows or {})
     judge, rows, best = evaluator(metric, label), [], None
     for name, estimator in candidates.items():
         try:
-            model = estimator.fit(train)
+            model = estimator.fit(fit_on.get(name, train))
             value = float(judge.evaluate(model.transform(val)))
         except Exception as error:
             rows.append((name, None, f"failed: {type(error).__name__}"))

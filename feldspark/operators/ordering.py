@@ -27,8 +27,8 @@ def hash_key(id_column: str | Column, seed: int | str) -> Column:
 
 
 def hash_uniform(text: Column) -> Column:
-    """A number in [0, 1) from the first eight hex digits of md5(text)."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A number in [0, 1) from the first thirteen hex digits of md5(text), as many as a double holds."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def hash_cuts(

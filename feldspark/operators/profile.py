@@ -171,6 +171,9 @@ def missing_correlation(df: DataFrame) -> DataFrame:
 
 
 def _long(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    if not columns:
+        none = [F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("x")]
+        return df.select(*keep, *none).where(F.lit(False))
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), dbl(c).alias("x")) for c in columns]))
     return df.select(*keep, pairs.alias("p")).select(*keep, "p.column", "p.x").where("x is not null")
 
@@ -226,7 +229,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, thres
 
 def top_categories(df: DataFrame, columns: Sequence[str], top: int = 15) -> DataFrame:
     """Most frequent values of each text column, with its number of distinct values."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    named = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    pairs = F.explode(F.array(*named) if named else F.array().cast("array<struct<column:string,value:string>>"))
     counted = (
         df.select(pairs.alias("p")).select("p.*").where("value is not null").groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from ..functions.normal import normal_quantile
 from ..functions.roles import dbl, numeric_columns
 from .aggregates import aggregate_row, exact_quantiles, per_column
 from .clean import binary_columns
+from .ordering import running_totals
 
 SEARCH_POINTS = 41
 SEARCH_PASSES = 4
@@ -65,6 +67,8 @@ def fit_powers(df: DataFrame, columns: Sequence[str], method: str = "yeojohnson"
     are (column, grid point); the next pass narrows the grid around the best point.
     """
     transform = {"yeojohnson": yeo_johnson, "boxcox": box_cox}[method]
+    if not columns:
+        return {}
     x = F.col("x")
     jacobian = F.signum(x) * F.log1p(F.abs(x)) if method == "yeojohnson" else F.log(x)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), dbl(c).alias("x")) for c in columns]))
@@ -103,23 +107,30 @@ def fit_transform(df: DataFrame, columns: Sequence[str], method: str) -> dict:
         n = df.count()
         points = max(2, min(QUANTILE_POINTS, n))
         shares = [i / (points - 1) for i in range(points)]
-        return {"method": method, "grids": exact_or_sketched(df, columns, shares)}
+        return {"method": method, "grids": quantile_grids(df, columns, shares)}
     return {"method": method, "columns": list(columns)}
 
 
-def exact_or_sketched(df: DataFrame, columns: Sequence[str], shares: Sequence[float], limit: int = 1_000_000) -> dict:
-    """A fine quantile grid: exact for tables within ``limit`` rows, else from a bounded summary.
+def quantile_grids(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict:
+    """A fine grid of exact quantiles of each column, by one rule whatever the size of the table.
 
-    The grid only shapes a monotone transform; a thousand exact order statistics of a
-    large table would cost many passes for no visible gain.
+    Values are counted, and running totals over the distinct ones place every order statistic;
+    a quantile between two of them is interpolated.
     """
-    counts = aggregate_row(df, {c: F.count(dbl(c)) for c in columns})
-    small = [c for c in columns if counts[c] <= limit]
-    large = [c for c in columns if counts[c] > limit]
-    grids = exact_quantiles(df, {c: list(shares) for c in small}) if small else {}
-    if large:
-        grids.update(aggregate_row(df, {c: F.percentile_approx(dbl(c), list(shares), 100_000) for c in large}))
-    return {c: [float(v) for v in grids[c]] for c in columns}
+    grids: dict = {}
+    for c in columns:
+        counted = df.select(dbl(c).alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        placed = running_totals(counted, ["x"], ["n"])
+        total = placed.select("all_n").first()
+        if total is None:
+            grids[c] = [0.0 for _ in shares]
+            continue
+        spots = [share * (total[0] - 1) for share in shares]
+        wanted = sorted({r for spot in spots for r in (math.floor(spot), math.ceil(spot))})
+        ranks = F.explode(F.filter(F.array(*[F.lit(r) for r in wanted]), lambda r: (r < F.col("cum_n")) & (r >= F.col("cum_n") - F.col("n"))))
+        at = {r["r"]: r["x"] for r in placed.select(ranks.alias("r"), "x").collect()}  # two rows a share at most
+        grids[c] = [float(at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s))) for s in spots]
+    return grids
 
 
 def apply_transform(df: DataFrame, fitted: Mapping) -> DataFrame:

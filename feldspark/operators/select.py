@@ -57,6 +57,8 @@ def mutual_information(
     One aggregation counts every (feature, bin, target) cell; there are at most
     features x bins x classes of them.
     """
+    if not columns:
+        return {}
     edges = fit_bins(df, columns, bins)
     binned = apply_bins(df, edges)
     if classification:

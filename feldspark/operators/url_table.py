@@ -37,7 +37,11 @@ def decode_idn(df: DataFrame, url_column: str) -> DataFrame:
         named.where(odd).select("__auth").distinct().mapInPandas(_decode_hosts, "__auth string, __dec string")
         .where(F.col("__dec") != F.col("__auth"))
     )
-    joined = named.join(decoded, "__auth", "left")
+    # Plain hosts cannot change and need no join; a missing address is neither odd nor plain.
+    plain = ~F.coalesce(odd, F.lit(False))
+    joined = named.where(plain).withColumn("__dec", F.lit(None).cast("string")).unionByName(
+        named.where(~plain).join(decoded, "__auth", "left")
+    )
     changed = F.col("__dec").isNotNull() & (F.col("__auth") != "")
     readable = F.when(changed, F.replace(F.col(url_column), F.col("__auth"), F.col("__dec"))).otherwise(F.col(url_column))
     return joined.select(

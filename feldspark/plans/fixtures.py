@@ -68,4 +68,4 @@ def md5_order(seed, column):
 
 
 def md5_uniform(text_sql):
-    return f"(cast(('0x' || substr(md5({text_sql}), 1, 8)) as bigint) / 4294967296.0::double)"
+    return f"(cast(('0x' || substr(md5({text_sql}), 1, 13)) as bigint) / 4503599627370496.0::double)"

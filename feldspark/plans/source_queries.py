@@ -103,7 +103,8 @@ def sentinel_to_null(spark, sf):
     return C.sentinel_to_null(coded)
 
 
-@query("validate_input", "select count(*) as n_rows, 0::bigint as n_null_target, 0 as few_rows from labels")
+@query("validate_input", """select count(*) as n_rows, count(*) filter (quality is null) as n_null_target,
+  (count(*) < 100)::int as few_rows from labels""")
 def validate_input(spark, sf):
     found = C.validate_input(table(spark, sf, "labels"), "quality")
     return small_table(spark, [(found["n_rows"], found["n_null_target"], int(found["few_rows"]))], "n_rows bigint, n_null_target bigint, few_rows int")

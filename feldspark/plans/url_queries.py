@@ -72,7 +72,7 @@ def _nonempty(expr, features):
     return {k: f"case when {expr} <> '' then {v} end" for k, v in features.items()}
 
 
-_DIRECTORY = _nonempty("dir", {**_counts_sql("dir", "directory"), "directory_length": "length(dir)::double"})
+_DIRECTORY = _nonempty("nullif(dir, '/')", {**_counts_sql("dir", "directory"), "directory_length": "length(dir)::double"})
 _FILE = _nonempty("fil", {**_counts_sql("fil", "file"), "file_length": "length(fil)::double"})
 _PARAMS = {
     **_nonempty(

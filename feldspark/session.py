@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
-
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -12,6 +13,11 @@ from pyspark.sql import types as T
 
 def local_session(cores: str = "8", app: str = "feldspark", **conf: str) -> SparkSession:
     """A local session with the settings the results assume (UTC, adaptive execution)."""
+    # Python workers import the package by name, from whatever folder the driver was started in.
+    root = str(Path(__file__).resolve().parent.parent)
+    known = os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

@@ -103,7 +103,16 @@ def write_feather(df: DataFrame, folder: str, rows_per_file: int = FEATHER_ROWS_
         if held:
             yield flush()
 
-    df.mapInArrow(write, "file string, rows bigint").agg(F.sum("rows")).first()
+    written = df.mapInArrow(write, "file string, rows bigint").collect()  # one row per file
+    # Files of an earlier write, or of a lost attempt that cut its rows otherwise, do not belong to the table.
+    from pyarrow import fs
+
+    target, base = fs.FileSystem.from_uri(os.path.abspath(folder) if "://" not in folder else folder)
+    target.create_dir(base, recursive=True)
+    kept = {r["file"] for r in written}
+    for found in target.get_file_info(fs.FileSelector(base)):
+        if found.base_name.endswith(".feather") and found.base_name not in kept:
+            target.delete_file(found.path)
     return folder
 
 

@@ -37,7 +37,12 @@ class TrainingResult:
     settings: dict = field(default_factory=dict)
 
 
-def build_model(name: str, features, label: str, n_rows: int, task: str, settings: dict, early: str | None = None):
+def build_model(
+    name: str, features, label: str, n_rows: int, task: str, settings: dict, early: str | None = None, weight: str | None = None
+):
+    """A model by name; ``weight`` names the column of row weights, for those that take weights."""
+    if weight and name not in ("linear_regression", "mlp"):
+        settings = {"weight": weight, **settings}
     if name == "logistic_regression":
         return M.logistic_regression(features, label, n_rows, **settings)
     if name == "linear_regression":
@@ -86,6 +91,9 @@ def train(df: DataFrame, config: TrainingConfig) -> TrainingResult:
         train_rows = drop_sparse_rows(train_rows, config.missing.drop_row_above, checked)
     o = config.outliers
     univariate = o.method in ("iqr", "zscore", "modified_zscore")
+    if not univariate:
+        # Known for training rows only, so it is carried along and never a feature of the model.
+        keep = [*keep, "is_outlier_multivariate"]
     plan = [
         TableStage("impute", keep=keep, drop_above=config.missing.drop_column_above, numeric=config.missing.numeric,
                    categorical=config.missing.categorical, indicators=config.missing.indicators, row_id=row_id),
@@ -119,10 +127,16 @@ def train(df: DataFrame, config: TrainingConfig) -> TrainingResult:
     n = train_rows.count()
 
     reference = E.baseline(train_rows, val_ready, target, m.task)
-    candidates = {name: build_model(name, features, target, n, m.task, m.settings.get(name, {})) for name in m.models}
-    name, model, scores = M.choose_champion(candidates, train_rows, val_ready, target, m.metric, reference.get(m.metric))
+    weight = "weight" if label and m.resampling == "class_weight" and "weight" in train_rows.columns else None
+    stops = {"boosting"}  # trained with validation rows, until those stop improving
+    candidates = {
+        name: build_model(name, features, target, n, m.task, m.settings.get(name, {}), "is_val" if name in stops else None, weight)
+        for name in m.models
+    }
+    rows = {name: _with_validation(train_rows, val_ready, [*features, target], weight) for name in m.models if name in stops}
+    name, model, scores = M.choose_champion(candidates, train_rows, val_ready, target, m.metric, reference.get(m.metric), rows)
     if m.trials:
-        name, model = _tuned(config, name, model, train_rows, val_ready, row_id, features, n)
+        name, model = _tuned(config, name, model, train_rows, val_ready, row_id, features, n, weight)
 
     threshold = 0.5
     if label and model.stages[-1].hasParam("probabilityCol"):
@@ -139,14 +153,21 @@ def train(df: DataFrame, config: TrainingConfig) -> TrainingResult:
     return TrainingResult(name, whole, preprocessing, features, scores, measured, reference, leakage, threshold, m.settings.get(name, {}))
 
 
-def _tuned(config, name, model, train_rows, val_ready, row_id, features, n):
+def _with_validation(train_rows, val_ready, columns, weight):
+    """Training and validation rows with the mark for early stopping; validation rows weigh one each."""
+    if weight:
+        columns, val_ready = [*columns, weight], val_ready.withColumn(weight, F.lit(1.0))
+    return M.early_stopping_rows(train_rows.select(*columns), val_ready.select(*columns))
+
+
+def _tuned(config, name, model, train_rows, val_ready, row_id, features, n, weight):
     """Search around the champion, refit with early stopping where it exists, keep the better on validation."""
     m, target = config.modeling, config.data.target
     space = M.SEARCH_SPACES.get(name)
     if not space:
         return name, model
     fixed = {k: v for k, v in m.settings.get(name, {}).items() if k not in space}
-    build = lambda **s: build_model(name, features, target, n, m.task, {**fixed, **s})
+    build = lambda **s: build_model(name, features, target, n, m.task, {**fixed, **s}, weight=weight)
     keyed = train_rows
     if "copy" in train_rows.columns:
         keyed = train_rows.withColumn(row_id, F.concat_ws(":", row_id, target, "copy"))
@@ -154,9 +175,8 @@ def _tuned(config, name, model, train_rows, val_ready, row_id, features, n):
     if best is None:
         return name, model
     if name == "boosting":
-        shared = [c for c in train_rows.columns if c in val_ready.columns]
-        both = M.early_stopping_rows(train_rows.select(*shared), val_ready.select(*shared))
-        tuned = build_model(name, features, target, n, m.task, {**fixed, **best}, early="is_val").fit(both)
+        both = _with_validation(train_rows, val_ready, [*features, target], weight)
+        tuned = build_model(name, features, target, n, m.task, {**fixed, **best}, early="is_val", weight=weight).fit(both)
     else:
         tuned = build(**best).fit(train_rows)
     judge = M.evaluator(m.metric, target)

@@ -22,6 +22,9 @@ CASES = [
     "http://[::1]:80/x",
     "http://example.com/ü/é?ä=1",
     "not a url",
+    "http://a.com//x",
+    "http://a.com//",
+    "http://a.com///x",
 ]
 
 
@@ -30,6 +33,7 @@ def expected(url):
     name = parsed.netloc.lower().split(":")[0]
     path = parsed.path
     directory, _, last = path.rpartition("/") if "/" in path else ("", "", "")
+    directory = "" if directory == "/" else directory
     out = {"length_url": len(url), "qty_dot_url": url.count("."), "qty_space_url": url.count(" ") + url.count("%20")}
     out["qty_tld_url"] = max(1, sum(url.lower().count("." + t) for t in U.COMMON_TLDS))
     out["domain_length"] = len(name)
