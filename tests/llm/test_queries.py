@@ -1,0 +1,110 @@
+"""The registered text queries: SQL agreement where there is SQL, held-out quality and plain versions elsewhere."""
+
+import hashlib
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from conftest import SMALL
+from feldspark.llm import decontaminate, mixing, near_duplicates, queries, secrets, toxicity
+from harness import compare
+
+MIDDLE = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_agrees_with_sql(spark, oracle, name):
+    assert compare(queries.QUERIES[name](spark, SMALL), oracle, queries.ORACLES[name]) is None
+
+
+def rows_of(spark, name, folder=MIDDLE):
+    return queries.QUERIES[name](spark, folder).toPandas().set_index("doc_id")
+
+
+def draw(doc_id, modulus):
+    return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+def test_languages_of_held_out_rows(spark):
+    got = rows_of(spark, "op1_languages")
+    docs = queries.table(spark, MIDDLE, "documents").select("doc_id", "lang").toPandas().set_index("doc_id")
+    assert all(got["held_out"][i] == (draw(i, 5) == 0) for i in got.index) and got["score"].between(0, 1).all()
+    held = got[got["held_out"]]
+    assert (held["lang_pred"] == docs.loc[held.index, "lang"]).mean() > 0.98
+
+
+def test_toxicity_of_held_out_rows(spark):
+    got = rows_of(spark, "op10_toxicity")
+    labels = queries.table(spark, MIDDLE, "labels").toPandas().set_index("doc_id")["toxic"]
+    assert all(got["held_out"][i] == (draw(i, 3) == 1) for i in got.index)
+    assert (got["predicted"] == (got["score"] >= 0.7)).all()
+    held = got[got["held_out"]].join(labels, how="inner")
+    assert held[held["toxic"] == 0]["predicted"].mean() < 0.02
+    assert held[held["toxic"] == 1]["score"].mean() > held[held["toxic"] == 0]["score"].mean() + 0.3
+
+
+def test_quality_keeps_good_rows(spark):
+    got = rows_of(spark, "op7_quality")
+    labels = queries.table(spark, MIDDLE, "labels").toPandas().set_index("doc_id")["quality"]
+    both = got[~got["base_failed"]].join(labels, how="inner")
+    assert not got[got["base_failed"]]["kept"].any() and both[both["quality"] == 1]["kept"].mean() >= 0.98
+    assert both[both["quality"] == 0]["anomaly"].mean() > both[both["quality"] == 1]["anomaly"].mean() + 0.1
+
+
+def test_personal_base_of_all_rows(spark):
+    got = rows_of(spark, "op5_personal")
+    docs = queries.table(spark, MIDDLE, "documents").select("doc_id", "text").toPandas().set_index("doc_id")["text"]
+    for i, t in docs.items():
+        spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        spans += [
+            f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))
+        ]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = [int(c) for c in reversed(m[0]) if c.isdigit()]
+            if 13 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0:
+                spans.append(f"card:{m.start()}:{m.end()}")
+        spans += [
+            f"phone:{m.start()}:{m.end()}"
+            for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)
+            if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15
+        ]
+        assert got["base_sha256"][i] == hashlib.sha256(",".join(spans).encode()).hexdigest(), i
+        assert set(filter(None, spans)) <= set(got["spans"][i].split(","))
+
+
+def test_pipeline_stages(spark):
+    """Every stage against the operator's own answer on that stage's input."""
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
+    docs = queries.table(spark, SMALL, "documents").persist()
+    columns = docs.columns
+    inputs = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, inputs[-1], SMALL).persist()
+        assert out.columns[: len(columns)] == columns
+        inputs.append(out)
+    ids = [{r["doc_id"] for r in x.select("doc_id").collect()} for x in inputs]
+    model = toxicity.fit(docs, queries.table(spark, SMALL, "labels"))
+    assert ids[1] == {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] < 0.7}
+    assert ids[2] == {r["doc_id"] for r in near_duplicates.near_duplicates(inputs[1]).collect() if r["kept"]}
+    held = decontaminate.contained_items(inputs[2], queries.table(spark, SMALL, "benchmark")).collect()
+    assert ids[3] == ids[2] - {r["doc_id"] for r in held}
+    before = {r["doc_id"]: r for r in secrets.secret_spans(inputs[3]).collect()}
+    for r in inputs[4].collect():
+        old = before[r["doc_id"]]
+        assert (r["text"] == old["text"]) == (not old["secrets"]) and (not old["secrets"] or len(r["text"]) == r["n_chars"])
+        assert all(s["value"] not in r["text"] for s in old["secrets"] if len(s["value"]) >= 16)
+    assert ids[4] == ids[3]
+    times = {r["doc_id"]: r["times"] for r in mixing.mix(inputs[4]).collect() if r["times"]}
+    counts = {r["doc_id"]: r["count"] for r in inputs[5].groupBy("doc_id").count().collect()}
+    assert counts == times
+    for x in inputs:
+        x.unpersist()
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        queries.table(spark, SMALL, name).where(F.lit(False)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
