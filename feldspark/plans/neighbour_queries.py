@@ -32,7 +32,13 @@ def knn_join(spark, sf):
     return round_all(N.nearest(docs, docs, "doc_id", "doc_id", AXES, 5, exclude_same_id=True))
 
 
-@query("knn_join_events")
+@query("knn_join_events", """select event_id, neighbour, round(sqrt(d), 6) + 0.0 as distance, rank from (
+  select a.event_id, b.event_id as neighbour, d,
+    row_number() over (partition by a.event_id order by d, b.event_id)::int as rank
+  from (select x.event_id as left_id, y.event_id as right_id,
+      (x.value - y.value) * (x.value - y.value) + (x.user_id - y.user_id)::double * (x.user_id - y.user_id) as d
+    from events x join events y on x.event_type = y.event_type and x.event_id <> y.event_id) p
+  join events a on a.event_id = p.left_id join events b on b.event_id = p.right_id) where rank <= 5""")
 def knn_join_events(spark, sf):
     events = table(spark, sf, "events").select("event_id", "value", F.col("user_id").cast("double").alias("user"), "event_type")
     return round_all(N.nearest(events, events, "event_id", "event_id", ["value", "user"], 5, "event_type", True))

@@ -115,8 +115,8 @@ def _quick_frame(spark, sf):
 select 'missing' as finding, "column", pct as value from (select 'event_type' as "column", round(avg((event_type is null)::int::double) * 100, 2) as pct from {_QUICK}
   union all select 'value', round(avg((value is null)::int::double) * 100, 2) from {_QUICK}
   union all select 'score', round(avg((score is null)::int::double) * 100, 2) from {_QUICK})
-union all select 'duplicate_rows', '*', 0.0::double
-union all select 'constant', 'channel', 1.0::double
+union all select 'duplicate_rows', '*', (select count(*) - (select count(*) from (select distinct * from {_QUICK} d)) from {_QUICK} a)::double
+union all select 'constant', 'channel', count(distinct channel)::double from {_QUICK} having count(distinct channel) <= 1
 union all select 'quasi_id', 'code', round(count(distinct code) / count(*), 6)::double from {_QUICK}
 union all select 'skewed', 'value', round(skewness(value), 6) from {_QUICK} having abs(skewness(value)) > 2
 union all select 'skewed', 'score', round(skewness(score), 6) from {_QUICK} having abs(skewness(score)) > 2""")
@@ -188,16 +188,23 @@ def boxplot_stats(spark, sf):
 
 @query("profile_report", f"""
 select 'n_rows' as figure, count(*)::double as value from {_QUICK} union all select 'n_columns', 6.0::double
-union all select 'n_numeric', 3.0::double union all select 'n_text', 3.0::double
+union all select 'n_numeric', count(*) filter (t in ('BIGINT', 'DOUBLE'))::double from (select unnest([typeof(event_id), typeof(value), typeof(score), typeof(event_type), typeof(channel), typeof(code)]) as t from (select * from {_QUICK} limit 1))
+union all select 'n_text', count(*) filter (t = 'VARCHAR')::double from (select unnest([typeof(event_id), typeof(value), typeof(score), typeof(event_type), typeof(channel), typeof(code)]) as t from (select * from {_QUICK} limit 1))
 union all select 'missing_cells', (count(*) filter (event_type is null) + count(*) filter (value is null) + count(*) filter (score is null))::double from {_QUICK}
 union all select 'pct_missing_cells', round(100 * (count(*) filter (event_type is null) + count(*) filter (value is null) + count(*) filter (score is null))::double / (count(*) * 6), 4) from {_QUICK}
-union all select 'duplicate_rows', 0.0::double
+union all select 'duplicate_rows', (select count(*) - (select count(*) from (select distinct * from {_QUICK} d)) from {_QUICK} a)::double
 union all select 'n_alerts', (3 + 1 + 1 + (select (abs(skewness(value)) > 2)::int + (abs(skewness(score)) > 2)::int from {_QUICK}))::double""")
 def profile_report(spark, sf):
     return P.report(_quick_frame(spark, sf))
 
 
-@query("profile_alerts")
+@query("profile_alerts", f"""
+select 'missing' as finding, c as "column" from (select unnest(['event_type', 'value', 'score']) as c,
+  unnest([count(*) - count(event_type), count(*) - count(value), count(*) - count(score)]) as holes from {_QUICK}) where holes > 0
+union all select 'constant', 'channel' from {_QUICK} having count(distinct channel) <= 1
+union all select 'skewed', c from (select unnest(['value', 'score']) as c, unnest([skewness(value), skewness(score)]) as s from {_QUICK}) where abs(s) > 2
+union all select 'high_cardinality', c from (select unnest(['event_type', 'code']) as c, unnest([count(distinct event_type), count(distinct code)]) as n from {_QUICK}) where n > 50
+union all select 'duplicate_rows', '*' from (select (select count(*) - (select count(*) from (select distinct * from {_QUICK} d)) from {_QUICK} a) as n) where n > 0""")
 def profile_alerts(spark, sf):
     return P.alerts(_quick_frame(spark, sf))
 

@@ -104,7 +104,7 @@ def leak_ks(spark, sf):
 
 
 @query("split_summary", f"""with s as ({HOLDOUT_SQL}), c as (select split, toxic, count(*) as n from s group by 1, 2)
-  select split, toxic, n, round(n / sum(n) over (), 6) as share_of_table, round(n / sum(n) over (partition by split), 6) as share_of_split, 2::bigint as n_classes from c""")
+  select split, toxic, n, round(n / sum(n) over (), 6) as share_of_table, round(n / sum(n) over (partition by split), 6) as share_of_split, (select count(distinct toxic) from s) as n_classes from c""")
 def split_summary(spark, sf):
     return round_all(J.split_summary(split_holdout(spark, sf), "split", "toxic"))
 
