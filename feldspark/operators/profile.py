@@ -112,13 +112,14 @@ def _float(value):
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """Class counts, percentages, ratio of largest to smallest class and a warning level."""
-    everything = Window.partitionBy(F.lit(1))  # over one row per class
     counted = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    ratio = F.max("n").over(everything) / F.min("n").over(everything)
+    # One row reaches the driver; a target may have any number of values.
+    total, most, fewest = counted.agg(F.sum("n"), F.max("n"), F.min("n")).first()
+    ratio = F.lit(most) / F.lit(fewest)
     return counted.select(
         F.col(target).cast("string").alias("target"),
         "n",
-        (F.col("n") / F.sum("n").over(everything) * 100).alias("pct"),
+        (F.col("n") / F.lit(total) * 100).alias("pct"),
         ratio.alias("imbalance_ratio"),
         F.when(ratio > 10, "severe").when(ratio > 3, "moderate").otherwise("balanced").alias("level"),
     )
@@ -318,18 +319,15 @@ def kendall_tau(df: DataFrame, a: str, b: str) -> float:
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> float:
-    """Cramer's V of two categorical columns."""
-    rows = contingency(df, a, b)
-    total = sum(r[2] for r in rows)
-    left: dict = {}
-    right: dict = {}
-    for x, y, n in rows:
-        left[x] = left.get(x, 0) + n
-        right[y] = right.get(y, 0) + n
-    if min(len(left), len(right)) < 2:
-        return 0.0
-    chi2 = total * (sum(n * n / (left[x] * right[y]) for x, y, n in rows) - 1)
-    return (chi2 / (total * (min(len(left), len(right)) - 1))) ** 0.5
+    """Cramer's V of two categorical columns with any number of values: joins of counts, one row to the driver."""
+    whole = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    cells = whole.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    left = cells.groupBy("a").agg(F.sum("n").alias("of_a"))
+    right = cells.groupBy("b").agg(F.sum("n").alias("of_b"))
+    share = F.sum(F.col("n").cast("double") * F.col("n") / F.col("of_a") / F.col("of_b"))
+    share = cells.join(left, "a").join(right, "b").agg(share).first()[0]
+    levels = min(left.count(), right.count())
+    return 0.0 if levels < 2 else (max(0.0, share - 1) / (levels - 1)) ** 0.5
 
 
 def association(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
