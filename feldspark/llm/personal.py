@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .spans import joined, matches, where
+from .spans import bound, joined, matches, where
 
 KINDS = ("email", "ip", "card", "phone")
 GENERATORS = {
@@ -54,32 +54,38 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), step) % 10 == 0
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Spans of the four kinds, by rules that hold whatever the length of a run.
+def base_spans(text: Column) -> Column:
+    """A struct of the spans of the four kinds, by rules that hold whatever the length of a run.
 
     Repeated groups would recurse once per repetition, so separators inside a run are marked first
     and the run is then one character class.
     """
-    body = _text(text)
-    dots = F.regexp_replace(body, r"(?<=[A-Za-z0-9-])[.](?=[A-Za-z0-9-])", _MARK)
     email = rf"(?:\G|(?<![A-Za-z0-9._%+{_MARK}-]))[A-Za-z0-9._%+{_MARK}-]++@[A-Za-z0-9-]++{_MARK}[A-Za-z0-9{_MARK}-]++"
     ip = r"(?<![0-9])[0-9]++[.][0-9]++[.][0-9]++[.][0-9]++"
-    gaps = F.regexp_replace(body, r"(?<=[0-9])[\x20-](?=[0-9])", _MARK)
-    found = {
-        "email": where(F.contains(body, F.lit("@")), matches(dots, email)),
-        "ip": where(body.rlike(r"[0-9][.][0-9]"), matches(body, ip)),
-        "card": where(body.rlike(r"[0-9]"), matches(gaps, f"[0-9][0-9{_MARK}]+")),
-        "phone": where(F.contains(body, F.lit("+")), matches(body, r"\+[0-9][\x20().0-9-]+[0-9]")),
-    }
-    found["ip"] = F.filter(
-        found["ip"],
-        lambda s: F.forall(F.split(s["value"], "[.]"), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255)),
-    )
-    # Lengths come first: most runs of digits are short, and only the rest is summed.
-    found["card"] = F.filter(found["card"], lambda s: F.length(_digits(s["value"])).between(13, 19))
-    found["card"] = F.filter(found["card"], lambda s: luhn(_digits(s["value"])))
-    found["phone"] = F.filter(found["phone"], lambda s: F.length(_digits(s["value"])).between(9, 15))
-    return found
+    phone = r"\+[0-9][\x20().0-9-]+[0-9]"
+
+    def small(s: Column) -> Column:
+        return F.forall(
+            F.split(s["value"], "[.]"),
+            lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(p, F.lit(3)).cast("int") <= 255),
+        )
+
+    def of(body: Column) -> Column:
+        dots = F.regexp_replace(body, r"(?<=[A-Za-z0-9-])[.](?=[A-Za-z0-9-])", _MARK)
+        gaps = F.regexp_replace(body, r"(?<=[0-9])[\x20-](?=[0-9])", _MARK)
+        card = bound(gaps, lambda g: matches(g, f"[0-9][0-9{_MARK}]+"))
+        # Lengths come first: most runs of digits are short, and only the rest is summed.
+        card = F.filter(card, lambda s: F.when(F.length(_digits(s["value"])).between(13, 19), luhn(_digits(s["value"]))).otherwise(False))
+        return F.struct(
+            where(F.contains(body, F.lit("@")), bound(dots, lambda d: matches(d, email))).alias("email"),
+            F.filter(where(body.rlike(r"[0-9][.][0-9]+[.]"), matches(body, ip)), small).alias("ip"),
+            where(body.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), card).alias("card"),
+            F.filter(
+                where(body.rlike(r"\+[0-9]"), matches(body, phone)), lambda s: F.length(_digits(s["value"])).between(9, 15)
+            ).alias("phone"),
+        )
+
+    return bound(_text(text), of)
 
 
 def _count(value: Column, pattern: str) -> Column:
@@ -116,12 +122,15 @@ def _proposal(body: Column, code: int, kind: str):
 
 def candidates(text: Column) -> Column:
     """All proposals as structs of start, end, kind and features."""
-    body = _text(text)
-    every = []
-    for code, (kind, pattern) in enumerate(GENERATORS.items()):
-        guard = body.rlike(r"[0-9][0-9\x20().-]{5}") if kind != "address" else F.contains(body, F.lit("@")) | F.contains(body, F.lit("at"))
-        every.append(F.transform(where(guard, matches(body, pattern)), _proposal(body, code, kind)))
-    return F.concat(*every)
+
+    def of(body: Column) -> Column:
+        every = []
+        for code, (kind, pattern) in enumerate(GENERATORS.items()):
+            guard = body.rlike(r"[0-9][0-9\x20().-]{5}") if kind != "address" else F.contains(body, F.lit("@")) | body.rlike(r"[(\[]at[)\]]")
+            every.append(F.transform(where(guard, matches(body, pattern)), _proposal(body, code, kind)))
+        return F.concat(*every)
+
+    return bound(_text(text), of)
 
 
 def _covered(base: Column, c: Column) -> Column:
@@ -174,7 +183,7 @@ class Judge:
 
 
 def _all_base(text: Column) -> Column:
-    return F.concat(*base_spans(text).values())
+    return bound(base_spans(text), lambda s: F.concat(*[s[k] for k in KINDS]))
 
 
 def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Judge | None:
@@ -217,7 +226,7 @@ def personal_spans(docs: DataFrame, judge: Judge | None, text: str = "text", int
     def named(spans: Column, kind: str) -> Column:
         return F.transform(spans, lambda s: F.struct(F.lit(order[kind]).alias("place"), s["start"], s["end"], F.lit(kind).alias("kind")))
 
-    base = F.concat(*[named(s, k) for k, s in base_spans(F.col(text)).items()])
+    base = bound(base_spans(F.col(text)), lambda s: F.concat(*[named(s[k], k) for k in KINDS]))
     if judge is None or not judge.thresholds:
         return docs.withColumn(into, F.array_sort(base))
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
