@@ -35,6 +35,7 @@ FOLDS = 5
 """The logistic curve is fitted to margins of documents the machine did not train on."""
 WINDOW, STRIDE = 24, 12
 """Longer units are read in windows, which overlap by more than a landmark and its gaps."""
+SHORT = 12
 START, END = 1, 2
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -185,11 +186,17 @@ class Model:
         if not len(found.unit) or not len(self.landmarks):
             return result
         bits = _letter_bits(found.codes)
+        short = found.lengths <= SHORT
         values_unit, values_mark = [], []
         for mark in range(len(self.landmarks)):
             lacking = np.bitwise_count(self.bits[mark] & ~bits)
             near = np.flatnonzero(lacking <= RUN - ORDER)
-            near = near[_common_length(found.codes[near], self.landmarks[mark]) >= ORDER]
+            # Most units are short, and padding never matches.
+            parts = [near[short[near]], near[~short[near]]]
+            widths = [SHORT, found.codes.shape[1]]
+            near = np.concatenate(
+                [x[_common_length(found.codes[x, :w], self.landmarks[mark]) >= ORDER] for x, w in zip(parts, widths)]
+            )
             values_unit.append(near)
             values_mark.append(np.full(len(near), mark))
         unit, mark = np.concatenate(values_unit), np.concatenate(values_mark)
