@@ -297,15 +297,16 @@ def _support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: in
     return w[:-1], float(w[-1])
 
 
-def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve that fits the labels best, by Newton steps with smoothed targets."""
-    positive, negative = (y > 0).sum(), (y <= 0).sum()
+def _calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that fits the weighted labels best, by Newton steps with smoothed targets."""
+    positive, negative = weight[y > 0].sum(), weight[y <= 0].sum()
     target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
     x = np.stack([margin, np.ones_like(margin)], axis=1)
     w = np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target) + 1e-6 * w)
+        curve, slope = weight * (p * (1 - p) + 1e-9), weight * (p - target)
+        step = np.linalg.solve((x * curve[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ slope + 1e-6 * w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -316,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         landmarks: int = LANDMARKS, train_rows: int = TRAIN_ROWS) -> Model:
     """Train on at most about ``train_rows`` labelled documents of either label, drawn by a hash of the id.
 
-    The bound is on the training sample alone. A document with several labels counts as toxic if one
+    The bound is on the training sample alone; the curve behind the score weights it back to all labels. A document with several labels counts as toxic if one
     says so; null labels and ids are ignored. Without documents of both labels the model scores 0.5.
     """
     spark = docs.sparkSession
@@ -326,9 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     empty = Model(np.zeros((0, RUN), np.uint32), np.zeros(0), np.zeros(0), 0.0)
     if not counts.get(0) or not counts.get(1):
         return empty
-    drawn = None
-    for value, n in counts.items():
-        share = min(1.0, train_rows / n)
+    drawn, shares = None, {value: min(1.0, train_rows / n) for value, n in counts.items()}
+    for value, share in shares.items():
         part = clean.where((F.col("toxic") == value) & (F.pmod(F.xxhash64("key", F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30))))
         drawn = part if drawn is None else drawn.unionByName(part)
     # At most about 2 x train_rows ids, whatever the size of the tables.
@@ -369,7 +369,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         holds = rows["fold"].to_numpy() == fold
         w, b = _support_vectors(z[~holds], y[~holds])
         margins[holds] = z[holds] @ w + b
-    slope, shift = _calibrated(margins, y)
+    # Each drawn row stands for 1 / share rows of its label, so the score is a chance at the table's own ratio of labels.
+    slope, shift = _calibrated(margins, y, np.where(y > 0, 1 / shares[1], 1 / shares[0]))
     w, b = _support_vectors(z, y)
     return Model(marks, norms, nystroem @ w, b, slope, shift)
 

@@ -378,3 +378,23 @@ def test_toxicity(spark):
     untrained = toxicity.fit(table, labels.where("toxic = 0"))
     assert {r["score"] for r in toxicity.score(new, untrained).collect()} == {0.5}
     assert toxicity.score(new.limit(0), model).count() == 0
+
+
+def test_toxicity_score_does_not_depend_on_the_sample(spark):
+    """Half the documents with the word are clean at the table's ratio of labels, few of them at a ratio of 1:1."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        toxic = i % 10 == 0
+        text = ["".join(rng.choice(["an", "er", "th", "in", "ou", "st"]) for _ in range(3)) for _ in range(12)]
+        if rng.random() < (0.8 if toxic else 0.13):
+            text.insert(rng.randrange(len(text)), "blorgit")
+        rows.append((i, " ".join(text), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)
+    new = spark.createDataFrame([(0, "you blorgit you"), (1, "the other one")], "doc_id bigint, text string")
+    scores = []
+    for train_rows in (10_000, 250):
+        model = toxicity.fit(table.drop("toxic"), table.drop("text"), train_rows=train_rows)
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score(new, model).collect()})
+    assert all(0.2 < s[0] < 0.6 and s[1] < 0.1 for s in scores), scores
+    assert abs(scores[0][0] - scores[1][0]) < 0.15, scores
