@@ -3,7 +3,7 @@
 Four kinds have exact rules and always stay. Looser generators propose further spans, which may overlap.
 Trees boosted on format and context score them; they learn from which proposals fall on data
 that the exact rules find, on a bounded sample of rows, and so find the same formats where the
-rules miss them. A threshold per generator, calibrated on rows of the sample that the trees did not see,
+rules miss them. A threshold per generator, calibrated on all rows that the trees did not see,
 selects the spans. The fitted trees are written as one column expression, so scoring is part of the projection.
 """
 
@@ -26,7 +26,7 @@ GENERATORS = {
     "address": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}[\x20]?(?:@|[(]at[)]|\[at\])[\x20]?[A-Za-z0-9.-]{2,64}",
 }
 TRAIN_ROWS = 20_000
-"""At most about this many rows of the table train and calibrate the trees."""
+"""At most about this many rows of the table train the trees; all others calibrate the thresholds."""
 PRECISION = 0.9
 TREES, DEPTH = 20, 4
 _MARK, _OTHER = "\ue000", "\ue001"
@@ -186,24 +186,36 @@ def _all_base(text: Column) -> Column:
     return bound(base_spans(text), lambda s: F.concat(*[s[k] for k in KINDS]))
 
 
+def _likely(text: Column) -> Column:
+    """Holds for every text with a proposal."""
+    return text.rlike(r"[0-9][0-9\x20().-]{5}") | F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """Kind, features and label of every proposal in the texts of ``rows``."""
+    shown = rows.select(_all_base(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"))
+    return shown.select("base", F.explode("c").alias("c")).select(
+        F.col("c.kind").alias("kind"), F.col("c.x").alias("x"), _covered(F.col("base"), F.col("c")).cast("double").alias("label")
+    )
+
+
 def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Judge | None:
-    """Train on at most about ``train_rows`` rows drawn by hash; None where the sample does not hold both kinds of proposal."""
-    body = docs.select(F.col(text).alias("text")).where("text is not null")
+    """Train on at most about ``train_rows`` rows drawn by hash; None where they do not hold both kinds of proposal.
+
+    The bound is on the rows of the trees alone: thresholds come from the proposals of all other rows. A third of the
+    drawn rows is always left to the thresholds, so a table under the bound has some too.
+    """
+    body = docs.select(F.col(text).alias("text")).where("text is not null").where(_likely(F.col("text")))
     n = body.count()
     share = min(1.0, train_rows / n) if n else 0.0
-    drawn = body.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    shown = drawn.select(_all_base(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"), F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(3)).alias("fold"))
-    rows = shown.select("base", "fold", F.explode("c").alias("c")).select(
-        "fold", F.col("c.kind").alias("kind"), F.col("c.x").alias("x"), _covered(F.col("base"), F.col("c")).cast("double").alias("label")
-    )
-    rows = cut_lineage(rows)
-    seen = {(r["part"], r["label"]): r["count"] for r in rows.groupBy((F.col("fold") > 0).alias("part"), "label").count().collect()}
-    if len(seen) < 4:
+    drawn = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(3)) > 0)
+    rows = cut_lineage(_labelled(body.where(drawn)))
+    if rows.select("label").distinct().count() < 2:
         return None
     trees = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=11)
-    model = trees.fit(rows.where("fold > 0").select("label", array_to_vector("x").alias("v")).coalesce(4))
+    model = trees.fit(rows.select("label", array_to_vector("x").alias("v")).coalesce(4))
     judge = Judge(model.toDebugString)
-    held = rows.where("fold = 0").select("kind", "label", F.floor(judge.chance(F.col("x")) * 200).alias("at"))
+    held = _labelled(body.where(~drawn)).select("kind", "label", F.floor(judge.chance(F.col("x")) * 200).alias("at"))
     tally = held.groupBy("kind", "at").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect()  # at most 201 rows a generator
     for kind in GENERATORS:
         own = sorted(((r["at"], r["right"], r["n"]) for r in tally if r["kind"] == kind), reverse=True)

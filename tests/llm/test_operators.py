@@ -205,6 +205,20 @@ def test_personal_trees(spark):
     assert personal.fit(docs(spark, ["nothing here", None])) is None
 
 
+def test_personal_thresholds_come_from_all_rows(spark):
+    """Addresses in one row of sixteen: a sample of 60 rows holds too few of them for a threshold, the table does not."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(640):
+        phone = f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        mail = f" or write to ann{i}@shop{i}.example" if i % 16 == 0 else ""
+        texts.append(f"call +1 {phone} or order {rng.randrange(10**9, 10**12)} now{mail} {i}")
+    table = docs(spark, texts)
+    for train_rows in (60, 20_000):
+        judge = personal.fit(table, train_rows=train_rows)
+        assert judge is not None and {"local_phone", "address"} <= set(judge.thresholds), (train_rows, judge and judge.thresholds)
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     texts = [" ".join(["w"] * rng.randrange(0, 60)) for _ in range(300)] + [None, "  "]
