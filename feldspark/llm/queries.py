@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scratch_folder
-from . import conversations, languages, mixing, personal, quality, secrets, toxicity, warc
+from . import conversations, languages, licenses, mixing, personal, quality, secrets, toxicity, warc
 from .decontaminate import contained_items
 from .near_duplicates import near_duplicates
 
@@ -205,3 +205,36 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return personal.personal_digest(personal.personal_spans(docs, personal.fit(docs)))
+
+
+def licenses_sql(source: str) -> str:
+    """The contract's columns with every block compared with every template."""
+    width = licenses.block_words(licenses.TEMPLATES)
+    templates = ", ".join(f"({i}, '{label}', {sorted(set(text.split()))})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    bases = " union all ".join(
+        f"""select k, '{label}' as label, i - 1 as place from w, unnest(range(1, len(ws) - {len(p.split()) - 2})) as t(i)
+        where ws[i:i + {len(p.split()) - 1}] = {p.split()}"""
+        for label, p in licenses.PHRASES
+    )
+    return f"""with w as materialized (select row_number() over () as k, doc_id,
+        regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from {source}),
+    base as materialized ({bases}),
+    templates(t, label, ts) as (values {templates}),
+    blocks as (select k, b, list_distinct(ws[b * {width // 2} + 1:b * {width // 2} + {width}]) as held
+        from w, unnest(range(0, (len(ws) + {width // 2} - 1) // {width // 2})) as u(b)),
+    met as (select k, b, t, label, list_intersect(ts, held) as shared, len(list_intersect(ts, held)) / len(ts) as c from blocks, templates
+        where 100 * len(list_intersect(ts, held)) >= {licenses.THRESHOLD_PERCENT} * len(ts)),
+    best as (select * from met x where not exists (select 1 from met y where x.k = y.k and x.b = y.b and list_has_all(y.shared, x.shared)
+        and y.c >= x.c and (y.c > x.c or len(y.shared) > len(x.shared)))),
+    labelled as (select k, label from base union select k, label from best),
+    strings as (select k, string_agg(label, ',' order by label) as labels from labelled group by 1),
+    based as (select k, count(*) as n, min(place) as f, max(place) as l, string_agg(distinct label, ',' order by label) as labels from base group by 1)
+    select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, f::bigint as first_word, l::bigint as last_word,
+        coalesce(based.labels, '') as base_labels, coalesce(strings.labels, '') as labels,
+        case when n > 0 then 1.0::double else coalesce((select max(c) from best where best.k = w.k), 0.0)::double end as score
+    from w left join based using (k) left join strings using (k)"""
+
+
+@query("op13_licenses", licenses_sql("documents"))
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_labels(table(spark, folder, "documents"))
