@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import scratch_folder
-from . import conversations, languages, licenses, mixing, personal, quality, secrets, toxicity, warc
+from . import conversations, languages, licenses, mixing, personal, quality, secrets, toxicity, tries, warc, whitening
 from .decontaminate import contained_items
 from .near_duplicates import near_duplicates
 
@@ -238,3 +238,48 @@ def licenses_sql(source: str) -> str:
 @query("op13_licenses", licenses_sql("documents"))
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_labels(table(spark, folder, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings"), components=8)
+    # A sum of squares that no bigint holds is null.
+    return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda z, k: case when z & 1 = 1 then xor(z >> 1, 3988292384) else z >> 1 end)))"""
+
+
+@query(
+    "op11_tries",
+    f"""with turns as (select conv_id as c, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+    own as materialized (select c, list({{'r': r, 'x': x}} order by turn nulls first, r, md5(length(r) || ':' || r || x)) as ts from turns group by 1),
+    told as (select o.c, o.ts, b.ts as bs, {CRC32.format("o.c::varchar")} % 4 as h from own o left join own b on b.c = o.c - o.c % 20),
+    rebuilt as materialized (select c, list_concat(coalesce(bs[1:h], []), ts[h + 1:]) as ts from told),
+    prefixes as (select c, d, ts[1:d] as p, len(ts) = d as ends from rebuilt, unnest(range(0, len(ts) + 1)) as t(d)),
+    nodes as materialized (select p, d, min(c) as first, count(*) as n, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as e
+        from prefixes group by 1, 2),
+    below as (select p[1:d - 1] as p, count(*) as n from nodes where d > 0 group by 1),
+    valued as materialized (select nodes.*, coalesce(below.n, 0) as children, case when d = 0 then 0 else (nodes.n - 1) *
+        len(regexp_extract_all(coalesce(nodes.p[d].x, ''), {WORDS})) end as own from nodes left join below using (p)),
+    climbed as (select p[1:k] as p, sum((children = 0)::bigint) as leaves, sum(own) as saved from valued, unnest(range(0, d + 1)) as t(k) group by 1)
+    select v.first as conv_id, v.d as depth, up.first as parent_conv_id, v.n as n_convs, v.children::bigint as n_children,
+        leaves::bigint as n_leaves, saved::bigint as saved_tokens, v.e as ends_sha256
+    from valued v join climbed using (p) left join nodes up on v.d > 0 and up.p = v.p[1:v.d - 1]""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    told = tries.sequences(table(spark, folder, "conversations"))
+    heads = told.where(F.col("id") % 20 == 0).select(F.col("id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    borrowed = (F.crc32(F.col("id").cast("string")) % 4).cast("int")
+    head = F.coalesce(F.slice("head", F.lit(1), borrowed), F.array().cast(tries.TURNS))
+    rest = F.slice("turns", borrowed + 1, F.greatest(F.size("turns"), F.lit(1)))
+    rebuilt = told.join(heads, F.col("id") - F.col("id") % 20 == F.col("base"), "left").select("id", F.concat(head, rest).alias("turns"))
+    nodes, ends = tries.prefix_nodes(rebuilt)
+    digests = tries.end_digests(ends)
+    return nodes.join(digests, F.col("node") == F.col("end"), "left").select(
+        F.col("first").alias("conv_id"), "depth", F.col("parent_first").alias("parent_conv_id"), F.col("members").alias("n_convs"),
+        F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
