@@ -3,16 +3,15 @@
 1. One pass over the texts gives each document its number of distinct shingles, a digest of
    the whole set, band keys and ``bits`` low bits of every minimum, packed in bit planes.
    Documents with equal sets form a class at once; everything later works on classes.
-2. Classes that share a band key are compared with a leader of that band: bit counts of the
-   packed planes, corrected for chance agreement, estimate their similarity. Those far below
-   the threshold are compared with further leaders, twice as many each round, until every
-   member of a band has led or has joined a leader. No pairs of a whole band are made.
-3. Joined classes form clusters. Only their texts are read again, for the whole sets; a
-   cluster is dealt in blocks, and sets in a block are intersected through an inverted list.
-   In a cluster of several blocks, a few pivots meet every block first. What they link is one
-   component, and of the rest those that prefix filtering cannot rule out meet all blocks, so that no link
-   is lost.
-4. Components of the confirmed links give the groups.
+2. Classes that share a band key form a star around one of them, and joined stars form clusters. Only texts of
+   clusters are read again, for the whole sets.
+3. Two sets at the threshold share one of the rarest shingles of either, in the order of how many sets of the cluster hold them. Every set has a
+   row for each of these. All rows of a shingle meet one hub, the set with the fewest shingles of its own;
+   pairs that sizes and places do not rule out are estimated by bit counts of the packed planes, corrected for chance
+   agreement, and those near the threshold are confirmed on whole sets.
+4. Confirmed pairs form components. Sets of a shingle's largest component need not meet each other; the few others
+   meet what sizes and places allow in the same estimate and confirmation, so that no link is lost.
+5. Components of the confirmed links give the groups.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from collections.abc import Iterator
 from math import ceil, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,16 +31,10 @@ from .text import mix, shingle_hashes, text_batches, word_hashes, words
 
 LOST = 1e-6
 """A pair at the threshold misses every band with at most this probability."""
-JOIN_MARGIN = 0.35
-"""Estimates this far below the threshold, about eight standard errors, join no cluster."""
-CLOSE_MARGIN = 0.20
-"""A member whose estimate with a leader is within this of the threshold leads no more itself.
-
-What is linked to it is at most the threshold's distance farther from the leader, and so joins the same
-cluster there or in one of the other bands the two share.
-"""
-BLOCK = 512
-PIVOTS = 16
+NEAR_MARGIN = 0.25
+"""Pairs whose estimate is this far below the threshold, more than six standard errors, are not confirmed."""
+SIZE_STEPS = 32
+"""Size buckets to a doubling; a set meets the buckets its partners' sizes can lie in."""
 
 
 def band_shape(threshold: float, lost: float = LOST, at_most: int = 160) -> tuple[int, int]:
@@ -133,36 +125,13 @@ def estimated_similarity(left: Column, right: Column, minima: int, bits: int) ->
     return (F.lit(1.0) - unequal / F.lit(float(minima)) - chance) / (1 - chance)
 
 
-def _clusters(classes: DataFrame, minima: int, bits: int, join_at: float, close_at: float) -> DataFrame:
-    """``digest`` and ``cluster`` of the classes that joined a leader, or led one, in some band."""
+def _clusters(classes: DataFrame) -> DataFrame:
+    """``digest`` and ``cluster`` of the classes that share a band key with another one, directly or through others."""
     # The band's number is part of its key's hash, so the key alone names the bucket.
     banded = classes.select("digest", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    crowd = banded.join(shared, "key")
-    open_members = cut_lineage(crowd.join(classes.select("digest", "planes"), "digest").select("key", "digest", "planes", "members"))
-    edges, leaders = None, 1
-    while (members := open_members.count()) or edges is None:
-        tasks = tasks_for(members)
-        open_members = open_members.coalesce(tasks)
-        if leaders == 1:
-            first = open_members.groupBy("key").agg(F.min(F.struct("digest", "planes")).alias("l"))
-            chosen = first.select("key", F.col("l.digest").alias("leader"), F.col("l.planes").alias("of"))
-        else:
-            draw = F.pmod(F.xxhash64("key", "digest", F.lit(leaders)), F.lit(1 << 30)) * F.col("members")
-            chosen = open_members.where(draw < F.lit(leaders << 30)).select(
-                "key", F.col("digest").alias("leader"), F.col("planes").alias("of")
-            )
-        near = estimated_similarity(F.col("planes"), F.col("of"), minima, bits)
-        met = open_members.join(chosen, "key", "left").withColumn("near", near)
-        found = met.where((F.col("near") >= join_at) & (F.col("digest") != F.col("leader"))).select("digest", "leader").distinct()
-        found = cut_lineage(found.coalesce(tasks))
-        edges = found if edges is None else edges.unionByName(found)
-        done = F.coalesce((F.col("near") >= close_at) | (F.col("digest") == F.col("leader")), F.lit(False))
-        left = met.groupBy("key", "digest").agg(F.first("planes").alias("planes"), F.max(done).alias("done")).where("not done")
-        counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        open_members = cut_lineage(left.drop("done").join(counted, "key").coalesce(tasks))
-        leaders *= 2
-    grouped = components(edges, "digest", "leader")
+    hubs = banded.groupBy("key").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    edges = banded.join(hubs.select("key", "hub"), "key").where("digest <> hub").select("digest", "hub").distinct()
+    grouped = components(edges, "digest", "hub")
     return grouped.select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
 
 
@@ -175,73 +144,13 @@ def _set_batches(text: str, width: int):
             # Rows may repeat an id and a text hash; only the set that was signed goes on.
             sets = [s if _digest(s) == d else None for s, d in zip(sets, batch.column("digest").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("digest", "cluster", "blocks")], pa.array(sets, pa.binary())],
-                names=["digest", "cluster", "blocks", "shingles"],
+                [*[batch.column(c) for c in ("digest", "cluster", "planes")], pa.array(sets, pa.binary())],
+                names=["digest", "cluster", "planes", "shingles"],
             )
 
     return run
 
 
-def _block_links(threshold_percent: int):
-    """Links of one block: between its queries and its members, as a spanning forest."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        members, queries = frame[~frame["asks"]], frame[frame["asks"]]
-        links: list[tuple[bytes, bytes]] = []
-        if len(members) and len(queries):
-            sets = [np.frombuffer(s, np.uint64) for s in members["shingles"]]
-            sizes = np.array([len(s) for s in sets])
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            every = np.concatenate(sets)
-            order = np.argsort(every, kind="stable")
-            every, owner = every[order], owner[order]
-            names = members["digest"].tolist()
-            position = {name: i for i, name in enumerate(names)}
-            group: dict[bytes, bytes] = {}
-
-            def root(x: bytes) -> bytes:
-                while (up := group.get(x, x)) != x:
-                    group[x] = group.get(up, up)
-                    x = up
-                return x
-
-            for name, own in zip(queries["digest"], queries["shingles"]):
-                own = np.frombuffer(own, np.uint64)
-                low, high = np.searchsorted(every, own), np.searchsorted(every, own, "right")
-                lengths = high - low
-                total = int(lengths.sum())
-                at = np.repeat(low - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(total)
-                common = np.bincount(owner[at], minlength=len(sets))
-                near = 100 * common >= threshold_percent * (sizes + len(own) - common)
-                for i in np.flatnonzero(near):
-                    if names[i] == name:
-                        continue
-                    x, y = root(name), root(names[i])
-                    if x != y:
-                        group[max(x, y)] = min(x, y)
-                        links.append((name, names[i]))
-        return pd.DataFrame(links, columns=["a", "b"])
-
-    return run
-
-
-def _meet(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between ``queries`` and ``members`` of the same cluster, block by block.
-
-    Both are dealt in pieces of about BLOCK sets, so a group holds two pieces whatever the
-    size of the cluster.
-    """
-    asked = queries.withColumn("piece", F.pmod(F.xxhash64("digest", F.lit("q")), F.col("pieces")))
-    pieces = F.explode(F.expr("sequence(0L, pieces - 1)"))
-    blocks = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    counts = queries.select("cluster", "pieces").distinct()
-    held = members.drop("pieces").join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")))
-    both = held.select("cluster", "block", pieces.alias("piece"), "digest", "shingles", F.lit(False).alias("asks")).unionByName(
-        asked.select("cluster", blocks.alias("block"), "piece", "digest", "shingles", F.lit(True).alias("asks"))
-    )
-    return both.groupBy("cluster", "block", "piece").applyInPandas(_block_links(percent), "a binary, b binary")
-
-
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(s, np.int64) for s in batch.column("shingles").to_pylist()]
@@ -253,48 +162,93 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "cluster", "size", "shingle"])
 
 
-def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """``digest`` of the sets that can be linked to another of their cluster.
+def _prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """``cluster``, ``shingle``, ``digest``, ``size``, ``at`` and ``most`` of the shingles through which a set can be linked.
 
-    With shingles in order of how few sets of the cluster hold them, two sets at the threshold share
-    one of the first n - ceil(threshold n) + 1 of either; a set that shares none of those has no link.
+    Shingles are in order of how few sets of the cluster hold them, and ``at`` is a shingle's place. Two sets at the
+    threshold share one of the first n - ceil(threshold n) + 1 of either. A set that meets another at its place ``at``, their
+    first shared shingle, shares at most the n - at from there on, so the other has at most ``most`` shingles.
     """
     rows = sets.select("digest", "cluster", "shingles").mapInArrow(
         _shingle_rows, "digest binary, cluster binary, size bigint, shingle bigint"
     )
     rows = rows.select(F.xxhash64("cluster").alias("cluster"), "digest", "size", "shingle")
-    held = rows.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("sets"))
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy("sets", "shingle"))
-    ranked = rows.join(held.where("sets > 1"), ["cluster", "shingle"], "left").fillna(1, ["sets"]).withColumn("rank", rank)
-    first = cut_lineage(ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).where("sets > 1").select("digest", "cluster", "shingle"))
-    common = first.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    return first.join(common, ["cluster", "shingle"], "left_semi").select("digest").distinct()
-
-
-def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
-    """A forest of confirmed links that connects what the similarity graph connects."""
-    one = sets.where("blocks = 1").withColumn("pieces", F.lit(1).cast("bigint"))
-    links = cut_lineage(_meet(one, one, percent))
-    many = sets.where("blocks > 1")
-    if many.isEmpty():
-        return links
-    # The share of a cluster that is drawn gives about PIVOTS of them whatever its size.
-    share = F.pmod(F.xxhash64("digest", F.lit("pivot")), F.lit(1 << 30)) * F.col("blocks") * F.lit(BLOCK)
-    pivots = many.where(share < F.lit(PIVOTS << 30)).withColumn("pieces", F.lit(1).cast("bigint"))
-    first = cut_lineage(_meet(many, pivots, percent))
-    grouped = components(first)
-    placed = (
-        many.select("digest", "cluster")
-        .join(grouped.withColumnRenamed("node", "digest"), "digest", "left")
-        .withColumn("root", F.coalesce("root", "digest"))
-    )
-    sizes = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("top")).select("cluster", F.col("top.root").alias("root"))
-    rest = placed.join(largest, ["cluster", "root"], "left_anti").select("digest", "cluster")
-    rest = rest.join(_linkable(many, percent), "digest", "left_semi")
-    pieces = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("pieces"))
-    asking = many.join(rest.select("digest"), "digest", "left_semi").join(pieces, "cluster")
-    return links.unionByName(first).unionByName(cut_lineage(_meet(many, asking, percent)))
+    held = rows.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    own = Window.partitionBy("digest")
+    # Shingles no other set has come first, and need no rows.
+    alone = F.col("size") - F.count(F.lit(1)).over(own)
+    at = alone + F.row_number().over(own.orderBy("sets", "shingle")) - 1
+    most = F.floor((100 + percent) * (F.col("size") - F.col("at")) / percent).cast("bigint") - F.col("size")
+    placed = rows.join(held, ["cluster", "shingle"]).withColumn("at", at)
+    first = placed.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * percent / 100)).withColumn("most", most)
+    return first.where(F.col("most") * 100 >= F.col("size") * percent).select("cluster", "shingle", "digest", "size", "at", "most")
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``x`` < ``y`` of rows with ``digest``, ``size``, ``most`` and another set's ``digest2``, ``size2``, ``most2`` that can be linked."""
+    allowed = (F.col("size2") <= F.col("most")) & (F.col("size") <= F.col("most2")) & (F.col("digest") != F.col("digest2"))
+    alike = (F.least("size", "size2") * 100) >= (F.greatest("size", "size2") * percent)
+    return met.where(allowed & alike).select(F.least("digest", "digest2").alias("x"), F.greatest("digest", "digest2").alias("y")).distinct()
+
+
+def _confirm_batches(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for left, right in zip(batch.column("x_set"), batch.column("y_set")):
+                a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                a, b = (a, b) if len(a) <= len(b) else (b, a)
+                place = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                common = int((b[place] == a).sum())
+                near.append(100 * common >= percent * (len(a) + len(b) - common))
+            yield batch.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, minima: int, bits: int) -> DataFrame:
+    """The pairs whose whole sets are at the threshold, ``x`` and ``y``; only pairs of a near estimate fetch their sets."""
+    for side in ("x", "y"):
+        planes = sets.select(F.col("digest").alias(side), F.col("planes").alias(f"{side}_planes"))
+        pairs = pairs.join(planes, side)
+    near = estimated_similarity(F.col("x_planes"), F.col("y_planes"), minima, bits) >= percent / 100 - NEAR_MARGIN
+    pairs = cut_lineage(pairs.where(near).select("x", "y"))
+    pairs = pairs.coalesce(tasks_for(pairs.count()))
+    for side in ("x", "y"):
+        pairs = pairs.join(sets.select(F.col("digest").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+    return cut_lineage(pairs.mapInArrow(_confirm_batches(percent), "x binary, y binary"))
+
+
+def _links(sets: DataFrame, percent: int, minima: int, bits: int) -> DataFrame:
+    """Confirmed links ``x``, ``y`` that connect what the similarity graph connects."""
+    rows = cut_lineage(_prefix_rows(sets, percent))
+    key = ["cluster", "shingle"]
+    hubs = rows.groupBy(*key).agg(F.min(F.struct("at", "digest", "size", "most")).alias("h"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    hubs = hubs.select(*key, F.col("h.digest").alias("digest2"), F.col("h.size").alias("size2"), F.col("h.most").alias("most2"))
+    tried = cut_lineage(_pairs(rows.join(hubs, key), percent))
+    links = _confirmed(tried, sets, percent, minima, bits)
+    parts = cut_lineage(components(links, "x", "y"))
+    parted = rows.join(hubs.select(*key), key, "left_semi").join(parts.withColumnRenamed("node", "digest"), "digest", "left")
+    parted = cut_lineage(parted.withColumn("root", F.coalesce("root", "digest")))
+    counted = parted.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("sets"), F.min("size").alias("least"))
+    tops = counted.groupBy(*key).agg(
+        F.max(F.struct("sets", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.min("least").alias("least")
+    ).where("roots > 1")
+    unlike = cut_lineage(parted.join(tops.select(*key, F.col("top.root").alias("top"), "least"), key))
+    bucket = lambda size: F.floor(F.log2(size) * SIZE_STEPS).cast("int")
+    largest = F.least("most", F.floor(F.col("size") * 100 / percent).cast("bigint"))
+    smallest = F.ceil(F.col("size") * percent / 100).cast("bigint")
+    # Of two sets of different components at most one is of the largest, so this is one side of every pair left.
+    asking = unlike.where((F.col("root") != F.col("top")) & (largest >= F.col("least")))
+    asking = asking.select(*key, "digest", "size", "most", "root", F.explode(F.sequence(bucket(smallest), bucket(largest))).alias("bucket"))
+    others = unlike.select(
+        *key, bucket(F.col("size")).alias("bucket"),
+        *[F.col(c).alias(f"{c}2") for c in ("digest", "size", "most", "root")],
+    )
+    met = asking.join(others, [*key, "bucket"]).where("root <> root2")
+    left = _pairs(met, percent).join(tried, ["x", "y"], "left_anti")
+    stars = parts.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y"))
+    return stars.unionByName(_confirmed(left, sets, percent, minima, bits))
 
 
 def _grouped(docs: DataFrame, id_column: str, text: str, width: int, threshold_percent: int, bits: int) -> DataFrame:
@@ -308,28 +262,30 @@ def _grouped(docs: DataFrame, id_column: str, text: str, width: int, threshold_p
         F.first("planes").alias("planes"),
     )
     classes = cut_lineage(classes)
-    clusters = _clusters(classes, bands * rows, bits, threshold - JOIN_MARGIN, threshold - CLOSE_MARGIN)
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     wanted = (
-        clusters.join(sizes, "cluster")
-        .join(classes.select("digest", "first"), "digest")
-        .select("digest", "cluster", "blocks", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("key"))
+        _clusters(classes)
+        .join(classes.select("digest", "first", "planes"), "digest")
+        .select("digest", "cluster", "planes", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("key"))
     )
     # The text is found by its hash and the first id of its class, so copies are not read again.
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     same = (F.col("text_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("first_id"))
-    read = texts.join(wanted, same).select("digest", "cluster", "blocks", "text")
-    sets = read.mapInArrow(_set_batches("text", width), "digest binary, cluster binary, blocks bigint, shingles binary")
+    read = texts.join(wanted, same).select("digest", "cluster", "planes", "text")
+    sets = read.mapInArrow(_set_batches("text", width), "digest binary, cluster binary, planes array<bigint>, shingles binary")
     sets = cut_lineage(sets.where("shingles is not null"))
-    linked = components(_confirmed(sets, threshold_percent))
+    if sets.count() > sets.select("digest").distinct().count():
+        # Rows repeat an id and a text.
+        sets = cut_lineage(sets.dropDuplicates(["digest"]))
+    linked = components(_links(sets, threshold_percent, bands * rows, bits), "x", "y")
     rooted = classes.select("digest", F.col("first.id").alias("first_id")).join(linked.withColumnRenamed("node", "digest"), "digest", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "digest"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = rooted.join(smallest, "root").select("digest", "component_id")
-    columns = [id_column, "text_key", "n_shingles", "component_id"]
+    of_class = rooted.join(smallest, "root").select("digest", "root", "component_id")
+    columns = [id_column, "text_key", "n_shingles", "component_id", "root"]
     with_sets = full.join(of_class, "digest").select(*columns)
-    without = signed.where("digest is null").withColumn("component_id", F.col(id_column)).select(*columns)
-    return with_sets.unionByName(without).withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
+    without = signed.where("digest is null").withColumn("component_id", F.col(id_column)).withColumn("root", F.lit(None).cast("binary"))
+    both = with_sets.unionByName(without.select(*columns))
+    return both.withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(
@@ -350,14 +306,30 @@ def near_duplicates(
     and are kept or not together; a null id gets the smallest non-null id of its group, and is
     kept if there is none. Other columns are ignored, and an empty table gives an empty result.
     """
-    return _grouped(docs, id_column, text, width, threshold_percent, bits).drop("text_key")
+    return _grouped(docs, id_column, text, width, threshold_percent, bits).drop("text_key", "root")
 
 
 def without_copies(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, threshold_percent: int = 80, bits: int = 2
 ) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    dropped = _grouped(docs, id_column, text, width, threshold_percent, bits).where(~F.col("kept"))
-    dropped = cut_lineage(dropped.select(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).distinct())
-    same = F.col(id_column).eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__key"))
-    return docs.join(dropped, same, "left_anti")
+    """One row of ``docs`` for each group of near copies, and all rows without words, with all their columns.
+
+    The row with the smallest id stays, a null id being the largest; then that with the smallest hash of its text, and of rows
+    equal in id and text any one. Columns may have any names; an empty table stays empty.
+    """
+    rows = cut_lineage(_grouped(docs, id_column, text, width, threshold_percent, bits).where("root is not null").select(F.col(id_column).alias("id"), "text_key", "root"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    first = rows.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    counted = rows.groupBy("root", "id", "text_key").agg(F.count(F.lit(1)).alias("times")).join(first, "root").withColumn("stays", stays)
+    # Neither a copy nor one of several equal rows goes through here.
+    other = cut_lineage(counted.where("not stays or times > 1").select("id", "text_key", "stays"))
+
+    def same(marked: DataFrame) -> Column:
+        return docs[id_column].eqNullSafe(marked["id"]) & F.xxhash64(docs[text]).eqNullSafe(marked["text_key"])
+
+    single = docs.join(other, same(other), "left_anti")
+    repeated = other.where("stays")
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(docs.join(repeated, same(repeated), "left_semi").dropDuplicates([id_column, text]))

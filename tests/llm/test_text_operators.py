@@ -59,8 +59,7 @@ def near_copies(seed=3, n=60):
 
 
 @pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, width, percent, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 4)  # several blocks and pivots even here
+def test_near_duplicates(spark, width, percent):
     texts = near_copies()
     expected, sets = plain_groups(texts, width, percent)
     got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(docs(spark, texts), width=width, threshold_percent=percent).collect()}
@@ -84,6 +83,37 @@ def test_near_duplicates_odd_ids(spark):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_copies_with_repeated_and_null_ids(spark):
+    body = " ".join(f"w{i}" for i in range(60))
+    near = body + " more"
+    rows = [(1, body), (1, body), (None, body), (None, near), (2, near), (None, "p q r s t u"), (None, "p q r s t u"), (3, None), (3, None), (4, "z"), (4, "z x")]
+    names = "doc_id bigint, text string, __id string, id string, text_key string, root string, stays string, digest string"
+    table = spark.createDataFrame([(*r, "a", "b", "c", "d", "e", "f") for r in rows], names).repartition(3)
+    left = near_duplicates.without_copies(table)
+    assert left.columns == table.columns
+    expected = [(1, body), (None, "p q r s t u"), (3, None), (3, None), (4, "z"), (4, "z x")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(repr, expected))
+    assert near_duplicates.without_copies(table.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_very_long_and_of_chained_texts(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    long = [rng.choice(vocabulary) for _ in range(60_000)]
+    texts = [" ".join(long), " ".join(long[:-500]), " ".join(reversed(long))]
+    # A chain: neighbours are linked, and its ends are not; many share a passage without being linked.
+    chain = [rng.choice(vocabulary) for _ in range(100)]
+    for step in range(12):
+        texts.append(" ".join(chain))
+        at = 7 * step
+        chain[at : at + 4] = [rng.choice(vocabulary) for _ in range(4)]
+    passage = [rng.choice(vocabulary) for _ in range(80)]
+    texts += [" ".join(passage + [rng.choice(vocabulary) for _ in range(rng.randrange(20, 60))]) for _ in range(60)]
+    expected, _ = plain_groups(texts, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs(spark, texts), width=3, threshold_percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_band_shape_loses_few():
     for percent in (50, 80, 85, 95, 100):
         bands, rows = near_duplicates.band_shape(percent / 100)
