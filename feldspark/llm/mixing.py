@@ -20,6 +20,11 @@ PREFIXES = (3, 6)
 """Hex digits of the prefixes that narrow the cut: 4096 sums a source at each level, then about a 2^-24th of its rows."""
 
 
+BROADCAST_SOURCES = 100_000
+SALTS = 64
+"""Pieces a source's rows are dealt in where the sources are too many to broadcast."""
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -52,6 +57,16 @@ def targets(sizes: DataFrame, epochs: int = 3) -> DataFrame:
     return sizes.withColumn("target", F.least(F.lit(level) * F.col("weight"), cap.cast("double")))
 
 
+def _by_source(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with the facts of their source, whose name is in ``of``. A source may hold most rows, and is not gathered in one task."""
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if facts.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(facts), same)
+    dealt = rows.withColumn("piece", F.pmod(F.xxhash64("draw"), F.lit(SALTS)))
+    copies = facts.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return dealt.join(copies, same & (F.col("piece") == F.col("copy"))).drop("piece", "copy")
+
+
 def _cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """``source`` and ``cut``: the last seeded key taken once more, for sources with a rest to take."""
     open_rows = sized.where("size > 0").groupBy("source", "draw").agg(F.sum("size").alias("size"))
@@ -61,8 +76,8 @@ def _cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
     place = rest.withColumn("before", F.lit(0).cast("bigint")).withColumn("prefix", F.lit(""))
     length = 0
     for digits in PREFIXES:
-        parents = place.select(F.col("source").alias("s"), F.col("prefix").alias("p"), "before", "rest")
-        within = open_rows.join(parents, open_rows["source"].eqNullSafe(F.col("s")) & (F.substring("draw", 1, length) == F.col("p")))
+        parents = place.select(F.col("source").alias("of"), F.col("prefix").alias("p"), "before", "rest")
+        within = _by_source(open_rows, parents).where(F.substring("draw", 1, length) == F.col("p"))
         sums = within.groupBy("source", F.substring("draw", 1, digits).alias("prefix")).agg(
             F.sum("size").alias("size"), F.first("before").alias("start"), F.first("rest").alias("rest")
         )
@@ -74,8 +89,8 @@ def _cuts(sized: DataFrame, sources: DataFrame) -> DataFrame:
             .select("source", "prefix", (F.col("reached") - F.col("size")).alias("before"), "rest")
         )
         length = digits
-    parents = place.select(F.col("source").alias("s"), F.col("prefix").alias("p"), "before", "rest")
-    last = open_rows.join(parents, open_rows["source"].eqNullSafe(F.col("s")) & (F.substring("draw", 1, length) == F.col("p")))
+    parents = place.select(F.col("source").alias("of"), F.col("prefix").alias("p"), "before", "rest")
+    last = _by_source(open_rows, parents).where(F.substring("draw", 1, length) == F.col("p"))
     reached = F.sum("size").over(Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
     # Taken while that leaves the sum nearer to the rest than before.
     taken = last.withColumn("reached", reached).where(2 * F.col("reached") - F.col("size") <= 2 * F.col("rest"))
@@ -106,9 +121,10 @@ def _plan(sized: DataFrame, epochs: int, cycle: int) -> DataFrame:
     sources = cut_lineage(targets(source_weights(sizes, cycle), epochs))
     cuts = _cuts(sized, sources).withColumnRenamed("source", "s")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    return sources.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    plan = sources.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(
         F.col("source").alias("of"), "source_size", "target", whole.cast("bigint").alias("whole"), "cut"
     )
+    return cut_lineage(plan)
 
 
 def _times(draw: Column) -> Column:
@@ -128,7 +144,7 @@ def mix(
     """
     sized = _sized(docs, id_column, text, source, seed)
     plan = _plan(sized, epochs, cycle)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).select(
+    return _by_source(sized, plan).select(
         F.col("id").alias(id_column), "size", "source_size", "target", _times(F.col("draw")).alias("times")
     )
 
@@ -145,7 +161,7 @@ def repeated(
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).cast("string").alias("source"), _draw(id_column, seed).alias("draw")
     )
-    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("times", _times(F.col("draw"))).where("times > 0")
+    taken = _by_source(rows, plan).withColumn("times", _times(F.col("draw"))).where("times > 0")
     return taken.select(
         *[F.col("row")[c].alias(c) for c in docs.columns if c != number], F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias(number)
     )

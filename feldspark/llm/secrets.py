@@ -140,13 +140,13 @@ def candidates(index: DataFrame, key: str, queries: dict[str, list[Clause]]) ->
     return index.groupBy(key).agg(F.collect_set("gram").alias("grams")).select(key, F.array_compact(met).alias("kinds")).where(F.size("kinds") > 0)
 
 
-def secret_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
-    """``docs`` with ``secrets``: structs of start, end, order, kind and value, sorted by start, then order of the rules.
+def secret_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE + EXTRA, into: str = "secrets") -> DataFrame:
+    """``docs`` with ``into``: structs of start, end, order, kind and value, sorted by start, then order of the rules.
 
     Places are in code points, the end exclusive. A null or empty text has no secrets. The id only
     serves to find candidates: rows that repeat an id are verified together, and a null id is replaced
     by a hash of the text. An empty table gives an empty result; other columns stay as they are, and a
-    column called ``secrets`` is replaced.
+    column called ``into`` is replaced. The values are there in clear: keep them out of what is written.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for clauses in queries.values() for clause in clauses for alternative in clause for g in alternative})
@@ -173,7 +173,7 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             lambda s: F.struct(s["start"], s["place"], s["end"], s["kind"], s["value"]),
         )
     )
-    return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"], every.alias("secrets"))
+    return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != into.lower()], every.alias(into))
 
 
 def redacted(text: Column, spans: Column) -> Column:

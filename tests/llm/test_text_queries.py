@@ -108,3 +108,34 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         queries.table(spark, SMALL, name).where(F.lit(False)).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeats, and columns named like the stages' own; no n_chars."""
+    value = "AKIA" + "Q7" * 10
+    body = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (1, body, None), (1, body, "a"), (None, body + " end", "a"), (None, None, None), (3, "", "b"), (4, f"key {value} end", "a"),
+        (4, f"key {value} end", "a"), (5, "benchmark item of six plain words here", "b"), (6, " ".join(["filler"] * 5000), "b"),
+    ]
+    extra = ["secrets", "repetition", "found_secrets", "__id", "key", "row", "kinds", "cut", "whole", "score", "digest", "times"]
+    kept = [(*r, *["x"] * len(extra)) for r in rows]
+    spark.createDataFrame(kept, "doc_id bigint, text string, source string, " + ", ".join(f"{c} string" for c in extra)).write.parquet(str(tmp_path / "documents.parquet"))
+    queries.table(spark, SMALL, "labels").where(F.lit(False)).write.parquet(str(tmp_path / "labels.parquet"))
+    items = [(1, "item of six plain words here"), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = queries.table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).persist()
+        assert docs.columns == ["doc_id", "text", "source", *extra], name
+    texts = sorted(map(repr, ((r["doc_id"], r["text"]) for r in docs.collect())))
+    assert texts == sorted(map(repr, [(1, body), (None, None), (3, ""), (4, "key <access> end"), (6, " ".join(["filler"] * 5000))]))
+    assert not any(value in repr(r) for r in docs.collect())
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert mixed.columns == [*docs.columns, "_repetition"] and {r["repetition"] for r in mixed.collect()} == {"x"}
+
+
+def test_a_source_is_dealt_where_sources_are_many(spark, monkeypatch):
+    before = sorted(map(tuple, mixing.mix(queries.table(spark, SMALL, "documents")).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(tuple, mixing.mix(queries.table(spark, SMALL, "documents")).collect())) == before
