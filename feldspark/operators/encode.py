@@ -1,8 +1,9 @@
 """Categorical encodings, learned on training rows.
 
 After rare grouping a column keeps few levels, so its mapping is a literal. Without it a
-column may have any number of levels; mappings are then tables, joined on the category,
-and Spark decides by their measured size whether to broadcast them.
+column may have any number of levels; mappings are then tables, joined on the category. One of few
+rows is broadcast. Of a larger one only the levels that hold a noticeable share of the training rows are, which are few by
+that share; all other rows meet the rest of the table in a join whose keys are dealt in pieces where they match nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.roles import dbl, label_map
 
 MAX_LITERAL_LEVELS = 1_000
+BROADCAST_LEVELS = 100_000
+"""Mapping tables of more rows are joined in two parts."""
+HOT_SHARE = 0.001
+"""Levels with at least this share of the training rows are broadcast, at most one by the inverse of it."""
+PIECES = 64
 RARE = "Rare"
 POOLED = "infrequent_sklearn"
 
@@ -85,15 +91,24 @@ def apply_ordinal(df: DataFrame, codes: Mapping[str, Mapping[str, int]]) -> Data
 
 
 def ordinal_table(df: DataFrame, column: str) -> DataFrame:
-    """Codes of a column with any number of levels, as a table."""
+    """(level, code, rows): codes of a column with any number of levels."""
     from .ordering import with_rank
 
-    levels = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("level")).distinct()
-    return with_rank(levels, ["level"], "__r").select("level", (F.col("__r") - 1).cast("int").alias("code"))
+    levels = _leveled(df, column).groupBy("level").agg(F.count(F.lit(1)).alias("rows"))
+    return with_rank(levels, ["level"], "__r").select("level", (F.col("__r") - 1).cast("int").alias("code"), "rows")
+
+
+def _leveled(df: DataFrame, column: str) -> DataFrame:
+    return df.where(F.col(column).isNotNull()).withColumn("level", F.col(column).cast("string"))
+
+
+def pooled_table(df: DataFrame, column: str, shown: Sequence[str]) -> DataFrame:
+    """(level, value, rows) of the levels without a column of their own."""
+    return _leveled(df, column).where(~F.col("level").isin(list(shown))).groupBy("level").agg(F.lit(1.0).alias("value"), F.count(F.lit(1)).alias("rows"))
 
 
 def fit_onehot(df: DataFrame, columns: Sequence[str], max_categories: int = 15) -> dict[str, dict]:
-    """Levels to show and levels to pool; beyond the limit the most frequent stay."""
+    """Levels to show, and whether others are pooled; beyond the limit the most frequent stay."""
     from pyspark.sql import Window
 
     counts = level_counts(df, columns)
@@ -108,22 +123,31 @@ def fit_onehot(df: DataFrame, columns: Sequence[str], max_categories: int = 15)
     for c in columns:
         levels = sorted(top[c])
         plan[c] = {"levels": levels[1:] if len(levels) == 2 and sizes[c] == 2 else levels, "pooled": sizes.get(c, 0) > max_categories}
-        plan[c]["known"] = None
-        if plan[c]["pooled"]:
-            plan[c]["known"] = [l for l in sorted_levels(df, c, 100_000) if l not in set(levels)]
     return plan
 
 
-def apply_onehot(df: DataFrame, plan: Mapping[str, Mapping]) -> DataFrame:
-    """0/1 columns ``col_level``; unknown and missing values are all zeros; originals go."""
+def onehot_tables(df: DataFrame, plan: Mapping[str, Mapping]) -> dict[str, DataFrame]:
+    """The pooled levels of the columns that have any."""
+    return {c: pooled_table(df, c, p["levels"]) for c, p in plan.items() if p["pooled"]}
+
+
+def apply_onehot(df: DataFrame, plan: Mapping[str, Mapping], pooled: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """0/1 columns ``col_level``; unknown and missing values are all zeros; originals go.
+
+    ``pooled`` has the levels that share one column, for the columns with such levels.
+    """
     out: list[Column] = []
+    columns = df.columns
+    for c, p in plan.items():
+        if p["pooled"]:
+            df = with_mapped(df, pooled[c], c, f"__pooled_{c}")
     for c, p in plan.items():
         text = F.col(c).cast("string")
         for level in p["levels"]:
             out.append(F.coalesce((text == level).cast("double"), F.lit(0.0)).alias(f"{c}_{level}"))
         if p["pooled"]:
-            out.append(F.coalesce(text.isin(p["known"]).cast("double"), F.lit(0.0)).alias(f"{c}_{POOLED}"))
-    return df.select(*[c for c in df.columns if c not in plan], *out)
+            out.append(F.coalesce(F.col(f"__pooled_{c}"), F.lit(0.0)).alias(f"{c}_{POOLED}"))
+    return df.select(*[c for c in columns if c not in plan], *out)
 
 
 def target_table(df: DataFrame, column: str, target: str, smoothing: float = 5.0, min_leaf: int = 10) -> DataFrame:
@@ -135,7 +159,7 @@ def target_table(df: DataFrame, column: str, target: str, smoothing: float = 5.0
     stats = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(
         F.avg(dbl(target)).alias("m"), F.count(F.lit(1)).alias("n")
     )
-    return stats.select("level", (weight * F.col("m") + (1 - weight) * F.lit(prior)).alias("value"))
+    return stats.select("level", (weight * F.col("m") + (1 - weight) * F.lit(prior)).alias("value"), F.col("n").alias("rows"))
 
 
 def woe_table(df: DataFrame, column: str, target: str, regularization: float = 1.0) -> DataFrame:
@@ -149,20 +173,46 @@ def woe_table(df: DataFrame, column: str, target: str, regularization: float = 1
     r = float(regularization)
     positive = (F.col("s") + r) / F.lit(total["s"] + 2 * r)
     negative = (F.col("n") - F.col("s") + r) / F.lit(total["n"] - total["s"] + 2 * r)
-    return stats.select("level", F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log(positive / negative)).alias("value"))
+    value = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log(positive / negative))
+    return stats.select("level", value.alias("value"), F.col("n").alias("rows"))
 
 
 def frequency_table(df: DataFrame, column: str) -> DataFrame:
     known = df.where(F.col(column).isNotNull())
     total = known.count()
-    return known.groupBy(F.col(column).cast("string").alias("level")).agg((F.count(F.lit(1)) / F.lit(float(total))).alias("value"))
+    counted = known.groupBy(F.col(column).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select("level", (F.col("rows") / F.lit(float(total))).alias("value"), "rows")
+
 
+def with_mapped(df: DataFrame, mapping: DataFrame, column: str, into: str, broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
+    """Add ``into``, the mapped value of a column, null for values the mapping lacks.
 
-def apply_table(df: DataFrame, mapping: DataFrame, column: str, unseen=None, missing=None) -> DataFrame:
-    """Replace a column by its mapped value; left join, no forced broadcast."""
-    named = mapping.select(F.col("level").alias("__level"), F.col(mapping.columns[1]).alias("__value"))
-    joined = df.join(named, F.col(column).cast("string") == F.col("__level"), "left")
-    value = F.when(F.col(column).isNull(), F.lit(missing)).otherwise(F.coalesce(F.col("__value"), F.lit(unseen)))
+    ``mapping`` has the level, its value and, optionally, ``rows``, how many training rows hold it.
+    """
+    value = mapping.columns[1]
+    named = mapping.select(F.col("level").alias("__level"), F.col(value).alias("__value"), *(["rows"] if "rows" in mapping.columns else []))
+    level = F.col(column).cast("string")
+    if named.count() <= broadcast_levels:
+        return df.join(F.broadcast(named.drop("rows")), level == F.col("__level"), "left").withColumn(into, F.col("__value")).drop("__level", "__value")
+    rest, known = named.drop("rows"), F.lit(False)
+    if "rows" in named.columns:
+        least = HOT_SHARE * named.agg(F.sum("rows")).first()[0]
+        hot = named.where(F.col("rows") >= least).select(F.col("__level").alias("__hot"), F.col("__value").alias("__hot_value"))
+        df = df.join(F.broadcast(hot), level == F.col("__hot"), "left")
+        rest, known = named.where(F.col("rows") < least).drop("rows"), F.col("__hot").isNotNull()
+    # Rows that need no other value would all have one key; they get keys that match nothing, in pieces.
+    done = known | level.isNull()
+    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(PIECES)).cast("string")
+    keyed = df.withColumn("__open", ~done).withColumn("__key", F.when(done, piece).otherwise(level))
+    joined = keyed.join(rest.withColumn("__asked", F.lit(True)), (F.col("__key") == F.col("__level")) & (F.col("__open") == F.col("__asked")), "left")
+    found = F.coalesce("__hot_value", "__value") if "rows" in named.columns else F.col("__value")
+    return joined.withColumn(into, found).drop("__open", "__key", "__level", "__value", "__asked", "__hot", "__hot_value")
+
+
+def apply_table(df: DataFrame, mapping: DataFrame, column: str, unseen=None, missing=None, broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
+    """Replace a column by its mapped value."""
+    joined = with_mapped(df, mapping, column, "__mapped", broadcast_levels)
+    value = F.when(F.col(column).isNull(), F.lit(missing)).otherwise(F.coalesce(F.col("__mapped"), F.lit(unseen)))
     return joined.select(*[value.alias(c) if c == column else F.col(c) for c in df.columns])
 
 

@@ -14,9 +14,9 @@ from ..functions.moments import sample_kurtosis, sample_skewness
 from ..functions.roles import dbl, numeric_columns, string_columns, type_class
 from .aggregates import aggregate_row, exact_quantiles, per_column
 from .ordering import running_totals
+from .rank_correlation import kendall_counts, kendall_tau  # noqa: F401
 
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-MAX_CONTINGENCY_CELLS = 100_000
 
 
 def types(df: DataFrame) -> DataFrame:
@@ -286,38 +286,6 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return correlation_pairs(named, columns)
 
 
-def contingency(df: DataFrame, a: str, b: str) -> list[tuple]:
-    """Cell counts of two low-cardinality columns; refuses an unbounded table."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count().limit(MAX_CONTINGENCY_CELLS + 1)
-    rows = [tuple(r) for r in cells.collect()]
-    if len(rows) > MAX_CONTINGENCY_CELLS:
-        raise ValueError(f"{a!r} x {b!r} has more than {MAX_CONTINGENCY_CELLS} cells; bin the columns first")
-    return rows
-
-
-def kendall_tau(df: DataFrame, a: str, b: str) -> float:
-    """Kendall's tau-b from the contingency table of two low-cardinality columns."""
-    import numpy as np
-
-    rows = contingency(df, a, b)
-    left = {v: i for i, v in enumerate(sorted({r[0] for r in rows}))}
-    right = {v: i for i, v in enumerate(sorted({r[1] for r in rows}))}
-    cells = np.zeros((len(left), len(right)))
-    for x, y, n in rows:
-        cells[left[x], right[y]] = n
-    above = cells[::-1].cumsum(0)[::-1]
-    later = np.zeros_like(cells)
-    later[:-1, :-1] = above[1:][:, ::-1].cumsum(1)[:, ::-1][:, 1:]
-    earlier = np.zeros_like(cells)
-    earlier[:-1, 1:] = above[1:].cumsum(1)[:, :-1]
-    concordant, discordant = (cells * later).sum(), (cells * earlier).sum()
-    total = cells.sum()
-    pairs = total * (total - 1) / 2
-    tied_a = (cells.sum(1) * (cells.sum(1) - 1) / 2).sum()
-    tied_b = (cells.sum(0) * (cells.sum(0) - 1) / 2).sum()
-    return float((concordant - discordant) / np.sqrt((pairs - tied_a) * (pairs - tied_b)))
-
-
 def cramers_v(df: DataFrame, a: str, b: str) -> float:
     """Cramer's V of two categorical columns with any number of values: joins of counts, one row to the driver."""
     whole = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")

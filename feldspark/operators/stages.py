@@ -1,7 +1,8 @@
 """Fitted operators as pipeline stages: one ``fit`` learns plain values, ``transform`` projects.
 
-A stage keeps its settings, and its model the learned values, as JSON parameters, so whole
-pipelines save and load with Spark's own writers.
+A stage keeps its settings, and its model the learned values, as JSON parameters. What may have any number
+of rows (levels of a column, groups, donors) is learned as tables. They are written as Parquet beside the metadata when
+the model is saved, so a saved pipeline needs nothing outside its folder.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import dbl, numeric_columns, string_columns
-from ..sources.tables import scratch_folder
+from ..session import cut_lineage
 from . import clean, encode, explain, features, impute, models, outliers, scale
 from . import select as selection
 from .neighbours import knn_fills
 
 FITS: dict[str, Callable[[DataFrame, dict], dict]] = {}
 TRANSFORMS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
+TABLES = "tables"
+"""Learned tables by name, apart from the values."""
 
 
 class _Held(Params):
@@ -45,17 +48,48 @@ class TableStage(Estimator, _Held, DefaultParamsReadable, DefaultParamsWritable)
 
     def _fit(self, dataset: DataFrame) -> TableModel:
         kind = self.getOrDefault(self.kind)
-        return TableModel(kind, FITS[kind](dataset, self.values()))
+        learned = dict(FITS[kind](dataset, self.values()))
+        # The tables are written here, once: every use of the model reads the copy.
+        tables = {name: cut_lineage(table) for name, table in learned.pop(TABLES, {}).items()}
+        return TableModel(kind, learned, tables)
 
 
 class TableModel(Model, _Held, DefaultParamsReadable, DefaultParamsWritable):
-    def __init__(self, operator: str | None = None, learned: dict | None = None):
+    """Learned values, and learned tables by name."""
+
+    def __init__(self, operator: str | None = None, learned: dict | None = None, tables: dict[str, DataFrame] | None = None):
         super().__init__()
+        self.tables = dict(tables or {})
         if operator is not None:
             self._set(kind=operator, content=json.dumps(learned))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return TRANSFORMS[self.getOrDefault(self.kind)](dataset, self.values())
+        return TRANSFORMS[self.getOrDefault(self.kind)](dataset, {**self.values(), TABLES: self.tables})
+
+    def write(self):
+        return _TableModelWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _TableModelReader(cls)
+
+
+class _TableModelWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        names = sorted(self.instance.tables)
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, {TABLES: names})
+        for i, name in enumerate(names):
+            self.instance.tables[name].write.parquet(f"{path}/{TABLES}/{i}")
+
+
+class _TableModelReader(DefaultParamsReader):
+    def load(self, path: str) -> TableModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = TableModel()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        model.tables = {name: self.sparkSession.read.parquet(f"{path}/{TABLES}/{i}") for i, name in enumerate(metadata.get(TABLES, []))}
+        return model
 
 
 def _free(df: DataFrame, settings: dict, columns: list[str]) -> list[str]:
@@ -80,14 +114,13 @@ def _fit_impute(df, s):
     numbers = [c for c in holes if c in set(numeric_columns(held))]
     texts = [c for c in holes if c in set(string_columns(held))]
     strategy = s.get("numeric", "median")
-    learned = {"knn": None, "drop": drop, "indicators": numbers + texts if s.get("indicators", True) else [], "fills": {}, "chained": None}
+    learned = {"knn": None, "drop": drop, "indicators": numbers + texts if s.get("indicators", True) else [], "fills": {}, "chained": None, TABLES: {}}
     # Columns complete in training may still have holes later; they get the same statistic.
     spare = [c for c in _free(held, s, numeric_columns(held))]
     if strategy == "knn" and numbers:
-        # donors are training rows, kept as a table beside the model
-        path = scratch_folder(df.sparkSession, "donors")
-        held.select(s["row_id"], *numbers).write.parquet(path)
-        learned["knn"] = {"path": path, "id": s["row_id"], "columns": numbers, "k": s.get("k", 5)}
+        # donors are training rows, a table of the model
+        learned[TABLES]["donors"] = held.select(s["row_id"], *numbers)
+        learned["knn"] = {"id": s["row_id"], "columns": numbers, "k": s.get("k", 5)}
         learned["fills"] = impute.numeric_fills(held, spare)
     elif strategy == "iterative" and numbers:
         learned["chained"] = impute.fit_chained(held, numbers)
@@ -102,7 +135,7 @@ def _do_impute(df, v):
     held = clean.missing_indicators(df.drop(*v["drop"]), [c for c in v["indicators"] if c in df.columns])
     if v["knn"]:
         n = v["knn"]
-        held = knn_fills(held, n["id"], n["columns"], n["k"], df.sparkSession.read.parquet(n["path"]))
+        held = knn_fills(held, n["id"], n["columns"], n["k"], v[TABLES]["donors"])
     if v["chained"]:
         held = impute.apply_chained(held, v["chained"])
     return impute.fill(held, v["fills"])
@@ -128,51 +161,44 @@ def _fit_encode(df, s):
     low_method = s.get("low", "ordinal" if s.get("model_type") == "linear" else "onehot")
     routes = encode.route(held, columns, s.get("threshold", 10), s.get("override"))
     named = {"binary": "ordinal", "low": low_method, "high": s.get("high", "target")}
-    learned = {"kept": kept, "ordinal": {}, "onehot": {}, "tables": {}, "hash": []}
+    learned = {"kept": kept, "onehot": {}, "mapped": {}, "hash": [], TABLES: {}}
     target = s.get("target")
     for c, route in routes.items():
         method = named.get(route, route)
         if target is None and method in ("target", "woe"):
             method = "count"
-        if method == "ordinal":
-            learned["ordinal"].update(encode.fit_ordinal(held, [c]))
-        elif method == "onehot":
-            learned["onehot"].update(encode.fit_onehot(held, [c], s.get("max_onehot", 15)))
+        if method == "onehot":
+            plan = encode.fit_onehot(held, [c], s.get("max_onehot", 15))
+            learned["onehot"].update(plan)
+            learned[TABLES].update({f"pooled {c}": t for c, t in encode.onehot_tables(held, plan).items()})
         elif method == "hash":
             learned["hash"].append(c)
         else:
-            learned["tables"][c] = _literal_table(held, c, method, target, s)
+            learned[TABLES][f"levels {c}"], learned["mapped"][c] = _mapping(held, c, method, target, s)
     return learned
 
 
-def _literal_table(df, column, method, target, s):
+def _mapping(df, column, method, target, s):
+    """The table of a column's levels, and what unseen and missing values become."""
+    if method == "ordinal":
+        return encode.ordinal_table(df, column), {"unseen": -1, "missing": -1, "kind": "int"}
     if method == "target":
-        table = encode.target_table(df, column, target, s.get("smoothing", 5.0))
-        unseen = missing = df.agg(F.avg(dbl(target))).first()[0]
-    elif method == "woe":
-        table, unseen, missing = encode.woe_table(df, column, target), 0.0, 0.0
-    elif method == "count":
-        table, unseen, missing = encode.frequency_table(df, column), 0.0, None
-    else:
-        raise ValueError(f"unknown encoding {method!r}")
-    rows = table.limit(encode.MAX_LITERAL_LEVELS + 1).collect()
-    if len(rows) > encode.MAX_LITERAL_LEVELS:
-        raise ValueError(f"{column!r} keeps too many levels for a stage; group rare levels or join a table mapping")
-    return {"values": {r[0]: r[1] for r in rows}, "unseen": unseen, "missing": missing}
+        prior = df.agg(F.avg(dbl(target))).first()[0]
+        return encode.target_table(df, column, target, s.get("smoothing", 5.0)), {"unseen": prior, "missing": prior, "kind": "double"}
+    if method == "woe":
+        return encode.woe_table(df, column, target), {"unseen": 0.0, "missing": 0.0, "kind": "double"}
+    if method == "count":
+        return encode.frequency_table(df, column), {"unseen": 0.0, "missing": None, "kind": "double"}
+    raise ValueError(f"unknown encoding {method!r}")
 
 
 def _do_encode(df, v):
-    from ..functions.roles import label_map
-
     held = encode.apply_rare(df, v["kept"]) if v["kept"] else df
-    if v["ordinal"]:
-        held = encode.apply_ordinal(held, v["ordinal"])
-    changes = {}
-    for c, t in v["tables"].items():
-        changes[c] = F.when(F.col(c).isNull(), F.lit(t["missing"])).otherwise(label_map(c, t["values"], t["unseen"])).cast("double")
-    held = held.withColumns(changes) if changes else held
+    for c, m in v["mapped"].items():
+        held = encode.apply_table(held, v[TABLES][f"levels {c}"], c, m["unseen"], m["missing"])
+        held = held.withColumn(c, F.col(c).cast(m["kind"]))
     if v["onehot"]:
-        held = encode.apply_onehot(held, v["onehot"])
+        held = encode.apply_onehot(held, v["onehot"], {c: v[TABLES][f"pooled {c}"] for c, p in v["onehot"].items() if p["pooled"]})
     return encode.encode_hash(held, v["hash"]) if v["hash"] else held
 
 
@@ -193,7 +219,18 @@ def _do_scale(df, v):
 
 
 def _fit_engineer(df, s):
-    return {**s, "edges": features.fit_bins(df, s["bins"], s.get("n_bins", 5), s.get("bin_strategy", "quantile")) if s.get("bins") else {}}
+    learned = {**s, "edges": features.fit_bins(df, s["bins"], s.get("n_bins", 5), s.get("bin_strategy", "quantile")) if s.get("bins") else {}, TABLES: {}}
+    groups: dict[str, DataFrame] = {}
+    for g in s.get("groups", []):
+        statistics = features.group_statistics(df, g["group"], g["column"], g.get("functions", ("mean", "std")))
+        name = f"group {g['group']}"
+        # All statistics of one grouping are one table and one join.
+        groups[name] = groups[name].join(statistics, g["group"], "left") if name in groups else statistics
+    for name, statistics in groups.items():
+        group = name.removeprefix("group ")
+        rows = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__rows"))
+        learned[TABLES][name] = statistics.join(rows, group)
+    return learned
 
 
 def _do_engineer(df, v):
@@ -206,13 +243,23 @@ def _do_engineer(df, v):
         held = features.apply_bins(held, v["edges"])
     if v.get("interactions"):
         held = features.interactions(held, [tuple(p) for p in v["interactions"]])
+    for name, statistics in v[TABLES].items():
+        held = _with_groups(held, statistics, name.removeprefix("group "))
     if v.get("text"):
         held = features.text_features(held, v["text"])
     if v.get("dates"):
-        held = features.date_features(held, v["dates"])
+        held = features.date_features(held, v["dates"], since=v.get("since"))
     return held
 
 
+def _with_groups(df, statistics, group):
+    """Statistics of each row's group; groups unseen in training, and a missing one, have none."""
+    names = [c for c in statistics.columns if c not in (group, "__rows")]
+    packed = statistics.select(F.col(group).cast("string").alias("level"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("value"), F.col("__rows").alias("rows"))
+    held = encode.with_mapped(df, packed, group, "__statistics")
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__statistics")[c].alias(c) for c in names])
+
+
 def _fit_select(df, s):
     columns = s.get("columns") or _free(df, s, numeric_columns(df))
     varying = selection.keep_varying(df, columns, s.get("variance", 0.01))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..operators import encode as N
+from ..operators.stages import TableStage
 from ..session import small_table
+from ..sources.tables import scratch_folder
 from .catalog import query, table
 from .fixtures import DOC_FEATURES_SQL, labelled_docs
 from .profile_queries import round_all
@@ -60,7 +63,8 @@ def encode_onehot(spark, sf):
   from part p join k on p.p_brand = k.p_brand""".replace("(select max(p_brand) from k where r = 1) = p.p_brand as is_top, ", ""))
 def encode_onehot_pooled(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_brand")
-    encoded = N.apply_onehot(parts, N.fit_onehot(parts, ["p_brand"]))
+    plan = N.fit_onehot(parts, ["p_brand"])
+    encoded = N.apply_onehot(parts, plan, N.onehot_tables(parts, plan))
     return encoded.select("p_partkey", F.col(f"p_brand_{N.POOLED}").alias("pooled"))
 
 
@@ -116,8 +120,78 @@ def encode_ordinal_custom(spark, sf):
     return N.encode_ordinal_custom(orders, "o_orderpriority", ["5-LOW", "3-MEDIUM", "1-URGENT"])
 
 
-@query("encode_override", """select '{c}' as x""".replace("select '{c}' as x", """select 'p_name' as "column", 'count' as method union all
-  select 'p_type', (select case when count(distinct p_type) <= 2 then 'binary' when count(distinct p_type) <= 10 then 'low' else 'high' end from part)"""))
+@query("encode_override", f"""with c as (select p_name, count(*) as n from part group by 1),
+  t as (select p_type, dense_rank() over (order by p_type) - 1 as code from (select distinct p_type from part))
+  select p_partkey, round(c.n / (select count(*) from part)::double, 9) + 0.0 as p_name, t.code::int as p_type
+  from part join c using (p_name) join t using (p_type)""")
 def encode_override(spark, sf):
-    routed = N.route(table(spark, sf, "part"), ["p_name", "p_type"], override={"p_name": "count"})
-    return small_table(spark, list(routed.items()), "column string, method string")
+    """Named methods in place of the routed ones, as the stage applies them."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    stage = TableStage("encode", columns=["p_name", "p_type"], override={"p_name": "count", "p_type": "ordinal"}, group_rare=False)
+    return stage.fit(parts).transform(parts).select("p_partkey", F.round("p_name", 9).alias("p_name"), "p_type")
+
+
+def reloaded(spark, stages, rows):
+    """The fitted stages, written to a folder and read back."""
+    folder = scratch_folder(spark, "stages")
+    fitted, held = [], rows
+    for stage in stages:
+        fitted.append(stage.fit(held))
+        held = fitted[-1].transform(held)
+    PipelineModel(stages=fitted).write().save(folder)
+    return PipelineModel.load(folder)
+
+
+_LINES_SQL = "(select *, (l_returnflag = 'R')::int::double as y, (l_orderkey + l_linenumber) % 3 <> 0 as train from lineitem)"
+
+
+@query("encode_levels_stage", f"""with b as {_LINES_SQL},
+  t as (select l_orderkey::varchar as k, avg(y) as m, count(*) as n, sum(y) as s, row_number() over (order by l_orderkey::varchar) - 1 as code from b where train group by 1),
+  p as (select avg(y) as prior, sum(y) as s, count(*)::double as n from b where train),
+  parts as (select l_partkey, row_number() over (order by count(*) desc, l_partkey::varchar desc) as place from b where train group by 1)
+  select b.l_orderkey, b.l_linenumber, coalesce(t.code, -1)::int as k_ordinal,
+    round(coalesce((1 / (1 + exp(-(t.n - 10) / 5.0::double))) * t.m + (1 - 1 / (1 + exp(-(t.n - 10) / 5.0::double))) * p.prior, p.prior), 6) + 0.0 as k_target,
+    round(coalesce(case when t.n = 1 then 0 else ln(((t.s + 1) / (p.s + 2)) / ((t.n - t.s + 1) / (p.n - p.s + 2))) end, 0), 6) + 0.0 as k_woe,
+    round(coalesce(t.n / p.n, 0), 9) + 0.0 as k_count, coalesce(parts.place > 14, false)::int::double as pooled
+  from b cross join p left join t on t.k = b.l_orderkey::varchar left join parts on parts.l_partkey = b.l_partkey""")
+def encode_levels_stage(spark, sf):
+    """Every encoding of a column with as many levels as there are orders, from a saved model."""
+    kinds = ["ordinal", "target", "woe", "count"]
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("double").alias("y"),
+        ((F.col("l_orderkey") + F.col("l_linenumber")) % 3 != 0).alias("train"),
+        *[F.col("l_orderkey").cast("string").alias(f"k_{k}") for k in kinds], F.col("l_partkey").cast("string").alias("part"),
+    )
+    override = {**{f"k_{k}": k for k in kinds}, "part": "onehot"}
+    stage = TableStage("encode", columns=list(override), target="y", override=override, group_rare=False)
+    model = reloaded(spark, [stage], lines.where("train"))
+    out = model.transform(lines)
+    return out.select(
+        "l_orderkey", "l_linenumber", "k_ordinal", F.round("k_target", 6).alias("k_target"), F.round("k_woe", 6).alias("k_woe"),
+        F.round("k_count", 9).alias("k_count"), F.col(f"part_{N.POOLED}").alias("pooled"),
+    )
+
+
+@query("fe_group_stage", """with g as (select user_id, avg(value) as m, stddev_samp(value) as s, quantile_cont(value, 0.5) as d, count(distinct event_type) as u
+    from events where event_id % 3 <> 0 group by 1),
+  k as (select event_type, max(value) as most from events where event_id % 3 <> 0 and event_type <> 'view' group by 1)
+  select event_id, round(m, 6) + 0.0 as value_by_user_id_mean, round(s, 6) + 0.0 as value_by_user_id_std, round(d, 6) + 0.0 as value_by_user_id_median,
+    u as event_type_by_user_id_nunique, round(most, 6) + 0.0 as value_by_event_type_max,
+    floor((epoch(ts) - epoch(timestamp '2020-01-01')) / 86400)::bigint as ts_days_since_ref
+  from events left join g using (user_id) left join k using (event_type)""")
+def fe_group_stage(spark, sf):
+    """Group statistics and days since a date, from a saved model; groups it has not seen have none."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    # Typed as text in training and scoring alike; one type of event is unseen in training.
+    known = events.where("event_id % 3 <> 0").withColumn("event_type", F.when(F.col("event_type") != "view", F.col("event_type")))
+    every = {"user_id": ("mean", "std", "median"), "event_type": ("max",)}
+    groups = [{"group": g, "column": "value", "functions": f} for g, f in every.items()]
+    typed = {"group": "user_id", "column": "kind", "functions": ("nunique",)}
+    stage = TableStage("engineer", groups=[*groups, typed], dates=["ts"], since={"ts": "2020-01-01"})
+    kinds = events.select("event_id", F.col("event_type").alias("kind"))
+    out = reloaded(spark, [stage], known.join(kinds, "event_id")).transform(events.withColumn("kind", F.col("event_type")))
+    return out.select(
+        "event_id", *[F.round(f"value_by_user_id_{f}", 6).alias(f"value_by_user_id_{f}") for f in ("mean", "std", "median")],
+        F.col("kind_by_user_id_nunique").alias("event_type_by_user_id_nunique"),
+        F.round("value_by_event_type_max", 6).alias("value_by_event_type_max"), "ts_days_since_ref",
+    )

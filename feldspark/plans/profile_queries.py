@@ -240,6 +240,23 @@ def kendall_tau(spark, sf):
     return small_table(spark, [("l_quantity", "l_discount", round(tau, 6) + 0.0)], "a string, b string, tau double")
 
 
+@query("kendall_prices", """with c as (select l_extendedprice as x, l_quantity as y, count(*) as n from lineitem group by 1, 2),
+  levels as (select distinct y as v from c),
+  met as (select c.y, c.n, v, sum(case when c.y = v then c.n else 0 end) over
+    (partition by v order by c.x groups between unbounded preceding and 1 preceding) as earlier from c, levels),
+  d as (select sum(case when v < y then n * earlier else 0 end)::bigint as con, sum(case when v > y then n * earlier else 0 end)::bigint as dis from met),
+  t as (select sum(n)::bigint as n from c),
+  ta as (select sum(n * (n - 1))::bigint // 2 as t from (select x, sum(n)::bigint as n from c group by 1)),
+  tb as (select sum(n * (n - 1))::bigint // 2 as t from (select y, sum(n)::bigint as n from c group by 1))
+  select 'l_extendedprice' as a, 'l_quantity' as b, con as concordant, dis as discordant, ta.t as tied_a, tb.t as tied_b,
+    round((con - dis) / sqrt((t.n * (t.n - 1) // 2 - ta.t)::double * (t.n * (t.n - 1) // 2 - tb.t)::double), 9) + 0.0 as tau from d, t, ta, tb""")
+def kendall_prices(spark, sf):
+    # Small ranges, so that counting within and between ranges takes part at every size.
+    found = P.kendall_counts(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", local_rows=10_000)
+    row = ("l_extendedprice", "l_quantity", found.concordant, found.discordant, found.tied_a, found.tied_b, round(found.tau, 9) + 0.0)
+    return small_table(spark, [row], "a string, b string, concordant bigint, discordant bigint, tied_a bigint, tied_b bigint, tau double")
+
+
 @query("association", f"""with c as (select lang, source, count(*)::double as n from {DOC_FEATURES_SQL} group by 1, 2),
   t as (select sum(n) as n from c),
   e as (select c.n, sum(c.n) over (partition by lang) as l, sum(c.n) over (partition by source) as s from c),

@@ -208,6 +208,27 @@ def test_kendall_against_all_pairs(spark):
     assert profile.kendall_tau(frame(spark, a=a, b=b), "a", "b") == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("local_rows", [7, 50, 10_000])
+def test_kendall_counts_in_ranges(spark, local_rows):
+    rng = np.random.default_rng(17)
+    a, b = rng.integers(0, 40, 300), rng.integers(0, 12, 300)
+    a[:120], b[60:150] = 5, 3  # hot values, also a hot pair
+    s = np.sign(a[:, None] - a) * np.sign(b[:, None] - b)
+    found = profile.kendall_counts(frame(spark, a=a, b=b).repartition(4), "a", "b", local_rows)
+    assert (found.concordant, found.discordant) == ((s > 0).sum() // 2, (s < 0).sum() // 2)
+    assert found.pairs == found.concordant + found.discordant + found.tied_a + found.tied_b - sum(
+        c * (c - 1) // 2 for c in np.unique(np.stack((a, b)), axis=1, return_counts=True)[1]
+    )
+
+
+def test_kendall_of_texts_nulls_and_constants(spark):
+    rows = [("a", 1.0), ("b", 2.0), ("é", 3.0), (None, 9.0), ("z", None), ("b", 0.5)]
+    df = spark.createDataFrame(rows, "a string, b double")
+    found = profile.kendall_counts(df, "a", "b", 2)
+    assert (found.pairs, found.concordant, found.discordant, found.tied_a, found.tied_b) == (6, 4, 1, 1, 0)
+    assert np.isnan(profile.kendall_tau(df.where("a = 'b'"), "a", "b")) and np.isnan(profile.kendall_tau(df.limit(0), "a", "b"))
+
+
 def test_correlation_rule_keeps_the_better_feature(spark):
     rng = np.random.default_rng(8)
     y = rng.normal(size=300)
