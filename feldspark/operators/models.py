@@ -357,3 +357,30 @@ def early_stopping_rows(train: DataFrame, val: DataFrame) -> DataFrame:
 
 def numeric_label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(label, dbl(label))
+
+
+def training_curve(model: PipelineModel, train: DataFrame, val: DataFrame) -> DataFrame:
+    """``round``, ``train_loss`` and ``val_loss`` of a boosted model after each of its rounds."""
+    booster, ready = model.stages[-1], [model.stages[0].transform(d) for d in (train, val)]
+    losses = [booster.evaluateEachIteration(d) for d in ready]
+    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(*losses))]
+    return small_table(train.sparkSession, rows, "round int, train_loss double, val_loss double")
+
+
+def pseudo_label(estimator: Pipeline, train: DataFrame, new: DataFrame, features: Sequence[str], label: str, at_least: float = 0.95) -> tuple[PipelineModel, DataFrame]:
+    """Refit on the training rows and those new rows whose class the first fit is sure of: the model, and the rows added with their label.
+
+    Where no row is sure enough the model is the first fit.
+    """
+    from .score import confident_rows
+
+    first = estimator.fit(train)
+    judged = scored(first, new, [c for c in new.columns if c != label])
+    sure = confident_rows(judged, "prob_positive", at_least)
+    if label != "label":
+        sure = sure.withColumnRenamed("label", label)
+    columns = [*features, label]
+    added = sure.select(*[c for c in new.columns if c != label], label).persist()
+    if added.isEmpty():
+        return first, added
+    return estimator.fit(train.select(*columns).unionByName(added.select(*columns))), added

@@ -14,6 +14,7 @@ from ..functions.moments import sample_kurtosis, sample_skewness
 from ..functions.roles import dbl, numeric_columns, string_columns, type_class
 from .aggregates import aggregate_row, exact_quantiles, per_column
 from .ordering import running_totals
+from .pairs import correlations
 from .rank_correlation import kendall_counts, kendall_tau  # noqa: F401
 
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -163,12 +164,7 @@ def missing_correlation(df: DataFrame) -> DataFrame:
     """Correlation of the null indicators of every pair of columns that have nulls."""
     counts = aggregate_row(df, {c: F.count(F.when(F.col(f"`{c}`").isNull(), 1)) for c in df.columns})
     holed = [c for c in df.columns if counts[c]]
-    pairs = list(combinations(holed, 2))
-    values = aggregate_row(
-        df, {p: F.corr(F.col(f"`{p[0]}`").isNull().cast("double"), F.col(f"`{p[1]}`").isNull().cast("double")) for p in pairs}
-    )
-    rows = [(a, b, _float(values[a, b])) for a, b in pairs]
-    return small_table(df.sparkSession, rows, "a string, b string, r double")
+    return correlations(df.select(*[F.col(f"`{c}`").isNull().cast("double").alias(c) for c in holed]), holed)
 
 
 def _long(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -220,11 +216,7 @@ def class_histograms(df: DataFrame, columns: Sequence[str], target: str, bins: i
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: float | None = None) -> DataFrame:
     """Pearson correlation of every pair, on rows where both values are present."""
-    columns = list(columns or numeric_columns(df))
-    pairs = list(combinations(columns, 2))
-    values = aggregate_row(df, {p: F.corr(dbl(p[0]), dbl(p[1])) for p in pairs})
-    rows = [(a, b, _float(values[a, b])) for a, b in pairs]
-    table = small_table(df.sparkSession, rows, "a string, b string, r double")
+    table = correlations(df, list(columns or numeric_columns(df)))
     return table if threshold is None else table.where(F.abs("r") > threshold)
 
 

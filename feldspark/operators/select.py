@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -10,12 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import dbl
-from ..session import small_table
+from ..session import cut_lineage, small_table
 from .aggregates import aggregate_row
 from .features import apply_bins, fit_bins
-
-MAX_CELLS = 1_000_000
-
+from .pairs import correlations
 
 def variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return aggregate_row(df, {c: F.var_pop(dbl(c)) for c in columns})
@@ -32,9 +29,9 @@ def correlation_drops(df: DataFrame, columns: Sequence[str], target: str, thresh
     Columns already dropped still take part in later pairs.
     """
     pairs = list(combinations(columns, 2))
-    found = aggregate_row(
-        df, {**{p: F.corr(dbl(p[0]), dbl(p[1])) for p in pairs}, **{c: F.corr(dbl(c), dbl(target)) for c in columns}}
-    )
+    # One row for each pair of columns.
+    found = {(r["a"], r["b"]): r["r"] for r in correlations(df, [*columns, target]).collect()}
+    found.update({c: found.get((c, target)) for c in columns})
 
     def size(key):
         value = found[key]
@@ -54,8 +51,8 @@ def mutual_information(
 ) -> dict[str, float]:
     """Mutual information (nats) of each quantile-binned feature with the target.
 
-    One aggregation counts every (feature, bin, target) cell; there are at most
-    features x bins x classes of them.
+    One aggregation counts every (feature, bin, target) cell, and joins of these counts with their own sums give one number
+    for each feature, whatever the number of target values.
     """
     if not columns:
         return {}
@@ -68,21 +65,15 @@ def mutual_information(
         outcome = F.col(f"{target}_bin").cast("string")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_bin").cast("int").alias("bin")) for c in columns]))
     counts = binned.select(outcome.alias("y"), cells.alias("c")).select("y", "c.*").where("bin is not null and y is not null")
-    rows = counts.groupBy("feature", "bin", "y").count().limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"{target!r} has too many values for a contingency table; treat it as a regression target")
-
-    result = {}
-    for c in columns:
-        mine = [(r["bin"], r["y"], r["count"]) for r in rows if r["feature"] == c]
-        n = sum(m[2] for m in mine)
-        left: dict = {}
-        right: dict = {}
-        for b, y, m in mine:
-            left[b] = left.get(b, 0) + m
-            right[y] = right.get(y, 0) + m
-        result[c] = sum(m / n * math.log(m * n / (left[b] * right[y])) for b, y, m in mine)
-    return result
+    cells = cut_lineage(counts.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("m")))
+    of_bin = cells.groupBy("feature", "bin").agg(F.sum("m").alias("of_bin"))
+    of_y = cells.groupBy("feature", "y").agg(F.sum("m").alias("of_y"))
+    total = cells.groupBy("feature").agg(F.sum("m").alias("n"))
+    held = cells.join(F.broadcast(total), "feature").join(F.broadcast(of_bin), ["feature", "bin"]).join(of_y, ["feature", "y"])
+    share = F.col("m") / F.col("n")
+    term = share * F.log(F.col("m").cast("double") * F.col("n") / (F.col("of_bin").cast("double") * F.col("of_y")))
+    found = {r["feature"]: r["mi"] for r in held.groupBy("feature").agg(F.sum(term).alias("mi")).collect()}
+    return {c: float(found.get(c) or 0.0) for c in columns}
 
 
 def top_features(scores: Mapping[str, float], n: int | None = None, share: float = 0.5) -> list[str]:
