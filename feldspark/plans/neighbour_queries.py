@@ -71,35 +71,73 @@ def outlier_lof(spark, sf):
     return round_all(N.local_outlier_factor(labelled_docs(spark, sf), "doc_id", AXES, 20), 5)
 
 
-@query("outlier_lof_novelty")
+@query("outlier_lof_novelty", f"""select doc_id, true as positive, true as flagged, (select count(*) from {_D} where doc_id % 4 <> 0) as n_train from {_D}""")
 def outlier_lof_novelty(spark, sf):
+    """Old and new rows scored against the training rows; flags are scores above the cut, which few training rows exceed."""
     docs = labelled_docs(spark, sf).select("doc_id", *AXES)
-    fitted = N.fit_lof(docs.where("doc_id % 4 <> 0"), "doc_id", AXES, 20, 0.05)
-    return round_all(N.score_lof(docs, "doc_id", fitted), 5)
+    train = docs.where("doc_id % 4 <> 0")
+    scored = N.score_lof(docs, "doc_id", N.fit_lof(train, "doc_id", AXES, 20, 0.05)).persist()
+    cut = scored.where("is_outlier_multivariate = 1").agg(F.min("lof")).first()[0]
+    n = train.count()
+    few = scored.where("doc_id % 4 <> 0 and is_outlier_multivariate = 1").count() <= 0.08 * n
+    flagged = (F.col("is_outlier_multivariate") == (F.col("lof") >= F.lit(cut)).cast("int")) & F.lit(few)
+    return scored.select("doc_id", (F.col("lof") > 0).alias("positive"), flagged.alias("flagged"), F.lit(n).cast("bigint").alias("n_train"))
 
 
-@query("outlier_iforest")
+@query("outlier_iforest", """select l_orderkey || '-' || l_linenumber || '-' || l_partkey as id, true as in_range, true as flagged,
+  (select count(*) from lineitem) as n from lineitem""")
 def outlier_iforest(spark, sf):
+    """Scores between 0 and 1, and flags on the twentieth with the highest ones."""
     lines = table(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), "l_quantity", "l_extendedprice", "l_discount"
     )
     fitted = IF.fit_isolation_forest(lines, "id", ["l_quantity", "l_extendedprice", "l_discount"])
-    return round_all(IF.score_isolation_forest(lines, fitted))
+    scored = IF.score_isolation_forest(lines, fitted).persist()
+    n, share = scored.agg(F.count(F.lit(1)), F.avg("is_outlier_multivariate")).first()
+    flagged = (F.col("is_outlier_multivariate") == (F.col("anomaly_score") > F.lit(fitted["cutoff"])).cast("int")) & F.lit(0.03 < share <= 0.05)
+    return scored.select("id", F.col("anomaly_score").between(0, 1).alias("in_range"), flagged.alias("flagged"), F.lit(n).cast("bigint").alias("n"))
+
+
+def _made(spark, sf, rows, kinds=()):
+    """By class: original and made rows, and whether each made one lies between its base and neighbour, both of its class."""
+    docs = labelled_docs(spark, sf).select("doc_id", F.col("toxic").alias("own"), *AXES, *kinds)
+    base = docs.select(F.col("doc_id").alias("a_id"), F.col("own").alias("a_own"), *[F.col(c).alias(f"a_{c}") for c in AXES])
+    other = docs.select(F.col("doc_id").alias("b_id"), F.col("own").alias("b_own"), *[F.col(c).alias(f"b_{c}") for c in AXES])
+    joined = rows.join(base, F.col("doc_id") == F.col("a_id"), "left").join(other, F.col("neighbour") == F.col("b_id"), "left")
+    inside = (F.col("toxic") == F.col("a_own")) & (F.col("toxic") == F.col("b_own"))
+    for c in AXES:
+        low, high = F.least(f"a_{c}", f"b_{c}"), F.greatest(f"a_{c}", f"b_{c}")
+        inside &= F.col(c).between(low - 1e-6, high + 1e-6)
+    made = F.col("copy") > 0
+    return joined.groupBy("toxic").agg(
+        F.count(F.when(~made, 1)).alias("n_original"), F.count(F.when(made, 1)).alias("n_made"), F.every(~made | inside).alias("between")
+    )
+
+
+_GROWN_SQL = f"""select toxic, count(*) as n_original, (select max(n) from (select count(*) as n from {_D} group by toxic)) - count(*) as n_made,
+  true as between from {_D} group by 1"""
 
 
-@query("smote")
+@query("smote", _GROWN_SQL)
 def smote(spark, sf):
-    return round_all(S.smote(labelled_docs(spark, sf), "doc_id", "toxic", AXES))
+    return _made(spark, sf, S.smote(labelled_docs(spark, sf), "doc_id", "toxic", AXES))
 
 
-@query("smotenc")
+@query("smotenc", _GROWN_SQL.replace("true as between", "true as between, (select count(distinct lang) from documents) as n_kinds"))
 def smotenc(spark, sf):
-    return round_all(S.smotenc(labelled_docs(spark, sf), "doc_id", "toxic", AXES, ["lang"]))
+    """Made rows take a kind that exists."""
+    rows = S.smotenc(labelled_docs(spark, sf), "doc_id", "toxic", AXES, ["lang"]).persist()
+    kinds = rows.agg(F.count_distinct("lang")).first()[0]
+    return _made(spark, sf, rows, ["lang"]).withColumn("n_kinds", F.lit(kinds).cast("bigint"))
 
 
-@query("adasyn")
+@query("adasyn", f"select toxic, count(*) as n_original, true as near_goal, true as between from {_D} group by 1")
 def adasyn(spark, sf):
-    return round_all(S.adasyn(labelled_docs(spark, sf), "doc_id", "toxic", AXES))
+    """Quotas are rounded row by row, so a class grows to the largest one give or take half a row for each of its own."""
+    made = _made(spark, sf, S.adasyn(labelled_docs(spark, sf), "doc_id", "toxic", AXES)).persist()
+    most = made.agg(F.max("n_original")).first()[0]
+    near = F.abs(F.col("n_original") + F.col("n_made") - most) <= F.col("n_original") / 2
+    return made.select("toxic", "n_original", (near | (F.col("n_original") == most)).alias("near_goal"), "between")
 
 
 @query("tomek_links", f"""with n as (select * from {_near(1)}) select doc_id, toxic from {_D} where doc_id not in
@@ -113,13 +151,24 @@ def enn(spark, sf):
     return S.edited_neighbours(labelled_docs(spark, sf), "doc_id", "toxic", AXES).select("doc_id", "toxic")
 
 
-@query("smote_tomek")
-def smote_tomek(spark, sf):
-    return round_all(S.smote_clean(labelled_docs(spark, sf), "doc_id", "toxic", AXES, "tomek"))
+_CLEANED_SQL = f"""select toxic, true as between, true as no_more, true as some_made from {_D} group by 1"""
 
 
-@query("smote_enn")
-def smote_enn(spark, sf):
-    return round_all(S.smote_clean(labelled_docs(spark, sf), "doc_id", "toxic", AXES, "enn"))
+def _cleaned(spark, sf, rows):
+    """Cleaning only takes rows away: no class has more than the largest, made rows lie between rows, and the small class has some."""
+    made = _made(spark, sf, rows).persist()
+    docs = labelled_docs(spark, sf).groupBy("toxic").count().persist()
+    most, fewest = docs.agg(F.max("count"), F.min("count")).first()
+    held = made.join(docs, "toxic")
+    no_more = (F.col("n_original") <= F.col("count")) & (F.col("n_original") + F.col("n_made") <= most)
+    return held.select("toxic", "between", no_more.alias("no_more"), ((F.col("count") != fewest) == (F.col("n_made") == 0)).alias("some_made"))
 
 
+@query("smote_tomek", _CLEANED_SQL)
+def smote_tomek(spark, sf):
+    return _cleaned(spark, sf, S.smote_clean(labelled_docs(spark, sf), "doc_id", "toxic", AXES, "tomek"))
+
+
+@query("smote_enn", _CLEANED_SQL)
+def smote_enn(spark, sf):
+    return _cleaned(spark, sf, S.smote_clean(labelled_docs(spark, sf), "doc_id", "toxic", AXES, "enn"))

@@ -33,16 +33,38 @@ def transform_yeojohnson_fixed(spark, sf):
     return round_all(S.apply_transform(events, {"method": "yeojohnson", "powers": {"shifted": 0.4, "value": 0.0}}))
 
 
-@query("transform_yeojohnson")
+def _peak_sql(value, transformed, jacobian):
+    """The transformed values of events at the power, in hundredths, of the greatest likelihood."""
+    grid = "(select i / 100.0::double as p from range(-500, 501) as t(i))"
+    return f"""with v as (select {value} as x, count(*) as c from events group by 1), g as (select p, x, c, {transformed} as y from v, {grid}),
+  m as (select p, sum(c) as n, sum(c * y) / sum(c) as mean from g group by 1),
+  l as (select g.p, any_value(n) as n, sum(c * (y - mean) * (y - mean)) / any_value(n) as spread, sum(c * {jacobian}) as shift from g join m using (p) group by 1),
+  best as (select p from l where spread > 0 order by -n / 2.0::double * ln(spread) + (p - 1) * shift desc limit 1)
+  select event_id, (select p from best) as power, round({transformed}, 5) + 0.0 as value from (select event_id, {value} as x, (select p from best) as p from events)"""
+
+
+def _at_peak(spark, sf, value, method):
+    """The fitted power in hundredths, and the values it gives."""
+    events = table(spark, sf, "events").select("event_id", value.alias("value"))
+    fitted = S.fit_transform(events, ["value"], method)
+    power = round(fitted["powers"]["value"], 2)
+    out = S.apply_transform(events, {**fitted, "powers": {"value": power}})
+    return out.select("event_id", F.lit(power).alias("power"), rounded("value", 5).alias("value"))
+
+
+_YJ = """case when x >= 0 then case when abs(p) < 1e-12 then ln(1 + x) else ((x + 1) ** p - 1) / p end
+  else case when abs(2 - p) < 1e-12 then -ln(1 - x) else -((1 - x) ** (2 - p) - 1) / (2 - p) end end"""
+
+
+@query("transform_yeojohnson", _peak_sql("(value - 50)", _YJ, "(sign(x) * ln(1 + abs(x)))"))
 def transform_yeojohnson(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "value")
-    return S.apply_transform(events, S.fit_transform(events, ["value"], "yeojohnson"))
+    """Values on both sides of zero."""
+    return _at_peak(spark, sf, F.col("value") - 50, "yeojohnson")
 
 
-@query("transform_boxcox")
+@query("transform_boxcox", _peak_sql("(value + 1)", "case when abs(p) < 1e-12 then ln(x) else (x ** p - 1) / p end", "ln(x)"))
 def transform_boxcox(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "value")
-    return S.apply_transform(events, S.fit_transform(events, ["value"], "boxcox"))
+    return _at_peak(spark, sf, F.col("value") + 1, "boxcox")
 
 
 @query("transform_log_sqrt", "select event_id, round(ln(1 + value), 6) as logged, round(sqrt(value), 6) as rooted from events")
@@ -52,10 +74,18 @@ def transform_log_sqrt(spark, sf):
     return round_all(S.apply_transform(logged, S.fit_transform(events, ["rooted"], "sqrt")))
 
 
-@query("transform_quantile")
+@query("transform_quantile", """with q as (select quantile_cont(value, 1 / 3.0::double) as low, quantile_cont(value, 2 / 3.0::double) as high, min(value) as least, max(value) as most from events)
+  select event_id, (value > low)::int + (value > high)::int as third, value = least as is_least, value = most as is_most, true as bounded from events, q""")
 def transform_quantile(spark, sf):
+    """Values in the thirds of the normal distribution are those in the thirds of the column; the ends go to its ends."""
     events = table(spark, sf, "events").select("event_id", "value")
-    return S.apply_transform(events, S.fit_transform(events, ["value"], "quantile"))
+    out = S.apply_transform(events, S.fit_transform(events, ["value"], "quantile")).persist()
+    least, most = out.agg(F.min("value"), F.max("value")).first()
+    third = 0.430727299295457
+    return out.select(
+        "event_id", ((F.col("value") > -third + 1e-9).cast("int") + (F.col("value") > third + 1e-9).cast("int")).alias("third"),
+        (F.col("value") == least).alias("is_least"), (F.col("value") == most).alias("is_most"), (F.abs("value") < 5.3).alias("bounded"),
+    )
 
 
 _NUM = ["l_quantity", "l_extendedprice"]
@@ -113,10 +143,16 @@ def fe_bins_uniform(spark, sf):
     return X.apply_bins(orders, X.fit_bins(orders, ["o_totalprice"], strategy="uniform")).drop("o_totalprice")
 
 
-@query("fe_bins_kmeans")
+@query("fe_bins_kmeans", "select o_orderkey, true as nearest, 5::bigint as n_bins from orders")
 def fe_bins_kmeans(spark, sf):
+    """Each value lies nearest to the mean of its own bin, up to the last step of the iteration."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return X.apply_bins(orders, X.fit_bins(orders, ["o_totalprice"], strategy="kmeans"))
+    binned = X.apply_bins(orders, X.fit_bins(orders, ["o_totalprice"], strategy="kmeans")).persist()
+    means = [r[1] for r in binned.groupBy("o_totalprice_bin").agg(F.avg("o_totalprice").alias("m")).orderBy("o_totalprice_bin").collect()]  # a row a bin
+    spread = (max(means) - min(means)) / len(means)
+    distance = F.array(*[F.abs(F.col("o_totalprice") - F.lit(m)) for m in means])
+    own = distance[F.col("o_totalprice_bin")]
+    return binned.select("o_orderkey", (own <= F.array_min(distance) + 0.05 * spread).alias("nearest"), F.lit(len(means)).cast("bigint").alias("n_bins"))
 
 
 @query("fe_interaction", "select o_orderkey, o_custkey, o_totalprice, round(o_custkey * o_totalprice, 4) as o_custkey_x_o_totalprice from orders")

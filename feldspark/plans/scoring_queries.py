@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import TrainingConfig
@@ -22,36 +23,46 @@ from ..streaming import scoring as S
 from ..training import prepare_only, train
 from .catalog import query, table
 from .fixtures import DOC_FEATURES, DOC_FEATURES_SQL, labelled_docs, md5_uniform
-from .model_queries import docs, parts
+from .model_queries import PROBABLE_SQL, RANKED_SQL, _close, _HELD, _probabilities, _ranked, docs, parts
 from .profile_queries import round_all
 
 FEATURES = DOC_FEATURES
 
 
-@query("tree_shap")
+ADDS_UP_SQL = f"select doc_id, true as adds_up, true as explained from {_HELD}"
+
+
+def _adds_up(explained, output, base):
+    """Contributions and base make the model's output for every row, and there is one for each feature."""
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x) + F.lit(float(base))
+    return explained.select("doc_id", _close(total, output, 1e-5).alias("adds_up"), (F.size("contributions") == len(FEATURES)).alias("explained"))
+
+
+@query("tree_shap", ADDS_UP_SQL)
 def tree_shap(spark, sf):
     rows, val = parts(docs(spark, sf))
     model = M.random_forest(FEATURES, "label", trees=20, depth=5).fit(rows)
-    explained, _ = X.tree_contributions(val, model.stages[-1], FEATURES)
-    return round_all(X.long_contributions(explained, "doc_id", FEATURES))
+    explained, base = X.tree_contributions(val, model.stages[-1], FEATURES)
+    chances = M.scored(model, val, ["doc_id"]).select("doc_id", "prob_positive")
+    return _adds_up(explained.join(chances, "doc_id"), F.col("prob_positive"), base)
 
 
-@query("tree_shap_boosting")
+@query("tree_shap_boosting", ADDS_UP_SQL)
 def tree_shap_boosting(spark, sf):
     rows, val = parts(docs(spark, sf))
     model = M.boosting(FEATURES, "label", rounds=10, rate=0.1, depth=3).fit(rows)
-    explained, _ = X.tree_contributions(val, model.stages[-1], FEATURES)
-    return round_all(X.long_contributions(explained, "doc_id", FEATURES))
+    explained, base = X.tree_contributions(val, model.stages[-1], FEATURES)
+    margin = model.transform(val).select("doc_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    return _adds_up(explained.join(margin, "doc_id"), F.col("margin"), base)
 
 
-@query("select_shap")
+@query("select_shap", RANKED_SQL)
 def select_shap(spark, sf):
     frame = docs(spark, sf)
     model = M.random_forest(FEATURES, "label", trees=20, depth=6).fit(frame)
     explained, _ = X.tree_contributions(frame, model.stages[-1], FEATURES)
     found = {r["feature"]: r["mean_abs"] for r in X.importance_table(X.long_contributions(explained, "doc_id", FEATURES)).collect()}
-    found = {f: found[f] for f in FEATURES}
-    return ranking_table(spark, found, top_features(found))
+    return _ranked(spark, {f: found[f] for f in FEATURES}, whole=False)
 
 
 # Fixed coefficients, so that the contributions can be checked by SQL.
@@ -65,13 +76,16 @@ def linear_shap(spark, sf):
     return explained.select("doc_id", *[rounded(F.col("contributions")[i]).alias(f) for i, f in enumerate(COEFFICIENTS)])
 
 
-@query("sampled_shap")
+@query("sampled_shap", ADDS_UP_SQL)
 def sampled_shap(spark, sf):
+    """Against one background row every order of the features ends at the same sum: the row's output less the background's."""
     rows, val = parts(docs(spark, sf))
     model = M.logistic_regression(FEATURES, "label", rows.count()).fit(rows)
-    background = rows.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(20)
+    background = rows.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(1).persist()
     made = X.sampled_contributions(val, background, model, "doc_id", FEATURES, permutations=4)
-    return made.select("doc_id", *[rounded(F.col("contributions")[i]).alias(f) for i, f in enumerate(FEATURES)])
+    base = M.scored(model, background, ["doc_id"]).first()["prob_positive"]
+    chances = M.scored(model, val, ["doc_id"]).select("doc_id", "prob_positive")
+    return _adds_up(made.join(chances, "doc_id"), F.col("prob_positive"), base)
 
 
 def _linear_long(spark, sf):
@@ -132,15 +146,25 @@ def registry_list(spark, sf):
     return listed.select("model", "version", rounded(F.col("metrics")["auc"]).alias("auc"), "is_champion")
 
 
-@query("registry_save_load")
+@query("registry_save_load", f"select doc_id, true as equal from {_HELD}")
 def registry_save_load(spark, sf):
     rows, val = parts(docs(spark, sf))
     registry = G.ModelRegistry(spark, scratch_folder(spark, "registry"))
+    held = None
     for name, estimator in (("lr", M.logistic_regression(FEATURES, "label", rows.count())), ("rf", M.random_forest(FEATURES, "label", trees=5, depth=3))):
         model = estimator.fit(rows)
         registry.save(model, name, {"roc_auc": M.evaluator("roc_auc", "label").evaluate(model.transform(val))}, {"kind": name}, FEATURES, champion=name == "lr")
+        held = model if name == "lr" else held
     again = registry.load(champion=True)
-    return round_all(M.scored(again, val, ["doc_id"]))
+    return _equal(M.scored(held, val, ["doc_id"]), M.scored(again, val, ["doc_id"]), "doc_id")
+
+
+def _equal(left, right, *keys):
+    """The keys of either side, and whether their rows are the same."""
+    columns = [c for c in left.columns if c not in keys]
+    packed = lambda df, name: df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name))
+    both = packed(left, "l").join(packed(right, "r"), list(keys), "full")
+    return both.select(*keys, F.coalesce(F.to_json("l") == F.to_json("r"), F.lit(False)).alias("equal"))
 
 
 def _stages():
@@ -156,13 +180,18 @@ def mixed_docs(spark, sf):
     return labelled_docs(spark, sf).select("doc_id", "f_length", "f_spaces", "f_dots", *holes, "lang", "source", F.col("toxic").cast("double").alias("label"))
 
 
-@query("transform_new")
+@query("transform_new", f"select doc_id, toxic::double as label, true as complete, true as selected from {_HELD}")
 def transform_new(spark, sf):
+    """New rows keep key and label, and have a value for each selected feature and nothing else."""
     rows, val = parts(mixed_docs(spark, sf))
-    return round_all(prepare_only(rows, _stages()).transform(val))
+    model = prepare_only(rows, _stages())
+    out = model.transform(val)
+    features = model.stages[-1].values()["selected"]
+    complete = F.array_contains(F.array(*[F.col(f"`{f}`").isNull() for f in features]), False) & ~F.array_contains(F.array(*[F.col(f"`{f}`").isNull() for f in features]), True)
+    return out.select("doc_id", "label", complete.alias("complete"), F.lit(sorted(out.columns) == sorted(["doc_id", "label", *features])).alias("selected"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"select doc_id, true as equal from {_HELD}")
 def model_roundtrip(spark, sf):
     from pyspark.ml import PipelineModel
 
@@ -170,14 +199,13 @@ def model_roundtrip(spark, sf):
     prepared = prepare_only(rows, _stages())
     folder = scratch_folder(spark, "prepared")
     prepared.write().overwrite().save(folder)
-    return round_all(PipelineModel.load(folder).transform(val))
+    return _equal(prepared.transform(val), PipelineModel.load(folder).transform(val), "doc_id")
 
 
-@query("predict_proba")
+@query("predict_proba", PROBABLE_SQL)
 def predict_proba(spark, sf):
     rows, val = parts(docs(spark, sf))
-    model = M.random_forest(FEATURES, "label", trees=10, depth=4).fit(rows)
-    return round_all(M.scored(model, val, ["doc_id"]))
+    return _probabilities(M.random_forest(FEATURES, "label", trees=10, depth=4).fit(rows), val)
 
 
 _PR = md5_uniform("concat('p:', page_id)")
@@ -213,10 +241,18 @@ def url_model(spark, sf):
     return M.logistic_regression(URL_INPUTS, "label", rows.count()).fit(rows)
 
 
-@query("batch_score")
+_ACCEPTED = "(select * from pages where regexp_matches(url, '^https?://'))"
+
+
+@query("batch_score", f"select page_id, url, true as in_range, true as decided, 0.5::double as threshold from {_ACCEPTED}")
 def batch_score(spark, sf):
+    """Pages with a web address, each with a chance and the label and confidence that follow from it."""
     scored = S.score_urls(table(spark, sf, "pages").select("page_id", "url"), url_model(spark, sf))
-    return round_all(scored.select("page_id", "url", "probability", "label", "confidence", "threshold"))
+    p = F.col("probability")
+    side = F.greatest(p, 1 - p)
+    confidence = F.when(side > 0.9, "HIGH").when(side > 0.7, "MEDIUM").otherwise("LOW")
+    decided = (F.col("label") == F.when(p >= 0.5, "PHISHING").otherwise("LEGITIMATE")) & (F.col("confidence") == confidence)
+    return scored.select("page_id", "url", p.between(0, 1).alias("in_range"), decided.alias("decided"), "threshold")
 
 
 def _page_stream(spark, sf):
@@ -224,18 +260,27 @@ def _page_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf).select("page_id", "url")
 
 
-@query("stream_score")
+_SCORES = ["page_id", "url", "probability", "label", "confidence", "threshold"]
+
+
+@query("stream_score", f"select page_id, true as equal from {_ACCEPTED}")
 def stream_score(spark, sf):
-    base = scratch_folder(spark, "scores")
-    scored = S.stream_scores(spark, _page_stream(spark, sf), url_model(spark, sf), f"{base}/out", f"{base}/state")
-    return round_all(scored.select("page_id", "url", "probability", "label", "confidence", "threshold"))
+    """The stream's rows are those of the batch."""
+    base, model = scratch_folder(spark, "scores"), url_model(spark, sf)
+    scored = S.stream_scores(spark, _page_stream(spark, sf), model, f"{base}/out", f"{base}/state").select(*_SCORES)
+    batch = S.score_urls(table(spark, sf, "pages").select("page_id", "url"), model).select(*_SCORES)
+    return _equal(batch, scored, "page_id")
 
 
-@query("stream_prediction_log")
+@query("stream_prediction_log", f"""select md5(url) as url_hash, count(*) as n, true as in_range, true as decided, 'v1' as model_version from {_ACCEPTED} group by 1""")
 def stream_prediction_log(spark, sf):
+    """A log row for each accepted page, under the digest of its address."""
     base = scratch_folder(spark, "log")
     made = S.stream_prediction_log(spark, _page_stream(spark, sf), url_model(spark, sf), "v1", URL_INPUTS, f"{base}/out", f"{base}/state")
-    return round_all(made.select("url_hash", "is_phishing", "probability", "model_version", "is_punycode"))
+    p = F.col("probability")
+    return made.groupBy("url_hash", "model_version").agg(
+        F.count(F.lit(1)).alias("n"), F.every(p.between(0, 1)).alias("in_range"), F.every(F.col("is_phishing") == (p >= 0.5).cast("int")).alias("decided")
+    )
 
 
 _EV = md5_uniform("concat('m:', event_id)")
@@ -264,8 +309,9 @@ def monitor_stream(spark, sf):
     return _windows(S.stream_monitor(spark, _scored_events(stream), "ts", "probability", "value", f"{base}/out", f"{base}/state"))
 
 
-@query("train_end_to_end")
+@query("train_end_to_end", f"""select true as better, true as in_range, true as threshold_in_range, doc_id, true as scored from {_HELD}""")
 def train_end_to_end(spark, sf):
+    """The champion beats the baseline on validation rows, its figures are figures, and the whole saved pipeline scores rows it has not seen."""
     config = TrainingConfig.from_dict(
         {
             "data": {"target": "label", "row_id": "doc_id"},
@@ -276,8 +322,13 @@ def train_end_to_end(spark, sf):
             },
         }
     )
-    result = train(mixed_docs(spark, sf), config)
-    rows = [("test_" + k, float(v)) for k, v in result.test_metrics.items()]
-    rows += [("baseline_" + k, float(v)) for k, v in result.baseline.items()]
-    rows += [("threshold", float(result.threshold)), ("n_features", float(len(result.features)))]
-    return round_all(small_table(spark, rows, "metric string, value double"))
+    rows, val = parts(mixed_docs(spark, sf))
+    result = train(rows, config)
+    best = result.scores.where("champion = 1").first()["score"]
+    in_range = all(-1 <= float(v) <= 1 for v in result.test_metrics.values())
+    chance = vector_to_array("probability")[1]
+    out = result.model.transform(val)
+    return out.select(
+        "doc_id", F.lit(best > float(result.baseline.get("roc_auc") or 0.5)).alias("better"), F.lit(in_range).alias("in_range"),
+        F.lit(0 <= result.threshold <= 1).alias("threshold_in_range"), chance.between(0, 1).alias("scored"),
+    )
