@@ -368,20 +368,75 @@ def test_languages(spark):
     assert languages.identify(table.limit(0), draw > 1, draw == 1).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def plain_kneser_ney(texts, letters):
+    """A function (context of three, character) -> chance, by dictionaries and recursion, and the characters seen."""
+    counts = {k: {} for k in range(1, 5)}
+    for t in texts:
+        for i in range(len(t)):
+            gram = ("   " + t)[i : i + 4]
+            counts[4][gram] = counts[4].get(gram, 0) + 1
+    for k in (3, 2, 1):
+        for gram in counts[k + 1]:
+            counts[k][gram[1:]] = counts[k].get(gram[1:], 0) + 1
+    taken = {k: languages.discounts(*[sum(n == c for n in counts[k].values()) for c in (1, 2, 3, 4)]) for k in counts}
+
+    def chance(context, c):
+        k = len(context) + 1
+        below = chance(context[1:], c) if context else 1 / letters
+        own = {g: n for g, n in counts[k].items() if g[:-1] == context}
+        if not own:
+            return below
+        off = lambda n: taken[k][min(n, 3) - 1]
+        n = own.get(context + c, 0)
+        return ((n - off(n) if n else 0) + sum(map(off, own.values())) * below) / sum(own.values())
+
+    return chance, sorted(counts[1])
+
+
+def test_kneser_ney_against_plain_dictionaries(spark):
+    """Whole and in blocks, seen and unseen n-grams; chances of all characters sum to one with the unseen one's share."""
     import numpy as np
+    import pyarrow as pa
 
     from feldspark.llm.text import chunks
-    import pyarrow as pa
 
-    chunk = next(chunks(pa.array(["the cat sat on the mat the end", "that hat"])))
-    packed, _, _ = languages.grams_of(chunk)
-    keys, counts = np.unique(packed, return_counts=True)
-    model = languages.build({"x": (keys, counts)})
-    letters = np.unique(packed & np.uint64(0xFFFF))
-    for context in [keys[0] >> np.uint64(16), keys[5] >> np.uint64(16), np.uint64(0x7A7A7A007A7A)]:
-        total = np.exp(model.log_probabilities((context << np.uint64(16)) | letters)).sum() + np.exp(model.floor[0]) * 0
-        assert 0.6 < total <= 1.0001  # the rest is for characters never seen
+    texts = {"x": ["the cat sat on the mat the end", "that hat", "the the the"], "y": ["der hut tut gut", "der der mut"]}
+    rows = [(lang, t) for lang, every in texts.items() for t in every]
+    table = spark.createDataFrame(rows, "lang string, text string")
+    asked = ["the hat on der mat", "zzz tut", "e"]
+    chunk = next(chunks(pa.array(asked)))
+    packed, first, _ = languages.grams_of(chunk)
+    letters = len({c for every in texts.values() for t in every for c in t}) + 1
+    for cells in (10**9, 60):
+        fitted = languages.fit(table, block_cells=cells)
+        assert fitted.languages == ["x", "y"] and (fitted.blocks > 3) == (cells == 60) and fitted.letters == letters
+        sums = sum(fitted.block(b).sums(packed, first, fitted.blocks, b) for b in range(fitted.blocks))
+        for i, lang in enumerate(fitted.languages):
+            chance, _ = plain_kneser_ney(texts[lang], letters)
+            expected = [sum(np.log(chance(("   " + t)[k : k + 3], t[k])) for k in range(len(t))) for t in asked]
+            assert np.allclose(sums[:, i], expected, atol=1e-4)
+    chance, own = plain_kneser_ney(texts["x"], letters)
+    assert abs(sum(chance("the", c) for c in own) + (letters - len(own)) * chance("the", "?") - 1) < 1e-9
+
+
+def test_many_languages_emoji_and_marks(spark, monkeypatch):
+    monkeypatch.setattr(languages, "BLOCKS_AT_ONCE", 2)
+    rng = random.Random(3)
+    pairs = [a + b for a in "abcdefghijklm" for b in "nopqrstuvwxyz"]
+    kinds = {f"l{k:02}": pairs[4 * k : 4 * k + 4] for k in range(34)}  # no syllable in two languages
+    rows = [(i, " ".join("".join(rng.choice(kinds[k]) for _ in range(3)) for _ in range(30)), k) for i, k in enumerate(sorted(kinds) * 12)]
+    rows += [(1000, "\U0001F600 \U0001F680\U0001F600", "l01"), (1001, "\u0301\u0302", "l01"), (1002, rows[0][1] + " \U0001F600", "l00")]
+    long = (1003, " ".join("".join(rng.choice(kinds["l07"]) for _ in range(3)) for _ in range(60_000)), None)
+    rows += [long, rows[5], rows[5]]
+    table = spark.createDataFrame([(*r, "c", "d") for r in rows], "doc_id bigint, text string, lang string, sums string, letters string").repartition(3)
+    draw = F.crc32(F.col("doc_id").cast("string")) % 5
+    real = languages.fit
+    monkeypatch.setattr(languages, "fit", lambda docs, text, lang: real(docs, text, lang, 60_000))
+    found = languages.identify(table, draw > 1, draw == 1).collect()
+    got = {r["doc_id"]: r["lang_pred"] for r in found}
+    assert got[1000] == got[1001] == "und" and got[1002] == "l00" and got[1003] == "l07"
+    assert sum(got[i] == lang for i, _, lang in rows[:408]) / 408 > 0.97
+    assert len(found) == len(rows) and len({(r["lang_pred"], r["score"]) for r in found if r["doc_id"] == 5}) == 1
 
 
 def plain_kernel(s, t):
