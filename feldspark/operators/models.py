@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -125,17 +127,24 @@ def cross_validate(
 ) -> list[float]:
     """Score of each fold. Folds come from hash-rank intervals; fits run side by side."""
     folded = split_kfold(df, id_column, label if stratified else None, k, seed, "__fold").persist()
+    try:
+        return fold_scores(estimator, folded, label, k, metric, parallelism)
+    finally:
+        folded.unpersist()
+
+
+def fold_scores(estimator, folded: DataFrame, label: str, k: int, metric: str, parallelism: int, stop: Callable[[], bool] = lambda: False) -> list[float]:
+    """Score of each fold of rows that have theirs in ``__fold``; no fold starts once ``stop`` holds."""
     judge = evaluator(metric, label)
 
     def one(fold: int) -> float:
+        if stop():
+            raise TimeoutError
         model = estimator.fit(folded.where(F.col("__fold") != fold))
         return float(judge.evaluate(model.transform(folded.where(F.col("__fold") == fold))))
 
-    try:
-        with ThreadPool(parallelism) as pool:
-            return pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
-    finally:
-        folded.unpersist()
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(folded.sparkSession)(one), range(k))
 
 
 def mean_std(values: Sequence[float]) -> tuple[float, float]:
@@ -183,23 +192,50 @@ def draw_settings(space: Mapping[str, tuple], trials: int, seed: int = 42) -> li
 
 def search(
     build: Callable[..., Pipeline], space: Mapping[str, tuple], df: DataFrame, id_column: str, label: str,
-    trials: int = 20, seconds: float = 3600, k: int = 5, metric: str = "roc_auc", seed: int = 42, parallelism: int = 4,
+    trials: int = 20, seconds: float = 3600, k: int = 5, metric: str = "roc_auc", seed: int = 42, parallelism: int = 4, side_by_side: int = 2,
 ) -> tuple[dict | None, DataFrame]:
     """Random search by cross-validated score: best settings and the table of trials.
 
-    A failing trial is recorded and skipped; no trial starts after the time limit.
+    All trials share one table of folds, and ``side_by_side`` of them run at a time. A failing trial is recorded and skipped. At the time
+    limit running trials are cancelled and no other starts; these are recorded as out of time. Of equal scores the earlier trial wins.
     """
-    started, rows, best = time.monotonic(), [], None
-    for number, settings in enumerate(draw_settings(space, trials, seed)):
-        if time.monotonic() - started > seconds:
-            break
+    context, group, over = df.sparkSession.sparkContext, f"search-{uuid.uuid4().hex}", threading.Event()
+    deadline = time.monotonic() + seconds
+    late = lambda: time.monotonic() >= deadline
+    folded = split_kfold(df, id_column, label, k, seed, "__fold").persist()
+
+    def watch() -> None:
+        over.wait(max(0.0, deadline - time.monotonic()))
+        # A fit is many jobs, so one may begin between two cancellations.
+        while not over.wait(0.2):
+            context.cancelJobGroup(group)
+
+    def one(trial: tuple[int, dict]) -> tuple:
+        number, settings = trial
+        if late():
+            return number, settings, None, None, "out of time"
+        context.setJobGroup(group, f"trial {number}", True)
         try:
-            value, spread = mean_std(cross_validate(build(**settings), df, id_column, label, k, metric, True, parallelism, seed))
-            rows.append((number, str(settings), value, spread, "done"))
-            if best is None or better(metric, value, best[0]):
-                best = (value, settings)
+            value, spread = mean_std(fold_scores(build(**settings), folded, label, k, metric, parallelism, late))
+            return number, settings, value, spread, "done"
         except Exception as error:  # a bad setting must not end the search
-            rows.append((number, str(settings), None, None, f"failed: {type(error).__name__}"))
+            return number, settings, None, None, "out of time" if late() else f"failed: {type(error).__name__}"
+
+    folded.count()
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        with ThreadPool(side_by_side) as pool:
+            found = pool.map(inheritable_thread_target(df.sparkSession)(one), list(enumerate(draw_settings(space, trials, seed))), chunksize=1)
+    finally:
+        over.set()
+        watcher.join()
+        folded.unpersist()
+    best = None
+    for _, settings, value, _, state in found:
+        if state == "done" and (best is None or better(metric, value, best[0])):
+            best = (value, settings)
+    rows = [(number, str(settings), *rest) for number, settings, *rest in found]
     table = small_table(df.sparkSession, rows, "trial int, settings string, score double, std double, state string")
     return (best[1] if best else None), table
 

@@ -1,6 +1,7 @@
 """Pruned trees against all subtrees of a small tree; shift detection; pseudo labels."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -95,3 +96,25 @@ def test_pseudo_labels(spark):
     assert rows and all((r["a"] > 0.3) == (r["y"] == 1.0) for r in rows) and model.transform(df).count() == 900
     _, none = models.pseudo_label(estimator, df, noisy(spark, 30, 9).drop("y"), ["a", "b", "c"], "y", 1.0)
     assert none.count() == 0
+
+
+def test_search_shares_folds_and_keeps_its_deadline(spark, monkeypatch):
+    made = []
+    real = models.split_kfold
+    monkeypatch.setattr(models, "split_kfold", lambda *a, **b: made.append(1) or real(*a, **b))
+    df = noisy(spark, 300)
+    build = lambda **s: models.logistic_regression(["a", "b", "c"], "y", 300, **s)
+    space = {"c": ("log", 1e-3, 1e2)}
+    best, table = models.search(build, space, df, "id", "y", trials=5, k=3)
+    rows = table.orderBy("trial").collect()
+    assert made == [1] and [r["state"] for r in rows] == ["done"] * 5
+    assert str(best) == max(rows, key=lambda r: (r["score"], -r["trial"]))["settings"]
+    # The same scores as one cross-validation after another.
+    alone = models.mean_std(models.cross_validate(build(**best), df, "id", "y", 3))[0]
+    assert max(r["score"] for r in rows) == pytest.approx(alone)
+    slow = lambda **s: models.random_forest(["a", "b", "c"], "y", trees=400, depth=12)
+    started = time.monotonic()
+    best, table = models.search(slow, space, df, "id", "y", trials=40, seconds=3, k=3)
+    states = [r["state"] for r in table.collect()]
+    assert len(states) == 40 and "out of time" in states and time.monotonic() - started < 120
+    assert models.search(build, space, df, "id", "y", trials=3, seconds=0, k=3)[0] is None
