@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import dbl
 from .aggregates import exact_quantiles
-from .ordering import ranked_by_hash
+from .ordering import hash_cuts, hash_key, ranked_by_hash
 
 SAMPLE_ROWS = 256
 
@@ -82,6 +82,10 @@ def _tree_samples(df: DataFrame, id_column: str, columns: Sequence[str], trees:
     wanted = spark.range(trees * size).select(
         F.floor(F.col("id") / max(size, 1)).cast("int").alias("tree"), (F.pmod("id", F.lit(max(n, 1))) + 1).alias("rank")
     )
+    if trees * size < n:
+        # Only the rows before the cut are ranked; the others are not shuffled.
+        cut = hash_cuts(df, id_column, seed, {None: [trees * size]})[None][0]
+        df = df.where(hash_key(id_column, seed) <= F.lit(cut))
     ranked = ranked_by_hash(df.select(id_column, F.array(*[dbl(c) for c in columns]).alias("x")), id_column, seed)
     return ranked.join(F.broadcast(wanted), "rank").select("tree", "x")
 
