@@ -1,10 +1,13 @@
 """Personal data: generators with high recall propose spans, boosted trees judge them.
 
 Four kinds have exact rules and always stay. Looser generators propose further spans, which may overlap.
-Trees boosted on format and context score them; they learn from which proposals fall on data
-that the exact rules find, on a bounded sample of rows, and so find the same formats where the
-rules miss them. A threshold per generator, calibrated on all rows that the trees did not see,
-selects the spans. The fitted trees are written as one column expression, so scoring is part of the projection.
+Trees boosted on format and context score them. What they learn is not whether a rule holds: every datum that
+the rules find is written anew without what makes the rule hold (the plus of a phone, the sign of an address, the
+check digit of a card) as an example of personal data, and its digits and words are written at the same place
+as a date, a version or an order number as examples of other data. Proposals of which neither is known are
+neither errors nor hits. The trees see a bounded sample of rows; a threshold per generator, calibrated on all rows
+that they did not see, selects the spans. The fitted trees are written as one column expression, so scoring is part
+of the projection.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ TRAIN_ROWS = 20_000
 PRECISION = 0.9
 TREES, DEPTH = 20, 4
 _MARK, _OTHER = "\ue000", "\ue001"
+_DATE = r"^(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}(?:[-./\x20]|$)|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-(?:19|20)[0-9]{2}$)"
+_NUMBERED = r"(?i)(?<![a-z])(order|invoice|item|version|release|build|ref|isbn|serial|section|no|nr)[^A-Za-z0-9]{0,3}$"
 
 
 def _text(text: Column) -> Column:
@@ -113,6 +118,11 @@ def _features(body: Column, code: int, s: Column) -> Column:
         F.when(left.rlike(r"[=:\x22\x27]\x20?$"), 1.0).otherwise(0.0),
         F.when(right.rlike(r"^[A-Za-z0-9_]"), 1.0).otherwise(0.0),
         F.least(F.length(F.regexp_extract(value, "([0-9]+)$", 1)), F.lit(12)).cast("double"),
+        F.when(value.rlike(_DATE), 1.0).otherwise(0.0),
+        F.when(value.rlike(r"[.][A-Za-z]{2,}$"), 1.0).otherwise(0.0),
+        F.when(value.rlike(r"(?:@|[(]at[)]|\[at\])\x20?[A-Za-z0-9-]+[.]"), 1.0).otherwise(0.0),
+        F.when(left.rlike(_NUMBERED), 1.0).otherwise(0.0),
+        F.least(F.length(F.regexp_extract(value, "^[(]?([0-9]+)", 1)), F.lit(20)).cast("double"),
     )
 
 
@@ -133,14 +143,14 @@ def candidates(text: Column) -> Column:
     return bound(_text(text), of)
 
 
-def _covered(base: Column, c: Column) -> Column:
-    """Whether a span of the rules covers most of the proposal, and the other way round."""
+def _same(b: Column, c: Column) -> Column:
+    """Whether either span covers more than half of the other."""
+    common = F.least(b["end"], c["end"]) - F.greatest(b["start"], c["start"])
+    return (2 * common > b["end"] - b["start"]) & (2 * common > c["end"] - c["start"])
 
-    def both(b: Column) -> Column:
-        common = F.least(b["end"], c["end"]) - F.greatest(b["start"], c["start"])
-        return (2 * common > b["end"] - b["start"]) & (2 * common > c["end"] - c["start"])
 
-    return F.exists(base, both)
+def _meets(base: Column, c: Column) -> Column:
+    return F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
 
 def _tree_columns(description: str, x: Column) -> tuple[list[Column], list[float]]:
@@ -191,16 +201,127 @@ def _likely(text: Column) -> Column:
     return text.rlike(r"[0-9][0-9\x20().-]{5}") | F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")
 
 
-def _labelled(rows: DataFrame) -> DataFrame:
-    """Kind, features and label of every proposal in the texts of ``rows``."""
-    shown = rows.select(_all_base(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"))
-    return shown.select("base", F.explode("c").alias("c")).select(
-        F.col("c.kind").alias("kind"), F.col("c.x").alias("x"), _covered(F.col("base"), F.col("c")).cast("double").alias("label")
+def _rewritten(kind: Column, value: Column) -> Column:
+    """The datum in other forms: structs of lead (what is put before it), value and label.
+
+    Label 1 are forms of the same datum that the rule of its kind does not find, label 0 other data of its characters.
+    A plain word as lead hides what stands before the datum, for both labels.
+    """
+    form = "array<struct<lead:string,value:string,label:double>>"
+
+    def digit(d: Column, *cut: int) -> Column:
+        return F.substring(d, *cut)
+
+    def forms(label: float, *rows: tuple) -> Column:
+        return F.array(*[F.struct(F.lit(lead).alias("lead"), v.alias("value"), F.lit(label).alias("label")) for lead, v in rows])
+
+    def join(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def numbers(d: Column) -> Column:
+        return forms(
+            0.0,
+            ("", join("20", digit(d, 1, 2), "-0", digit(d, 3, 1), "-1", digit(d, 4, 1))),
+            ("", join("1", digit(d, 2, 1), ".0", digit(d, 5, 1), ".19", digit(d, 6, 2))),
+            ("", join("20", digit(d, 3, 2), "/1", digit(d, 1, 1), "/2", digit(d, 2, 1))),
+            ("", join("19", digit(d, 1, 2), "-20", digit(d, 5, 2))),
+            ("", join(digit(d, 1, 1), ".", digit(d, 2, 7))),
+            ("version ", join(digit(d, 1, 1), ".", digit(d, 2, 2), ".", digit(d, 4, 3))),
+            ("about ", join("20", digit(d, 1, 2), "-0", digit(d, 3, 1), "-1", digit(d, 4, 1))),
+            ("about ", join(digit(d, 1, 1), ".", digit(d, 2, 7))),
+            ("about ", join("19", digit(d, 1, 2), "-20", digit(d, 5, 2))),
+            ("order ", digit(d, 1, 8)),
+            ("order no. ", d),
+            ("invoice ", join("20", digit(d, 1, 2), "-", digit(d, 3, 6))),
+            ("ISBN ", join("978-", digit(d, 1, 1), "-", digit(d, 2, 4), "-", digit(d, 6, 4), "-", digit(d, 1, 1))),
+            ("ref ", join(digit(d, 1, 3), "-", digit(d, 4, 3), "-", digit(d, 1, 4))),
+        )
+
+    def phones(d: Column) -> Column:
+        ten = F.right(d, F.lit(10))
+        a, b, c = digit(ten, 1, 3), digit(ten, 4, 3), digit(ten, 7, 4)
+        return F.concat(
+            forms(
+                1.0,
+                ("", F.regexp_replace(value, r"^\+", "")),
+                ("", F.regexp_replace(value, r"^\+[0-9]{1,3}[\x20.-]+", "")),
+                ("", join(a, "-", b, "-", c)),
+                ("", join(a, ".", b, ".", c)),
+                ("", join(a, " ", b, " ", c)),
+                ("", join("(", a, ") ", b, "-", c)),
+                ("phone ", join(a, "-", b, "-", c)),
+                ("about ", join(a, "-", b, "-", c)),
+                ("about ", join("(", a, ") ", b, "-", c)),
+                ("about ", join(a, " ", b, " ", c)),
+            ),
+            numbers(d),
+        )
+
+    def cards(d: Column) -> Column:
+        # Another check digit.
+        off = F.concat(F.regexp_replace(d, "[0-9]$", ""), ((F.right(d, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+        four = [F.substring(off, 1, 4), F.substring(off, 5, 4), F.substring(off, 9, 4), F.substring(off, 13, 7)]
+        return F.concat(forms(1.0, ("", off), ("card ", off), ("about ", off), ("", F.concat_ws(" ", *four)), ("", F.concat_ws("-", *four))), numbers(d))
+
+    def addresses(v: Column) -> Column:
+        person, host = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+        short = F.substring_index(host, ".", -2)
+        good = [("", join(person, at, h)) for at, h in (("(at)", host), (" (at) ", short), (" [at] ", host), ("[at]", short), (" @ ", host), (" @ ", short))]
+        bad = [("", join(person, at, w)) for at, w in ((" @ ", "20"), ("@", person), (" (at) ", "home"), (" [at] ", "noon"), (" @ ", "12.50"), ("@", "work"))]
+        return F.concat(forms(1.0, *good), forms(0.0, *bad))
+
+    return (
+        F.when(kind == "phone", bound(_digits(value), phones))
+        .when(kind == "card", bound(_digits(value), cards))
+        .when(kind == "email", bound(value, addresses))
+        .otherwise(F.array().cast(form))
+    )
+
+
+def _examples(rows: DataFrame) -> DataFrame:
+    """Kind, features and label of the proposals for data of the rules that are written in other forms."""
+    body = rows.select(_text(F.col("text")).alias("text"))
+
+    def named(spans: Column, kind: str) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["value"], F.lit(kind).alias("kind")))
+
+    found = bound(base_spans(F.col("text")), lambda s: F.concat(*[named(s[k], k) for k in KINDS if k != "ip"]))
+    placed = body.select("text", found.alias("s")).select("text", F.explode("s").alias("s"))
+    each = placed.select(
+        F.substring("text", F.greatest(F.col("s.start") - 29, F.lit(1)), F.least(F.col("s.start"), F.lit(30))).alias("left"),
+        F.substring("text", F.col("s.end") + 1, F.lit(20)).alias("right"),
+        _rewritten(F.col("s.kind"), F.translate("s.value", _MARK, ".")).alias("v"),
+    ).select("left", "right", F.explode("v").alias("v"))
+    start = F.length("left") + F.length("v.lead")
+    written = each.select(
+        F.concat("left", "v.lead", "v.value", "right").alias("text"),
+        F.struct(start.cast("int").alias("start"), (start + F.length("v.value")).cast("int").alias("end")).alias("at"),
+        F.col("v.label").alias("label"),
     )
+    proposed = written.select("at", "label", candidates(F.col("text")).alias("c"))
+    shown = proposed.select("at", "label", F.explode("c").alias("c")).where(_same(F.col("at"), F.col("c")))
+    return shown.select(F.col("c.kind").alias("kind"), F.col("c.x").alias("x"), "label")
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """Kind, features and label of the proposals in the texts of ``rows`` of which it is known.
+
+    1 where a rule finds the same datum, 0 for dates and numbered things that meet none; others are left out. The
+    data of the rules in other forms are added.
+    """
+    whole = rows.select(_text(F.col("text")).alias("text"), _all_base(F.col("text")).alias("base"), candidates(F.col("text")).alias("c"))
+    shown = whole.select("text", "base", F.explode("c").alias("c"))
+    value = F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
+    left = F.substring("text", F.greatest(F.col("c.start") - 15, F.lit(1)), F.least(F.col("c.start"), F.lit(16)))
+    other = ~_meets(F.col("base"), F.col("c")) & (value.rlike(_DATE) | left.rlike(_NUMBERED))
+    label = F.when(F.exists("base", lambda b: _same(b, F.col("c"))), 1.0).when(other, 0.0)
+    return shown.select(F.col("c.kind").alias("kind"), F.col("c.x").alias("x"), label.alias("label")).where("label is not null").union(_examples(rows))
 
 
 def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> Judge | None:
-    """Train on at most about ``train_rows`` rows drawn by hash; None where they do not hold both kinds of proposal.
+    """Train on at most about ``train_rows`` rows drawn by hash; None where they hold no datum of the rules.
+
+    A threshold is the lowest chance, one half at least, from which on ``precision`` of the proposals are personal data.
 
     The bound is on the rows of the trees alone: thresholds come from the proposals of all other rows. A third of the
     drawn rows is always left to the thresholds, so a table under the bound has some too.
@@ -222,7 +343,7 @@ def fit(docs: DataFrame, text: str = "text", train_rows: int = TRAIN_ROWS, preci
         right = total = 0
         for at, good, n in own:
             right, total = right + good, total + n
-            if total >= 10 and right >= precision * total:
+            if at >= 100 and total >= 10 and right >= precision * total:
                 judge.thresholds[kind] = at / 200
     return judge
 
@@ -231,7 +352,8 @@ def personal_spans(docs: DataFrame, judge: Judge | None, text: str = "text", int
     """``docs`` with ``into``: structs of place (of the kind), start, end and kind, sorted by kind as listed, then start.
 
     Places are in code points, the end exclusive. A null or empty text has no spans. Repeated rows get equal
-    answers, an empty table an empty one; other columns stay, and one called ``into`` is replaced.
+    answers, an empty table an empty one; other columns stay, and one called ``into`` is replaced. Of selected proposals
+    that meet, the first by place of the kind, then start, stays.
     """
     order = {k: i for i, k in enumerate([*KINDS, *GENERATORS])}
 
@@ -242,19 +364,26 @@ def personal_spans(docs: DataFrame, judge: Judge | None, text: str = "text", int
     if judge is None or not judge.thresholds:
         return docs.withColumn(into, F.array_sort(base))
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    proposed = F.transform(
-        F.filter(candidates(F.col(text)), judge.selects),
-        lambda c: F.struct(place[c["kind"]].alias("place"), c["start"], c["end"], c["kind"]),
-    )
-    # Proposals on data that the rules have found add nothing.
-    with_base = docs.withColumn("__base", base).withColumn("__more", proposed)
-    more = F.filter("__more", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return with_base.withColumn(into, F.array_sort(F.concat("__base", more))).drop("__base", "__more")
+
+    def selected() -> Column:
+        return F.transform(
+            F.filter(candidates(F.col(text)), judge.selects),
+            lambda c: F.struct(place[c["kind"]].alias("place"), c["start"], c["end"], c["kind"]),
+        )
+
+    def apart(base: Column) -> Column:
+        # Proposals on data that the rules have found add nothing, nor do second ones on the same data.
+        return F.aggregate(
+            F.array_sort(selected()), base, lambda held, c: F.when(_meets(held, c), held).otherwise(F.concat(held, F.array(c)))
+        )
+
+    return docs.withColumn(into, bound(F.array_sort(base), apart))
 
 
 def personal_digest(found: DataFrame, id_column: str = "doc_id", spans: str = "personal") -> DataFrame:
-    """Counts by base kind, a digest of the base spans, and all spans as text."""
+    """Counts by base kind, a digest of the base spans, all spans as text, and how many of them the trees added."""
     held = F.transform(spans, lambda s: s["kind"])
     counts = [(F.size(spans) - F.size(F.array_remove(held, k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
     base = F.filter(spans, lambda s: s["kind"].isin(list(KINDS)))
-    return found.select(id_column, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
+    more = F.size(F.filter(spans, lambda s: ~s["kind"].isin(list(KINDS)))).cast("bigint").alias("n_more")
+    return found.select(id_column, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"), more)

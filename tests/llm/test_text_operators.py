@@ -249,6 +249,57 @@ def test_personal_thresholds_come_from_all_rows(spark):
         assert judge is not None and {"local_phone", "address"} <= set(judge.thresholds), (train_rows, judge and judge.thresholds)
 
 
+def test_personal_finds_what_the_rules_miss(spark):
+    """Phones without a plus and addresses without the sign, in a table that has few of the kinds the rules find."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, missed, others = [], {}, []
+    for i in range(660):
+        a, b, c = rng.randrange(200, 999), rng.randrange(100, 999), rng.randrange(1000, 9999)
+        lead = f"{word()} {word()} "
+        if i < 60:
+            texts.append(f"{lead}+1 ({a}) {b}-{c} {word()} {word()}{i}@mail{i % 7}.example.com {word()}")
+        elif i < 360:
+            phone = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}"][i % 3]
+            missed[i] = phone
+            texts.append(f"{lead}{phone} {word()}")
+        elif i < 460:
+            mail = f"{word()}{[' (at) ', '(at)', '[at]'][i % 3]}mail{i % 7}.example.com"
+            missed[i] = mail
+            texts.append(f"{lead}{mail} {word()}")
+        else:
+            plain = [f"20{10 + i % 10}-0{1 + i % 9}-1{i % 10}", f"order no. {rng.randrange(10**9, 10**10)}", f"version 3.{i % 100}.{c}",
+                     f"{word()} (at) home", f"ISBN 978-3-{c}-{c}-1"][i % 5]
+            others.append(i)
+            texts.append(f"{lead}{plain} {word()}")
+    table = docs(spark, texts)
+    got = {r["doc_id"]: r["personal"] for r in personal.personal_spans(table, personal.fit(table)).collect()}
+    hit = lambda i, value: any(texts[i][s["start"] : s["end"]].strip("(") in (value, value.strip("(")) for s in got[i])
+    assert sum(hit(i, v) for i, v in missed.items()) >= 0.9 * len(missed)
+    assert sum(bool(got[i]) for i in others) <= 0.05 * len(others)
+    base = {r["doc_id"]: r["personal"] for r in personal.personal_spans(table, None).collect()}
+    for i, spans in got.items():
+        assert all(s in spans for s in base[i])
+        cover = sorted((s["start"], s["end"]) for s in spans if s["kind"] not in personal.KINDS)
+        assert all(a[1] <= b[0] for a, b in zip(cover, cover[1:]))
+
+
+def test_personal_odd_tables(spark):
+    """Repeated rows, null ids, very long texts, clashing columns and an empty table."""
+    long = "word " * 50_000 + "me@host.example.com"
+    rows = [(1, "call +1 (564) 555-4526", "k"), (1, "call +1 (564) 555-4526", "k"), (None, long, "k"), (2, None, "k"), (3, "", None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, __base string").withColumn("personal", F.lit("x")).withColumn("label", F.lit(1))
+    judge = personal.fit(table)
+    found = personal.personal_spans(table, judge)
+    assert set(found.columns) == {"doc_id", "text", "__base", "personal", "label"}
+    got = found.collect()
+    assert len(got) == 5 and {r["__base"] for r in got} == {"k", None}
+    assert [len(r["personal"]) for r in got if r["doc_id"] == 1] == [1, 1]
+    assert [(s["start"], s["kind"]) for r in got if r["doc_id"] is None for s in r["personal"]] == [(250_000, "email")]
+    assert all(r["personal"] == [] for r in got if r["doc_id"] in (2, 3))
+    assert personal.fit(table.limit(0)) is None and personal.personal_spans(table.limit(0), judge).count() == 0
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     texts = [" ".join(["w"] * rng.randrange(0, 60)) for _ in range(300)] + [None, "  "]
