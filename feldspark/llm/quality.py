@@ -1,9 +1,10 @@
-"""Quality rules with an isolation forest on their statistics.
+"""Quality rules with isolation forests on their statistics.
 
-Statistics of every whole text are counted in one pass. A forest of random splits is grown on a
-bounded sample of them; documents that few splits isolate are unlike the others. The path length
-under which a document is not kept is calibrated on labelled rows: the most bad ones are left out
-for which at most a small share of the good ones go.
+Statistics of every whole text are counted in one pass. For each group of rules a forest of random splits is grown on a
+bounded sample of them; documents that few splits isolate are unlike the others. One forest over all groups would call a
+good text with one odd line as unusual as a text full of symbols, so each group has its own path length
+under which a document is not kept, calibrated on labelled rows: the most bad ones are left out
+for which at most a small share of the good ones go, and of such lengths the one that loses the fewest good ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ MOST_REPEATED_PERCENT = 50
 GOOD_LOST = 0.01
 """Share of the good labelled rows that the calibrated threshold may leave out."""
 SYMBOLS = b"#*$%&|<>"
-STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits")
+GROUPS = {"words": (0,), "symbols": (1, 2), "repeats": (3, 4), "digits": (5,)}
+"""The columns of ``features`` by group of rules."""
 
 
 def _class_table(members: bytes) -> np.ndarray:
@@ -36,6 +39,7 @@ def _class_table(members: bytes) -> np.ndarray:
 
 
 _SYMBOL = _class_table(SYMBOLS)
+_DIGIT = _class_table(b"0123456789")
 _LEAD = np.array([not 0x80 <= b < 0xC0 for b in range(256)])
 
 
@@ -58,6 +62,7 @@ def statistics_of(chunk: Chunk) -> np.ndarray:
     result[:, 0] = n_words
     result[:, 1] = _per_row(_LEAD[chunk.data] & in_word, chunk.offsets)
     result[:, 2] = _per_row(_SYMBOL[chunk.data], chunk.offsets)
+    result[:, 6] = _per_row(_DIGIT[chunk.data], chunk.offsets)
     held = chunk.data.tobytes()
     windows, at = shingle_hashes(hashes, found.first, 3)
     for i in range(n):
@@ -107,8 +112,10 @@ def features(values: np.ndarray) -> np.ndarray:
         [
             (x["word_chars"] + 100) / (x["n_words"] + 20),
             x["n_symbols"] / (x["word_chars"] + 100),
+            x["n_symbols"] / (x["n_words"] + 20),
             x["n_dup_lines"] / (x["n_lines"] + 10),
             x["n_repeat_words"] / (x["n_words"] + 200),
+            x["n_digits"] / (x["word_chars"] + 100),
         ],
         axis=1,
     )
@@ -179,18 +186,35 @@ def grow(x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: in
     return forest
 
 
-def _forest_batches(forest, carried: list[str]):
+def _forest_batches(forests, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATISTICS], axis=1)
-            scores = np.zeros(len(values))
+            scores = np.zeros((len(values), len(GROUPS)))
             for lo in range(0, len(values), 4096):
-                scores[lo : lo + 4096] = forest.value.scores(features(values[lo : lo + 4096]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(scores)], names=[*carried, "anomaly"])
+                x = features(values[lo : lo + 4096])
+                for j, group in enumerate(GROUPS.values()):
+                    scores[lo : lo + 4096, j] = forests.value[j].scores(x[:, group])
+            found = [pa.array(scores[:, j].copy()) for j in range(len(GROUPS))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], *found], names=[*carried, *[f"anomaly_{g}" for g in GROUPS]])
 
     return run
 
 
+def _threshold(tally: list[tuple[float, int, int]], good_lost: float) -> float | None:
+    """The score from which on documents are left out, from rows of score, good and bad; None if that finds nothing."""
+    allowed = good_lost * sum(good for _, good, _ in tally)
+    lost = found = most = 0
+    best = None
+    for at, good, bad in sorted(tally, reverse=True):
+        lost, found = lost + good, found + bad
+        if lost > allowed or not allowed:
+            break
+        if found > most:
+            most, best = found, at
+    return best
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame | None = None,
@@ -201,13 +225,13 @@ def judge(
     tree_rows: int = TREE_ROWS,
     good_lost: float = GOOD_LOST,
 ) -> DataFrame:
-    """``id_column``, the statistics, ``base_failed``, ``anomaly`` (0 to 1) and ``kept`` of every row.
+    """``id_column``, the statistics, ``base_failed``, ``anomaly_<group>`` and their largest, ``anomaly`` (0 to 1), and ``kept`` of every row.
 
     ``base_failed``: fewer than LEAST_WORDS words, or more than MOST_REPEATED_PERCENT of the words in
     three-word windows that occur again in the text. ``kept`` is false for those and for anomalies at or above the
-    threshold. The forest is grown on about ``trees`` x ``tree_rows`` rows drawn by hash from those that
-    pass the base rules; the threshold comes from all labelled rows among them (1 good, 0 bad): the lowest one that loses at
-    most ``good_lost`` of the good. Without good labelled rows nothing else is left out. A null text has no words.
+    threshold of their group. The forests are grown on about ``trees`` x ``tree_rows`` rows drawn by hash from those that
+    pass the base rules; the thresholds come from all labelled rows among them (1 good, 0 bad), each losing at most
+    ``good_lost`` / groups of the good ones. Without labelled rows of both kinds nothing else is left out. A null text has no words.
     Rows with a null id have no label; repeated rows get equal answers; other columns are ignored.
     """
     counted = cut_lineage(statistics(docs, id_column, text))
@@ -219,29 +243,26 @@ def judge(
     drawn = passing.where(F.pmod(F.xxhash64(id_column, *STATISTICS), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About trees x tree_rows rows, whatever the size of the table.
     sample = drawn.select(F.xxhash64(id_column).alias("k"), *STATISTICS).toPandas().sort_values(["k", *STATISTICS])
-    forest = grow(features(sample[list(STATISTICS)].to_numpy(np.int64)), trees, tree_rows)
+    seen = features(sample[list(STATISTICS)].to_numpy(np.int64))
+    forests = [grow(seen[:, group], trees, tree_rows) for group in GROUPS.values()]
     kind = docs.schema[id_column].dataType.simpleString()
     carried = [id_column, *STATISTICS, "base_failed"]
-    schema = f"`{id_column}` {kind}, " + ", ".join(f"{c} bigint" for c in STATISTICS) + ", base_failed boolean, anomaly double"
-    held = docs.sparkSession.sparkContext.broadcast(forest)
+    scores = [f"anomaly_{g}" for g in GROUPS]
+    schema = f"`{id_column}` {kind}, " + ", ".join(f"{c} bigint" for c in STATISTICS) + ", base_failed boolean, " + ", ".join(f"{c} double" for c in scores)
+    held = docs.sparkSession.sparkContext.broadcast(forests)
     scored = cut_lineage(counted.select(*carried).mapInArrow(_forest_batches(held, carried), schema))
-    threshold = None
+    kept = ~F.col("base_failed")
     if labels is not None:
         known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
         known = known.groupBy(F.col(id_column).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__label"))
         joined = scored.where("not base_failed").join(known, F.col(id_column) == F.col("__id"))
-        rounded = joined.groupBy((F.ceil(F.col("anomaly") * 1000) / 1000).alias("at")).agg(
-            F.sum((F.col("__label") == 1).cast("long")).alias("good")
-        )
-        tally = sorted(((r["at"], r["good"]) for r in rounded.collect()), reverse=True)  # at most 1001 rows
-        allowed = good_lost * sum(g for _, g in tally)
-        lost = 0
-        for at, good in tally:
-            lost += good
-            if lost > allowed or not allowed:
-                break
-            threshold = at - 0.001
-    kept = ~F.col("base_failed")
-    if threshold is not None:
-        kept &= F.col("anomaly") <= F.lit(threshold)
-    return scored.withColumn("kept", kept)
+        each = joined.select("__label", F.posexplode(F.array(*scores)).alias("group", "score"))
+        # At most 1001 rows a group.
+        tally = each.groupBy("group", (F.floor(F.col("score") * 1000) / 1000).alias("at")).agg(
+            F.sum((F.col("__label") == 1).cast("long")).alias("good"), F.sum((F.col("__label") == 0).cast("long")).alias("bad")
+        ).collect()
+        for j, name in enumerate(scores):
+            threshold = _threshold([(r["at"], r["good"], r["bad"]) for r in tally if r["group"] == j], good_lost / len(GROUPS))
+            if threshold is not None:
+                kept &= F.floor(F.col(name) * 1000) / 1000 < F.lit(threshold)
+    return scored.withColumn("anomaly", F.greatest(*scores)).withColumn("kept", kept)

@@ -169,7 +169,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly", *[f"anomaly_{g}" for g in quality.GROUPS]
     )
 
 
@@ -183,7 +183,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     archives = scratch_folder(spark, "warc")
     written = warc.write(table(spark, folder, "pages"), archives)
-    return warc.read(spark, archives, written, payloads=False).select(
+    return warc.read(spark, archives, written, payloads=False, strict=True).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

@@ -29,6 +29,8 @@ ARCHIVE_BYTES = 16 << 20
 """An archive is closed after this many bytes of records."""
 LEAST_SHARED = 100
 """Payloads of fewer bytes are always stored."""
+OFTEN = 100_000
+"""A payload that more pages share is told to its rows by broadcast; there are at most rows / OFTEN such payloads."""
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 8_192, 65_536
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -129,9 +131,19 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     shared = rows.where(F.octet_length("payload") >= LEAST_SHARED).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = cut_lineage(shared.where("n > 1"))
+    often = shared.where(F.col("n") > OFTEN)
+    rare = shared.where(F.col("n") <= OFTEN).select(F.col("digest").alias("key"), "first")
     dictionary = pages.sparkSession.sparkContext.broadcast(train_dictionary(rows))
-    marked = rows.join(shared.where("n > 1").drop("n"), "digest", "left")
-    files = marked.mapInArrow(_write_batches(folder, dictionary), "file string, records bigint")
+    if often.isEmpty():
+        marked = rows.withColumn("key", F.col("digest")).join(rare, "key", "left")
+    else:
+        held = F.broadcast(often.select("digest", F.col("first").alias("told")))
+        # Rows that know their first page already are dealt by themselves, not by their payload.
+        key = F.when(F.col("told").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page", "url").cast("string")))
+        dealt = rows.join(held, "digest", "left").withColumn("key", key)
+        marked = dealt.join(rare, "key", "left").withColumn("first", F.coalesce("told", "first"))
+    files = marked.select("page", "url", "payload", "digest", "first").mapInArrow(_write_batches(folder, dictionary), "file string, records bigint")
     return cut_lineage(files)
 
 
@@ -213,7 +225,7 @@ _TYPES = {"page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int
           "payload_bytes": pa.int64(), "payload_digest": pa.string(), "problem": pa.string()}
 
 
-def _read_batches(payloads: bool):
+def _read_batches(payloads: bool, counted: bool):
     wanted = [c for c in _TYPES if payloads or c != "payload"]
 
     def out(rows: list[dict]) -> pa.RecordBatch:
@@ -221,30 +233,50 @@ def _read_batches(payloads: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows, held = [], 0
+            expected = batch.column("records").to_pylist() if counted else [None] * batch.num_rows
+            for content, records in zip(batch.column("content"), expected):
+                rows, held, seen = [], 0, 0
                 for record in frames(content.as_py()):
                     row = page_of_record(record)
                     if row is not None:
+                        if counted and row["problem"]:
+                            raise ValueError(f"record of page {row['page_id']}: {row['problem']}")
+                        seen += 1
                         rows.append(row)
                         held += len(record) if payloads else 0
                     if len(rows) >= 1000 or held > 1 << 22:
                         yield out(rows)
                         rows, held = [], 0
+                if counted and seen != records:
+                    raise ValueError(f"an archive holds {seen} records, not the {records} written")
                 yield out(rows)
 
     return run
 
 
-def read(spark: SparkSession, folder: str, files: DataFrame | None = None, payloads: bool = True) -> DataFrame:
+def read(spark: SparkSession, folder: str, files: DataFrame | None = None, payloads: bool = True, strict: bool = False) -> DataFrame:
     """Responses and revisits of the archives in ``folder``, or of those that ``files`` names.
 
-    ``problem`` says what is wrong with a record, else null. A frame that cannot be decoded is an error.
+    ``problem`` says what is wrong with a record, else null. A frame that cannot be decoded is an error. With
+    ``strict``, which needs ``files`` and their ``records``, so are a record with a problem, an archive that holds more or fewer
+    records than were written, and a missing archive. A null payload was written as an empty one; rows of equal ids are all
+    returned; a folder or ``files`` without archives gives no rows.
     """
+    if strict and files is None:
+        raise ValueError("strict reading needs the list of files")
     columns = "page_id bigint, record_type string, refers_to bigint, url string, payload binary, payload_bytes bigint, payload_digest string, problem string"
     if not payloads:
         columns = columns.replace("payload binary, ", "")
     held = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    wanted = ["content", "records"] if strict else ["content"]
     if files is not None:
-        held = held.join(files.select("file"), F.element_at(F.split("path", "/"), -1) == F.col("file"), "left_semi")
-    return held.select("content").mapInArrow(_read_batches(payloads), columns)
+        named = held.withColumn("file", F.element_at(F.split("path", "/"), -1))
+        if strict:
+            # Names only: contents are not read for this.
+            lost = files.select("file").join(named.select("file"), "file", "left_anti").take(1)
+            if lost:
+                raise ValueError(f"archive {lost[0]['file']} is missing")
+            held = named.join(files.select("file", "records"), "file")
+        else:
+            held = named.join(files.select("file"), "file", "left_semi")
+    return held.select(*wanted).mapInArrow(_read_batches(payloads, strict), columns)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,37 @@ def test_quality_forest(spark):
     labels = spark.createDataFrame([(i, int(i < 200)) for i in range(212)], "doc_id bigint, quality int")
     got = {r["doc_id"]: r["kept"] for r in quality.judge(table, labels).collect()}
     assert sum(got[i] for i in range(200)) >= 196 and sum(got[i] for i in range(200, 212)) <= 2
+    assert all(r["kept"] for r in quality.judge(table, labels.where("quality = 1")).collect())
+
+
+def test_quality_odd_tables(spark):
+    """Repeated rows, null ids and columns named like the results."""
+    body = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, body, True, 0.5), (1, body, True, 0.5), (None, body + " x", None, None), (None, None, None, None), (2, "*** " * 30_000, None, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, kept boolean, anomaly double")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 0), (7, None)], "doc_id bigint, quality int")
+    got = quality.judge(table, labels).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["base_failed"]) for r in got) == [
+        (0, 0, True), (0, 81, False), (1, 80, False), (1, 80, False), (2, 30_000, True)
+    ]
+    assert len({r["kept"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_quality_path_lengths():
+    """Mean path lengths of a forest against walking its trees row by row."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (400, 2)), [[9.0, 9.0]]])
+    forest = quality.grow(x, trees=20, tree_rows=64)
+
+    def walk(row, k):
+        node = 0
+        while forest.feature[k][node] >= 0:
+            node = forest.left[k][node] + (row[forest.feature[k][node]] >= forest.threshold[k][node])
+        return forest.length[k][node]
+
+    got = forest.scores(x)
+    assert np.allclose(got, [2 ** (-np.mean([walk(r, k) for k in range(20)]) / forest.norm) for r in x])
+    assert got.argmax() == 400
 
 
 def test_warc_round_trip(spark, tmp_path, monkeypatch):
@@ -382,6 +414,32 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert warc.read(spark, str(tmp_path / "e"), empty).count() == 0
 
 
+@pytest.mark.parametrize("often", [3, 100_000])
+def test_warc_hot_payloads_and_odd_rows(spark, tmp_path, monkeypatch, often):
+    """A payload on many pages, ids that repeat with other payloads, a very long page and columns named like the archive's."""
+    monkeypatch.setattr(warc, "OFTEN", often)
+    rows = [(i, "u", "p" * 200) for i in range(40, 10, -1)] + [(50, "u", "q" * 150), (51, "u", "q" * 150), (50, "v", "r" * 120), (60, None, "é" * 3_000_000)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("x")).withColumn("first", F.lit(1))
+    files = warc.write(table, str(tmp_path))
+    got = warc.read(spark, str(tmp_path), files, strict=True).collect()
+    kinds = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in got)
+    hot = [(11, 200, "response", 0), *[(i, 200, "revisit", 11) for i in range(12, 41)]]
+    assert kinds == hot + [(50, 120, "response", 0), (50, 150, "response", 0), (51, 150, "revisit", 50), (60, 6_000_000, "response", 0)]
+
+
+def test_warc_strict_reading(spark, tmp_path):
+    table = spark.createDataFrame([(i, "u", f"{i} " * 100) for i in range(30)], "page_id bigint, url string, html string")
+    files = warc.write(table, str(tmp_path))
+    more = files.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="not the"):
+        warc.read(spark, str(tmp_path), more, strict=True).collect()
+    lost = files.union(spark.createDataFrame([("part-gone.warc.zst", 1)], "file string, records bigint"))
+    with pytest.raises(ValueError, match="part-gone"):
+        warc.read(spark, str(tmp_path), lost, strict=True)
+    with pytest.raises(ValueError, match="list of files"):
+        warc.read(spark, str(tmp_path), strict=True)
+
+
 def test_warc_frames_and_checks():
     import struct
 

@@ -52,6 +52,8 @@ def test_quality_keeps_good_rows(spark):
     both = got[~got["base_failed"]].join(labels, how="inner")
     assert not got[got["base_failed"]]["kept"].any() and both[both["quality"] == 1]["kept"].mean() >= 0.98
     assert both[both["quality"] == 0]["anomaly"].mean() > both[both["quality"] == 1]["anomaly"].mean() + 0.1
+    # Of the bad rows that pass the base rules nine tenths are found, and of what is left out nine tenths are bad.
+    assert (~both[both["quality"] == 0]["kept"]).mean() >= 0.9 and (both[~both["kept"]]["quality"] == 0).mean() >= 0.9
 
 
 def test_personal_base_of_all_rows(spark):
