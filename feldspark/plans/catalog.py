@@ -26,3 +26,13 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream, whether it is one file or a folder of files.
+
+    A stream that starts at a plain path takes it for a folder; a pattern that only the table matches
+    may find either, and lists the files inside a folder.
+    """
+    path = f"{folder}/{name}.parque[t]"
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(path)

@@ -21,7 +21,7 @@ from ..sources import registry as G
 from ..sources.tables import scratch_folder
 from ..streaming import scoring as S
 from ..training import prepare_only, train
-from .catalog import query, table
+from .catalog import query, table, table_stream
 from .fixtures import DOC_FEATURES, DOC_FEATURES_SQL, labelled_docs, md5_uniform
 from .model_queries import PROBABLE_SQL, RANKED_SQL, _close, _HELD, _probabilities, _ranked, docs, parts
 from .profile_queries import round_all
@@ -256,8 +256,7 @@ def batch_score(spark, sf):
 
 
 def _page_stream(spark, sf):
-    schema = table(spark, sf, "pages").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf).select("page_id", "url")
+    return table_stream(spark, sf, "pages").select("page_id", "url")
 
 
 _SCORES = ["page_id", "url", "probability", "label", "confidence", "threshold"]
@@ -304,8 +303,7 @@ def monitor_hourly(spark, sf):
 @query("monitor_stream", _MONITOR)
 def monitor_stream(spark, sf):
     base = scratch_folder(spark, "monitor")
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = table_stream(spark, sf, "events")
     return _windows(S.stream_monitor(spark, _scored_events(stream), "ts", "probability", "value", f"{base}/out", f"{base}/state"))
 
 
