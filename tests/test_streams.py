@@ -26,3 +26,13 @@ def tables(request, spark, tmp_path_factory):
 def test_prediction_log_of_a_stream_has_every_accepted_page(spark, tables):
     made = load_catalog().QUERIES["stream_prediction_log"](spark, tables).collect()
     assert len(made) == len(URLS) and all(r["n"] == 1 and r["in_range"] and r["decided"] for r in made)
+
+
+def test_streamed_scores_cover_every_accepted_page(spark, tables):
+    made = load_catalog().QUERIES["stream_score"](spark, tables).collect()
+    assert sorted(r["page_id"] for r in made) == list(range(len(URLS))) and all(r["equal"] for r in made)
+
+
+def test_monitored_stream_has_every_hour(spark, tables):
+    made = load_catalog().QUERIES["monitor_stream"](spark, tables).collect()
+    assert sum(r["n"] for r in made) == 40
