@@ -90,28 +90,14 @@ def apply_ordinal(df: DataFrame, codes: Mapping[str, Mapping[str, int]]) -> Data
     return df.withColumns({c: label_map(F.col(c).cast("string"), dict(m), -1).cast("int") for c, m in codes.items()})
 
 
-def ordinal_table(df: DataFrame, column: str) -> DataFrame:
-    """(level, code, rows): codes of a column with any number of levels."""
-    from .ordering import with_rank
-
-    levels = _leveled(df, column).groupBy("level").agg(F.count(F.lit(1)).alias("rows"))
-    return with_rank(levels, ["level"], "__r").select("level", (F.col("__r") - 1).cast("int").alias("code"), "rows")
-
-
-def _leveled(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).withColumn("level", F.col(column).cast("string"))
+def fit_onehot(df: DataFrame, columns: Sequence[str], max_categories: int = 15, counts: DataFrame | None = None) -> dict[str, dict]:
+    """Levels to show, and whether others are pooled; beyond the limit the most frequent stay.
 
-
-def pooled_table(df: DataFrame, column: str, shown: Sequence[str]) -> DataFrame:
-    """(level, value, rows) of the levels without a column of their own."""
-    return _leveled(df, column).where(~F.col("level").isin(list(shown))).groupBy("level").agg(F.lit(1.0).alias("value"), F.count(F.lit(1)).alias("rows"))
-
-
-def fit_onehot(df: DataFrame, columns: Sequence[str], max_categories: int = 15) -> dict[str, dict]:
-    """Levels to show, and whether others are pooled; beyond the limit the most frequent stay."""
+    ``counts`` are the level counts of the columns, where the caller holds them.
+    """
     from pyspark.sql import Window
 
-    counts = level_counts(df, columns)
+    counts = level_counts(df, columns) if counts is None else counts
     sizes = {r["column"]: r["k"] for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.desc("level")))
     top: dict[str, list[str]] = {c: [] for c in columns}
@@ -126,9 +112,22 @@ def fit_onehot(df: DataFrame, columns: Sequence[str], max_categories: int = 15)
     return plan
 
 
-def onehot_tables(df: DataFrame, plan: Mapping[str, Mapping]) -> dict[str, DataFrame]:
-    """The pooled levels of the columns that have any."""
-    return {c: pooled_table(df, c, p["levels"]) for c, p in plan.items() if p["pooled"]}
+def onehot_tables(df: DataFrame, plan: Mapping[str, Mapping], counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """(level, value, rows) of the levels without a column of their own, for the columns that have any."""
+    pooled = {c: p["levels"] for c, p in plan.items() if p["pooled"]}
+    counts = level_counts(df, list(pooled)) if counts is None else counts
+    return {
+        c: counts.where((F.col("column") == c) & ~F.col("level").isin(list(shown))).select("level", F.lit(1.0).alias("value"), F.col("n").alias("rows"))
+        for c, shown in pooled.items()
+    }
+
+
+def with_pooled(df: DataFrame, plan: Mapping[str, Mapping], pooled: Mapping[str, DataFrame] | None) -> DataFrame:
+    """Add ``__pooled_<c>``, 1 for the levels of a column that share one, for the columns with such levels."""
+    for c, p in plan.items():
+        if p["pooled"] and f"__pooled_{c}" not in df.columns:
+            df = with_mapped(df, pooled[c], c, f"__pooled_{c}")
+    return df
 
 
 def apply_onehot(df: DataFrame, plan: Mapping[str, Mapping], pooled: Mapping[str, DataFrame] | None = None) -> DataFrame:
@@ -137,10 +136,8 @@ def apply_onehot(df: DataFrame, plan: Mapping[str, Mapping], pooled: Mapping[str
     ``pooled`` has the levels that share one column, for the columns with such levels.
     """
     out: list[Column] = []
-    columns = df.columns
-    for c, p in plan.items():
-        if p["pooled"]:
-            df = with_mapped(df, pooled[c], c, f"__pooled_{c}")
+    columns = [c for c in df.columns if not c.startswith("__pooled_")]
+    df = with_pooled(df, plan, pooled)
     for c, p in plan.items():
         text = F.col(c).cast("string")
         for level in p["levels"]:
@@ -150,38 +147,82 @@ def apply_onehot(df: DataFrame, plan: Mapping[str, Mapping], pooled: Mapping[str
     return df.select(*[c for c in columns if c not in plan], *out)
 
 
-def target_table(df: DataFrame, column: str, target: str, smoothing: float = 5.0, min_leaf: int = 10) -> DataFrame:
-    """(level, value): mean target of a level pulled towards the overall mean when it is small."""
+def level_table(
+    df: DataFrame, column: str, methods: Sequence[str], target: str | None = None, smoothing: float = 5.0, min_leaf: int = 10, regularization: float = 1.0
+) -> DataFrame:
+    """(level, a value for each method, rows) of a column with any number of levels, from one aggregation.
+
+    ``ordinal`` is the place of the level; ``target`` its mean target, pulled towards the overall mean when it is small;
+    ``woe`` the log ratio of its share among positives and negatives, 0 for single-row levels; ``count`` its share of the rows.
+    """
     from .aggregates import aggregate_row
+    from .ordering import with_rank
 
-    prior = aggregate_row(df, {"p": F.avg(dbl(target))})["p"]
-    weight = 1 / (1 + F.exp(-(F.col("n") - F.lit(float(min_leaf))) / F.lit(float(smoothing))))
-    stats = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(
-        F.avg(dbl(target)).alias("m"), F.count(F.lit(1)).alias("n")
-    )
-    return stats.select("level", (weight * F.col("m") + (1 - weight) * F.lit(prior)).alias("value"), F.col("n").alias("rows"))
+    known = df.where(F.col(column).isNotNull())
+    statistics, values = {"rows": F.count(F.lit(1))}, {}
+    if "ordinal" in methods:
+        values["ordinal"] = (F.col("__r") - 1).cast("int")
+    if "target" in methods:
+        statistics["m"] = F.avg(dbl(target))
+        prior = aggregate_row(df, {"p": F.avg(dbl(target))})["p"]
+        weight = 1 / (1 + F.exp(-(F.col("rows") - F.lit(float(min_leaf))) / F.lit(float(smoothing))))
+        values["target"] = weight * F.col("m") + (1 - weight) * F.lit(prior)
+    if "woe" in methods:
+        statistics["s"] = F.sum(dbl(target))
+        total = aggregate_row(df, {"s": F.sum(dbl(target)), "n": F.count(dbl(target))})
+        r = float(regularization)
+        positive = (F.col("s") + r) / F.lit(total["s"] + 2 * r)
+        negative = (F.col("rows") - F.col("s") + r) / F.lit(total["n"] - total["s"] + 2 * r)
+        values["woe"] = F.when(F.col("rows") == 1, F.lit(0.0)).otherwise(F.log(positive / negative))
+    if "count" in methods:
+        values["count"] = F.col("rows") / F.lit(float(known.count()))
+    levels = known.groupBy(F.col(column).cast("string").alias("level")).agg(*[v.alias(n) for n, v in statistics.items()])
+    if "ordinal" in methods:
+        levels = with_rank(levels, ["level"], "__r")
+    return levels.select("level", *[values[m].alias(m) for m in methods], "rows")
 
 
-def woe_table(df: DataFrame, column: str, target: str, regularization: float = 1.0) -> DataFrame:
-    """(level, value): log ratio of the level's share among positives and negatives; single-row levels get 0."""
-    from .aggregates import aggregate_row
+def ordinal_table(df: DataFrame, column: str) -> DataFrame:
+    """(level, code, rows): codes of a column with any number of levels."""
+    return level_table(df, column, ["ordinal"]).withColumnRenamed("ordinal", "code")
 
-    total = aggregate_row(df, {"s": F.sum(dbl(target)), "n": F.count(dbl(target))})
-    stats = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(
-        F.sum(dbl(target)).alias("s"), F.count(F.lit(1)).alias("n")
-    )
-    r = float(regularization)
-    positive = (F.col("s") + r) / F.lit(total["s"] + 2 * r)
-    negative = (F.col("n") - F.col("s") + r) / F.lit(total["n"] - total["s"] + 2 * r)
-    value = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log(positive / negative))
-    return stats.select("level", value.alias("value"), F.col("n").alias("rows"))
+
+def target_table(df: DataFrame, column: str, target: str, smoothing: float = 5.0, min_leaf: int = 10) -> DataFrame:
+    """(level, value, rows): mean target of a level pulled towards the overall mean when it is small."""
+    return level_table(df, column, ["target"], target, smoothing, min_leaf).withColumnRenamed("target", "value")
+
+
+def woe_table(df: DataFrame, column: str, target: str, regularization: float = 1.0) -> DataFrame:
+    """(level, value, rows): log ratio of the level's share among positives and negatives; single-row levels get 0."""
+    return level_table(df, column, ["woe"], target, regularization=regularization).withColumnRenamed("woe", "value")
 
 
 def frequency_table(df: DataFrame, column: str) -> DataFrame:
-    known = df.where(F.col(column).isNotNull())
-    total = known.count()
-    counted = known.groupBy(F.col(column).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.select("level", (F.col("rows") / F.lit(float(total))).alias("value"), "rows")
+    """(level, value, rows): the level's share of the rows."""
+    return level_table(df, column, ["count"]).withColumnRenamed("count", "value")
+
+
+def equal_columns(df: DataFrame, columns: Sequence[str]) -> list[list[str]]:
+    """The columns in groups whose values, as text, are the same in every row of ``df``.
+
+    Columns whose digests differ are told apart by one pass over the rows; those that are left are compared row by row.
+    """
+    from .aggregates import aggregate_row
+
+    if len(columns) < 2:
+        return [[c] for c in columns]
+    text = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    digests = aggregate_row(df, {c: F.bit_xor(F.xxhash64(F.coalesce(t, F.lit("")))) for c, t in text.items()})
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if digests[a] == digests[b]]
+    same = aggregate_row(df, {(a, b): F.every(text[a].eqNullSafe(text[b])) for a, b in pairs}) if pairs else {}
+    groups: list[list[str]] = []
+    for c in columns:
+        group = next((g for g in groups if same.get((g[0], c))), None)
+        if group is None:
+            groups.append([c])
+        else:
+            group.append(c)
+    return groups
 
 
 def with_mapped(df: DataFrame, mapping: DataFrame, column: str, into: str, broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
@@ -202,7 +243,8 @@ def with_mapped(df: DataFrame, mapping: DataFrame, column: str, into: str, broad
         rest, known = named.where(F.col("rows") < least).drop("rows"), F.col("__hot").isNotNull()
     # Rows that need no other value would all have one key; they get keys that match nothing, in pieces.
     done = known | level.isNull()
-    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(PIECES)).cast("string")
+    # The partition a row comes from deals them evenly and needs no column, so columns nobody asks for are not shuffled.
+    piece = F.pmod(F.spark_partition_id(), F.lit(PIECES)).cast("string")
     keyed = df.withColumn("__open", ~done).withColumn("__key", F.when(done, piece).otherwise(level))
     joined = keyed.join(rest.withColumn("__asked", F.lit(True)), (F.col("__key") == F.col("__level")) & (F.col("__open") == F.col("__asked")), "left")
     found = F.coalesce("__hot_value", "__value") if "rows" in named.columns else F.col("__value")

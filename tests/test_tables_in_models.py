@@ -67,3 +67,27 @@ def test_training_with_many_levels_and_groups(spark, tmp_path):
     result.model.write().save(str(tmp_path / "m"))
     out = PipelineModel.load(str(tmp_path / "m")).transform(df.limit(50))
     assert out.count() == 50 and "a_by_t_mean" in result.preprocessing.stages[2].transform(df).columns
+
+
+@pytest.mark.parametrize("broadcast_levels", [0, 100_000])
+def test_equal_columns_share_one_table(spark, monkeypatch, broadcast_levels):
+    """Copies of a column in training share a table; where they differ in the rows to encode, each has its own value."""
+    monkeypatch.setattr(encode, "BROADCAST_LEVELS", broadcast_levels)
+    levels = [None if i % 11 == 0 else f"v{i % 60}" for i in range(400)]
+    df = spark.createDataFrame([(i, k, i % 7, float(i % 3 == 0)) for i, k in enumerate(levels)], "id int, k string, other int, y double").repartition(4)
+    kinds = ["ordinal", "target", "woe", "count"]
+    train = df.select("id", "y", *[F.col("k").alias(f"k_{m}") for m in kinds], F.col("other").cast("string").alias("o_count"), F.col("k").alias("shown"))
+    settings = {"target": "y", "group_rare": False}
+    override = {**{f"k_{m}": m for m in kinds}, "o_count": "count", "shown": "onehot"}
+    model = TableStage("encode", columns=list(override), override=override, **settings).fit(train)
+    assert sorted(model.tables) == ["levels k_ordinal", "levels o_count", "pooled shown"]
+    changed = train.withColumn("k_woe", F.when(F.col("id") % 5 == 0, "v1").when(F.col("id") % 5 == 1, None).otherwise(F.col("k_woe")))
+    alone = {c: TableStage("encode", columns=[c], override={c: override[c]}, **settings).fit(train) for c in ("k_woe", "k_target", "shown")}
+    for rows in (train, changed):
+        made = model.transform(rows)
+        got = {r["id"]: r.asDict() for r in made.collect()}
+        assert len(got) == 400
+        for c, stage in alone.items():
+            expected = stage.transform(rows.select("id", c))
+            assert [x for x in made.columns if x in expected.columns] == expected.columns
+            assert all(got[r["id"]][x] == pytest.approx(r[x]) for r in expected.collect() for x in expected.columns)
