@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import dbl
+from ..sources.tables import scratch_folder
 from .aggregates import exact_quantiles
 from .ordering import hash_cuts, hash_key, ranked_by_hash
 
@@ -69,6 +70,32 @@ def _flat(nodes):
     return column, table[:, 1], low, high, depth + _average_path(table[:, 4]), int(depth.max())
 
 
+def _heap(nodes):
+    """Columns, values and leaf lengths of a tree filled up to its full depth, the children of node i at 2i+1 and 2i+2."""
+    column, value, low, high, length, depth = _flat(nodes)
+    at = np.zeros(2 ** (depth + 1) - 1, dtype=np.intp)
+    for i in range(1, len(at)):
+        parent = at[(i - 1) // 2]
+        at[i] = low[parent] if i % 2 else high[parent]
+    first_leaf = 2**depth - 1
+    return column[at].astype(np.intp), value[at], length[at[first_leaf:]], depth
+
+
+def _path_lengths(points: np.ndarray, trees) -> np.ndarray:
+    """Sum over the trees of each point's path length; ``points`` has a row for each column."""
+    n = points.shape[1]
+    values, rows, total = points.ravel(), np.arange(n), np.zeros(n)
+    for column, value, length, depth in trees:
+        start, at = column * n, np.zeros(n, dtype=np.intp)
+        for _ in range(depth):
+            high = ~(values.take(start.take(at) + rows) < value.take(at))
+            at += at
+            at += 1
+            at += high
+        total += length.take(at - (2**depth - 1))
+    return total
+
+
 def _tree_samples(df: DataFrame, id_column: str, columns: Sequence[str], trees: int, seed: int) -> DataFrame:
     """(tree, x): 256 rows for each tree, or all if there are fewer.
 
@@ -106,7 +133,10 @@ def fit_isolation_forest(
     )
     forest = [(r["rows"], r["nodes"]) for r in sorted(grown.collect(), key=lambda r: r["tree"])]
     fitted = {"columns": list(columns), "medians": medians, "forest": forest, "cutoff": None}
-    scored = score_isolation_forest(ready, fitted, flag=False)
+    # Every round of the quantile reads the scores, so they are computed once and kept as one column.
+    kept = scratch_folder(train.sparkSession, "anomaly")
+    score_isolation_forest(ready, fitted, flag=False).select("anomaly_score").write.parquet(kept)
+    scored = train.sparkSession.read.parquet(kept)
     fitted["cutoff"] = exact_quantiles(scored, {"anomaly_score": [1 - contamination]})["anomaly_score"][0]
     return fitted
 
@@ -114,23 +144,17 @@ def fit_isolation_forest(
 def score_isolation_forest(df: DataFrame, fitted: dict, flag: bool = True) -> DataFrame:
     """Add ``anomaly_score`` and ``is_outlier_multivariate``."""
     columns = fitted["columns"]
-    trees = [_flat(nodes) for _, nodes in fitted["forest"]]
+    trees = [_heap(nodes) for _, nodes in fitted["forest"]]
     usual = float(_average_path(np.mean([n for n, _ in fitted["forest"]])))
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            points = np.stack(list(vectors)) if len(vectors) else np.empty((0, len(columns)))
-            total, rows = np.zeros(len(points)), np.arange(len(points))
-            for column, value, low, high, length, depth in trees:
-                at = np.zeros(len(points), dtype=np.int64)
-                for _ in range(depth):
-                    at = np.where(points[rows, column[at]] < value[at], low[at], high[at])
-                total += length[at]
-            yield pd.Series(np.power(2.0, -total / len(trees) / usual))
-
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    vector = F.array(*[F.coalesce(dbl(c), F.lit(fitted["medians"][c])) for c in columns])
-    scored = df.withColumn("anomaly_score", F.pandas_udf(score, "double")(vector))
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for held in batches:
+            points = np.stack([c.to_numpy(dtype=float) for c in held])
+            yield pd.Series(np.power(2.0, -_path_lengths(points, trees) / len(trees) / usual))
+
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    filled = [F.coalesce(dbl(c), F.lit(fitted["medians"][c])) for c in columns]
+    scored = df.withColumn("anomaly_score", F.pandas_udf(score, "double")(*filled))
     if not flag:
         return scored
     return scored.withColumn("is_outlier_multivariate", (F.col("anomaly_score") > F.lit(fitted["cutoff"])).cast("int"))

@@ -92,7 +92,7 @@ def outlier_iforest(spark, sf):
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), "l_quantity", "l_extendedprice", "l_discount"
     )
     fitted = IF.fit_isolation_forest(lines, "id", ["l_quantity", "l_extendedprice", "l_discount"])
-    scored = IF.score_isolation_forest(lines, fitted).persist()
+    scored = IF.score_isolation_forest(lines, fitted).select("id", "anomaly_score", "is_outlier_multivariate").persist()
     n, share = scored.agg(F.count(F.lit(1)), F.avg("is_outlier_multivariate")).first()
     flagged = (F.col("is_outlier_multivariate") == (F.col("anomaly_score") > F.lit(fitted["cutoff"])).cast("int")) & F.lit(0.03 < share <= 0.05)
     return scored.select("id", F.col("anomaly_score").between(0, 1).alias("in_range"), flagged.alias("flagged"), F.lit(n).cast("bigint").alias("n"))
