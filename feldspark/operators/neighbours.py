@@ -12,7 +12,7 @@ Nothing is capped: a cell is skipped only if its bounding box lies beyond the ra
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -346,7 +346,7 @@ MAX_PATTERNS = 1_000
 
 
 def knn_fills(
-    df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5, donors: DataFrame | None = None, **cells
+    df: DataFrame, id_column: str, columns: Sequence[str], k: int = 5, donors: DataFrame | None = None, means: Mapping[str, float | None] | None = None, **cells
 ) -> DataFrame:
     """Fill numeric columns with the mean of the k nearest donors that have the value.
 
@@ -355,12 +355,12 @@ def knn_fills(
     The distance uses the columns both rows have, scaled up for those they do not share.
     Rows are grouped by which columns they have; for each pair of groups this is a plain
     nearest-neighbour join, and the k best over all pairs are averaged. Rows without any
-    usable donor get the column mean.
+    usable donor get the column mean, of the donors unless ``means`` has it.
     """
     from .aggregates import aggregate_row
 
     source = df if donors is None else donors
-    means = aggregate_row(source, {c: F.avg(dbl(c)) for c in columns})
+    means = aggregate_row(source, {c: F.avg(dbl(c)) for c in columns}) if means is None else means
     pattern = F.concat(*[F.col(c).isNotNull().cast("int").cast("string") for c in columns])
 
     def mark(rows):

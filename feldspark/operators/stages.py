@@ -20,6 +20,7 @@ from ..functions.roles import dbl, numeric_columns, string_columns
 from ..session import cut_lineage
 from . import clean, encode, explain, features, impute, models, outliers, scale
 from . import select as selection
+from .aggregates import aggregate_row
 from .neighbours import knn_fills
 
 FITS: dict[str, Callable[[DataFrame, dict], dict]] = {}
@@ -120,7 +121,9 @@ def _fit_impute(df, s):
     if strategy == "knn" and numbers:
         # donors are training rows, a table of the model
         learned[TABLES]["donors"] = held.select(s["row_id"], *numbers)
-        learned["knn"] = {"id": s["row_id"], "columns": numbers, "k": s.get("k", 5)}
+        # learned here: sums over the written donors may end in other digits than over the rows
+        means = aggregate_row(held, {c: F.avg(dbl(c)) for c in numbers})
+        learned["knn"] = {"id": s["row_id"], "columns": numbers, "k": s.get("k", 5), "means": means}
         learned["fills"] = impute.numeric_fills(held, spare)
     elif strategy == "iterative" and numbers:
         learned["chained"] = impute.fit_chained(held, numbers)
@@ -135,7 +138,7 @@ def _do_impute(df, v):
     held = clean.missing_indicators(df.drop(*v["drop"]), [c for c in v["indicators"] if c in df.columns])
     if v["knn"]:
         n = v["knn"]
-        held = knn_fills(held, n["id"], n["columns"], n["k"], v[TABLES]["donors"])
+        held = knn_fills(held, n["id"], n["columns"], n["k"], v[TABLES]["donors"], n.get("means"))
     if v["chained"]:
         held = impute.apply_chained(held, v["chained"])
     return impute.fill(held, v["fills"])
