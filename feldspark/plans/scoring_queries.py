@@ -234,8 +234,8 @@ URL_INPUTS = ["domain_length", "qty_dot_domain", "qty_hyphen_domain", "qty_vowel
 
 
 def url_model(spark, sf):
-    """A model on page URLs; the label marks hosts that advertise themselves in their name."""
-    rows = lexical_table(table(spark, sf, "pages").select("page_id", "url"), "url")
+    """A model on page URLs; the label marks hosts that advertise themselves in their name. A page without an address has neither features nor a label."""
+    rows = lexical_table(table(spark, sf, "pages").select("page_id", "url").where(F.col("url").isNotNull()), "url")
     label = F.col("url").rlike("spam|cheap|casino|pills").cast("double")
     rows = rows.select("page_id", *URL_INPUTS, label.alias("label"))
     return M.logistic_regression(URL_INPUTS, "label", rows.count()).fit(rows)

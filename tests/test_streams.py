@@ -36,3 +36,12 @@ def test_streamed_scores_cover_every_accepted_page(spark, tables):
 def test_monitored_stream_has_every_hour(spark, tables):
     made = load_catalog().QUERIES["monitor_stream"](spark, tables).collect()
     assert sum(r["n"] for r in made) == 40
+
+
+@pytest.mark.parametrize("name", ["stream_score", "stream_prediction_log", "batch_score"])
+def test_pages_without_an_address_are_rejected(spark, tmp_path, name):
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate([*URLS, None, None])], "page_id bigint, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    made = load_catalog().QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(made) == len(URLS)
+    assert all(r["equal"] if name == "stream_score" else r["in_range"] and r["decided"] for r in made)
